@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe_codec, langid, packing, pivots, token_counts, toxicity
+from factloom.llm import bpe_codec, langid, ngram_join, packing, pivots, token_counts, toxicity
 from factloom.llm.common import held_out, table
 
 
@@ -26,6 +26,10 @@ def op5_pivot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -41,7 +45,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_token_counts, op5_pivot_near_duplicates, op8_bpe_codec, op9_best_fit_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op4_token_counts, op5_pivot_near_duplicates, op6_ngram_jaccard_join, op8_bpe_codec, op9_best_fit_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
