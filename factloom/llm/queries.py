@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe_codec, langid, ngram_join, packing, pivots, token_counts, toxicity
+from factloom.llm import bpe_codec, fingerprints, langid, ngram_join, packing, pivots, token_counts, toxicity
 from factloom.llm.common import held_out, table
 
 
@@ -18,6 +18,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,7 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_token_counts, op5_pivot_near_duplicates, op6_ngram_jaccard_join, op8_bpe_codec, op9_best_fit_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op3_prefix_fingerprints, op4_token_counts, op5_pivot_near_duplicates, op6_ngram_jaccard_join, op8_bpe_codec, op9_best_fit_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
