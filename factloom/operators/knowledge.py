@@ -61,9 +61,9 @@ def contradict(claims: DataFrame, group: str, strict: bool = False) -> DataFrame
     return rows.groupBy(group).agg((F.bool_or("negated") & F.bool_or(~F.col("negated"))).alias("contradict"))
 
 
-def coverage(requirements: DataFrame, group: str, weight: Column, value: Column, gate: Column) -> DataFrame:
-    """Weighted mean of requirement values, all gates, and what to do next."""
-    share = F.round(F.sum(weight * value) / F.sum(weight), 6)
+def coverage(requirements: DataFrame, group: str, weight: Column, value: Column, gate: Column, scale: float = 1.0) -> DataFrame:
+    """Weighted mean of requirement values, all gates, and what to do next. Whole values in ``scale``ths sum exactly in any order."""
+    share = F.round(F.sum(weight * value) / (F.lit(scale) * F.sum(weight)), 6)
     rows = requirements.groupBy(group).agg(share.alias("coverage"), F.bool_and(gate).alias("gates"))
     return rows.withColumn("decision", F.when(F.col("gates") & (F.col("coverage") >= 0.9), "answer").when(~F.col("gates"), "refuse").when(F.col("coverage") >= 0.5, "partial").otherwise("replan"))
 

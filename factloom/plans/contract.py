@@ -362,10 +362,10 @@ def claims_contradict(spark, d):
     return K.contradict(lines(spark, d), "doc_id")
 
 
-@contract("""WITH c AS (SELECT l_orderkey, round(sum(l_quantity * (1 - l_discount)) / sum(l_quantity), 6) AS coverage, bool_and(l_tax < 0.075) AS gates FROM lineitem GROUP BY 1)
+@contract("""WITH c AS (SELECT l_orderkey, round(sum(l_quantity * (100 - round(l_discount * 100))) / (100.0 * sum(l_quantity)), 6) AS coverage, bool_and(l_tax < 0.075) AS gates FROM lineitem GROUP BY 1)
 SELECT *, CASE WHEN gates AND coverage >= 0.9 THEN 'answer' WHEN NOT gates THEN 'refuse' WHEN coverage >= 0.5 THEN 'partial' ELSE 'replan' END AS decision FROM c""")
 def coverage_score(spark, d):
-    return K.coverage(table(spark, d, "lineitem"), "l_orderkey", F.col("l_quantity"), 1 - F.col("l_discount"), F.col("l_tax") < 0.075)
+    return K.coverage(table(spark, d, "lineitem"), "l_orderkey", F.col("l_quantity"), 100 - F.round(F.col("l_discount") * 100), F.col("l_tax") < 0.075, scale=100.0)
 
 
 _STATE = {"error": "contradictory", "purchase": "satisfied", "signup": "partial", "view": "stale", "click": "missing"}
