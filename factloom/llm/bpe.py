@@ -156,8 +156,8 @@ def replay(merges: Merges, data: np.ndarray, starts: np.ndarray, lengths: np.nda
 
     def enter(rank: np.ndarray, where: np.ndarray) -> None:
         """Add positions to the index under the rank of the pair that starts there."""
-        if len(rank) == 1:
-            if rank[0] >= 0:
+        if len(rank) < 2:
+            if len(rank) and rank[0] >= 0:
                 index[int(rank[0])].append(where)
             return
         order = np.argsort(rank.astype(np.uint16) if len(merges.made) < 65_536 else rank, kind="stable")  # 16 bits: by radix

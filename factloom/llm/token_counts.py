@@ -14,7 +14,6 @@ Null texts are empty: 0 bytes, 0 tokens. Repeated rows stay repeated. Other colu
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +23,6 @@ from pyspark.sql import functions as F
 from factloom.llm import bpe
 
 CHUNK, OVERLAP = 1 << 16, 1 << 10
-#: What stands for one document: its tokens' number, and its tokens' ends in characters.
-Encoder = tuple[Callable[[str], int], Callable[[str], np.ndarray], Callable[[str], "np.ndarray"]]
 _encoders: dict[str, "Tokens"] = {}
 
 
@@ -42,6 +39,13 @@ class Tokens:
     spaces_cut = False
 
 
+def _characters(text: str) -> np.ndarray:
+    """Character position of each byte position; -1 inside a character."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    head = (data & 0xC0) != 0x80
+    return np.append(np.where(head, np.cumsum(head) - 1, -1), len(text))
+
+
 class ByteLevel(Tokens):
     """A byte-level BPE .json whose ids are its merge ranks: the same merges in the faster library, special strings included."""
 
@@ -66,11 +70,7 @@ class ByteLevel(Tokens):
         return len(self._ids(text))
 
     def ends(self, text: str) -> np.ndarray:
-        data = np.frombuffer(text.encode(), np.uint8)
-        ends = np.cumsum(self.size[self._ids(text)])
-        head = (data & 0xC0) != 0x80
-        place = np.append(np.where(head, np.cumsum(head) - 1, -1), len(text))
-        return place[ends]
+        return _characters(text)[np.cumsum(self.size[self._ids(text)])]
 
 
 class Library(Tokens):
@@ -105,7 +105,7 @@ class Pieces(Tokens):
         return len(self.own.encode(text, num_threads=1))
 
     def ends(self, text: str) -> np.ndarray:
-        return np.array([p.end for p in self.own.encode(text, out_type="immutable_proto").pieces], np.int64)
+        return _characters(text)[[p.end for p in self.own.encode(text, return_type="proto").pieces]]
 
 
 def tokens(path: str) -> Tokens:
@@ -147,8 +147,9 @@ def count_tokens(own: Tokens, text: str, chunk: int = CHUNK, overlap: int = OVER
     while True:
         stop = min(len(text), start + size)
         left = own.ends(text[start:stop])
+        first = int(np.flatnonzero(left == begin - start)[-1]) + 1 if begin > start else 0
         if stop == len(text):
-            return total + int((left > begin - start).sum()) + _inside(left, begin - start)
+            return total + len(left) - first
         wide = overlap
         while True:
             next_start = max(begin, stop - wide)
@@ -166,19 +167,10 @@ def count_tokens(own: Tokens, text: str, chunk: int = CHUNK, overlap: int = OVER
             size *= 2
             continue
         cut = max(common)
-        total += int(((left > begin - start) & (left <= cut - start)).sum()) + _inside(left[: int(np.flatnonzero(left == cut - start)[-1]) + 1], begin - start)
+        total += int(np.flatnonzero(left == cut - start)[-1]) + 1 - first
         start, begin, size = max(0, cut - overlap), cut, chunk
 
 
-def _inside(ends: np.ndarray, after: int) -> int:
-    """Tokens that end inside a character, behind the token that ends at ``after``."""
-    hidden = np.flatnonzero(ends < 0)
-    if not len(hidden):
-        return 0
-    at = np.flatnonzero(ends == after)
-    return int((hidden > (at[-1] if len(at) else -1)).sum())
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """key, n_bytes, n_tokens, over_limit of every whole text."""
 
