@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}]+"
 # Fixed values of the retrieval language: words without evidence, directive words, words that ask for numbers.
@@ -14,7 +15,7 @@ NUMERIC = "price fee cost charge invoice quantity total sum response target limi
 EFFECTIVE = r"(?i)\b(?:effective|amend|replace|supersed)\w*\b"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_casefold(text: pd.Series) -> pd.Series:
     """NFKC, then casefold: what ``lower`` only approximates (sharp s, dotted I, full width)."""
     return text.str.normalize("NFKC").str.casefold()

@@ -19,6 +19,8 @@ def lines(boxes: DataFrame, page: str) -> DataFrame:
     """Line number of each box (t, b) in its column: a box joins the open line if it overlaps that line's *first* box by half
     the lower height. Order-dependent, hence a fold over one page's column."""
 
+    names = [*boxes.columns, "line"]
+
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["t", "l", "box"], ignore_index=True)
         out, head, number = [], None, 0
@@ -29,7 +31,7 @@ def lines(boxes: DataFrame, page: str) -> DataFrame:
             number += 1
             head = (top, bottom)
             out.append(number)
-        return frame.assign(line=out)[[*boxes.columns, "line"]]
+        return frame.assign(line=out)[names]
 
     return boxes.groupBy(page, "col").applyInPandas(fold, boxes.schema.simpleString().removeprefix("struct<").removesuffix(">") + ", line: long")
 
