@@ -31,8 +31,8 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batches, column: str, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the record batches of at most ``limit`` text bytes (one row at least), with their buffers."""
+def blocks(batches, column: str, limit: int = 2 << 20, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the record batches of at most ``limit`` text bytes and ``rows`` rows (one row at least), with their buffers."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -40,7 +40,7 @@ def blocks(batches, column: str, limit: int = 2 << 20) -> Iterator[tuple[pa.Reco
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-            end = min(max(end, start + 1), batch.num_rows)
+            end = min(max(end, start + 1), start + rows, batch.num_rows)
             yield batch.slice(start, end - start), data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
             start = end
 
