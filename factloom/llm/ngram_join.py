@@ -39,7 +39,7 @@ from factloom.llm.groups import forest, whole_groups
 WORDS, PERCENT, ORDERS, SMALL = 5, 80, 3, 32
 #: A token in more than this share of the documents is hot for certain; one in less than half of it never.
 HOT = 0.004
-BUCKET_BYTES, BATCH_TOKENS, BLOCK_TOKENS = 8 << 20, 2_000_000, 1 << 16
+BUCKET_BYTES, BATCH_TOKENS, BLOCK_TOKENS = 8 << 20, 1_000_000, 1 << 16
 _K = np.array([pow(0x9E3779B97F4A7C15 | 1, k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
 
 
@@ -191,7 +191,7 @@ def _repeated(packed: DataFrame, buckets: int) -> DataFrame:
                 kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["target", "kind", "names", "counts", "low", "high"])
 
-    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "target int, kind int, names binary, counts binary, low binary, high binary")
 
 
@@ -235,7 +235,7 @@ def _sets(packed: DataFrame, buckets: int, percent: int) -> DataFrame:
                 for x in range(0, len(out[0]), 500):
                     yield pa.record_batch([pa.array(out[0][x : x + 500], pa.int64()), pa.array(out[1][x : x + 500], pa.int64()), *(pa.array(c[x : x + 500], pa.list_(pa.int64())) for c in out[2:])], names=["name", "n", "tokens", *(f"pre{k + 1}" for k in range(ORDERS))])
 
-    dealt = packed.repartition(buckets, "target").sortWithinPartitions("target")
+    dealt = packed.repartitionById(buckets, F.col("target")).sortWithinPartitions("target")
     return dealt.mapInArrow(run, "name long, n long, tokens array<long>, " + ", ".join(f"pre{k + 1} array<long>" for k in range(ORDERS)))
 
 
@@ -375,10 +375,10 @@ def _open_lists(listed: DataFrame, sets: DataFrame, edges: DataFrame, percent: i
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents of ``docs``, one of each component: the one with the smallest key (one row of a repeated key)."""
-    kept = join(docs, key, text, percent).filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("_rows"))
+    kept = join(docs, key, text, percent).filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("__rows"))
     held = docs.join(kept, key)
-    once = held.filter("_rows = 1").drop("_rows")
-    again = held.filter("_rows > 1").drop("_rows").dropDuplicates([key])
+    once = held.filter("__rows = 1").drop("__rows")
+    again = held.filter("__rows > 1").drop("__rows").dropDuplicates([key])
     return once.unionByName(again).select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
 
 
