@@ -56,3 +56,84 @@ def order_accuracy(rows: DataFrame, group: str, expected: str, actual: str) -> D
     pairs = left.join(right, group).filter("e1 < e2").groupBy(group).agg(F.count("*").alias("pairs"), F.count_if(F.col("a1") < F.col("a2")).alias("good"))
     every = rows.select(group).distinct().join(pairs, group, "left")
     return every.select(group, F.coalesce("pairs", F.lit(0)).alias("pairs"), F.when(F.coalesce("pairs", F.lit(0)) == 0, F.lit(1_000_000)).otherwise(F.floor(F.col("good") * 1_000_000 / F.col("pairs"))).cast("long").alias("accuracy"))
+
+
+def _cross(o, a, b) -> float:
+    return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+
+
+def _area(points) -> float:
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, [*points[1:], *points[:1]], strict=True))) / 2 if len(points) > 2 else 0.0
+
+
+def overlap(one, two) -> float:
+    """Intersection over union of two convex polygons, by cutting one along each edge of the other."""
+    one, two = [tuple(p) for p in one], [tuple(p) for p in two]
+    if _cross(two[0], two[1], two[2]) < 0:
+        two = two[::-1]
+    cut = one
+    for a, b in zip(two, [*two[1:], two[0]], strict=True):
+        kept = []
+        for p, q in zip(cut, [*cut[1:], *cut[:1]], strict=True):
+            u, v = _cross(a, b, p), _cross(a, b, q)
+            if u >= 0:
+                kept.append(p)
+            if u * v < 0:
+                kept.append((p[0] + (q[0] - p[0]) * u / (u - v), p[1] + (q[1] - p[1]) * u / (u - v)))
+        cut = kept
+        if not cut:
+            return 0.0
+    common = _area(cut)
+    whole = _area(one) + _area(two) - common
+    return common / whole if whole else 0.0
+
+
+def box_overlap(l1: Column, t1: Column, r1: Column, b1: Column, l2: Column, t2: Column, r2: Column, b2: Column) -> Column:
+    """The same for upright boxes, inside generated code."""
+    common = F.greatest(F.lit(0), F.least(r1, r2) - F.greatest(l1, l2)) * F.greatest(F.lit(0), F.least(b1, b2) - F.greatest(t1, t2))
+    whole = (r1 - l1) * (b1 - t1) + (r2 - l2) * (b2 - t2) - common
+    return F.when(whole > 0, common / whole).otherwise(0.0)
+
+
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def match_lines(expected: DataFrame, actual: DataFrame, page: str) -> DataFrame:
+    """Greedy matching of expected to actual lines of a page: least edit distance, then most overlap, then first; each once.
+
+    Both sides: page, place, text, l, t, r, b. The choice is sequential, hence a fold over the lines of one page.
+    """
+
+    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        free, out = right.sort_values("place").to_dict("records"), []
+        for e in left.sort_values("place").to_dict("records"):
+            if not free:
+                break
+            shape = lambda x: [(x["l"], x["t"]), (x["r"], x["t"]), (x["r"], x["b"]), (x["l"], x["b"])]
+            best = min(free, key=lambda a: (_distance(e["text"], a["text"]), -overlap(shape(e), shape(a)), a["place"]))
+            free.remove(best)
+            out.append((e[page], e["place"], best["place"], _distance(e["text"], best["text"]), round(overlap(shape(e), shape(best)), 6)))
+        return pd.DataFrame(out, columns=[page, "expected", "actual", "distance", "overlap"])
+
+    kind = expected.schema[page].dataType.simpleString()
+    return expected.groupBy(page).cogroup(actual.groupBy(page)).applyInPandas(fold, f"{page} {kind}, expected long, actual long, distance long, overlap double")
+
+
+def word_accuracy(expected: Column, actual: Column) -> Column:
+    """Edit accuracy over words, in millionths: each distinct word stands for one sign, so the built-in distance counts words."""
+    vocabulary = F.array_distinct(F.concat(expected, actual))
+    spelt = lambda words: F.array_join(F.transform(words, lambda w: F.char(F.array_position(vocabulary, w) % 200 + 32)), "")
+    return edit_accuracy(spelt(expected), spelt(actual))
+
+
+def detections(rows: DataFrame, page: str) -> DataFrame:
+    """Upright boxes of detections turned by a multiple of 90 degrees (angle, width, height, x, y, w, h), duplicates removed."""
+    x, y, w, h, wide, high = (F.col(c) for c in ("x", "y", "w", "h", "width", "height"))
+    turned = F.when(F.col("angle") == 90, F.struct(y.alias("l"), (wide - x - w).alias("t"), (y + h).alias("r"), (wide - x).alias("b"))).when(F.col("angle") == 180, F.struct((wide - x - w).alias("l"), (high - y - h).alias("t"), (wide - x).alias("r"), (high - y).alias("b"))).when(F.col("angle") == 270, F.struct((high - y - h).alias("l"), x.alias("t"), (high - y).alias("r"), (x + w).alias("b"))).otherwise(F.struct(x.alias("l"), y.alias("t"), (x + w).alias("r"), (y + h).alias("b")))
+    return rows.withColumn("q", turned).select(page, "text", "q.l", "q.t", "q.r", "q.b").distinct()
