@@ -51,28 +51,38 @@ def _power_tables(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Prefix:
     """Prefix hashes of a sequence of code points."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, base: Prefix | None = None, kept: int = 0):
+        """Of ``points``; its first ``kept`` are those of ``base``, whose hashes are taken over."""
         self.size = len(points)
         self.arrays = []
+        fresh = points[kept:].astype(np.uint64) + np.uint64(1)
         for k, prime in enumerate(PRIMES):
             power, _ = _power_tables(k, self.size + 1)
-            terms = (points.astype(np.uint64) + np.uint64(1)) * power[: self.size] % np.uint64(prime)
             total = np.zeros(self.size + 1, np.uint64)
-            np.cumsum(terms, out=total[1:])  # under 2**31 * size, far below 2**64
-            self.arrays.append(total % np.uint64(prime))
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+            if kept:
+                total[: kept + 1] = base.arrays[k][: kept + 1]
+            terms = fresh * power[kept : self.size] % np.uint64(prime)
+            terms[:1] += total[kept]
+            np.cumsum(terms, out=total[kept + 1 :])  # under 2**31 * size, far below 2**64
+            total[kept + 1 :] %= np.uint64(prime)
+            self.arrays.append(total)
+
+    def spans(self, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
         """62-bit hashes of spans; equal spans of any texts hash alike."""
-        out = np.zeros(len(starts), np.uint64)
+        out = np.uint64(0)
         for k, prime in enumerate(PRIMES):
             p = np.uint64(prime)
             _, inverse = _power_tables(k, self.size + 1)
-            part = (self.arrays[k][ends] + p - self.arrays[k][starts]) % p * inverse[starts] % p
+            part = (self.arrays[k][ends] + p - self.arrays[k][starts]) * inverse[starts] % p  # below 2**63
             out = out << np.uint64(31) | part
         return out
 
     def span(self, start: int, end: int) -> int:
-        return int(self.spans(np.array([start]), np.array([end]))[0])
+        out = 0
+        for k, prime in enumerate(PRIMES):
+            own = self.arrays[k]
+            out = out << 31 | (int(own[end]) + prime - int(own[start])) * int(_powers[k][1][start]) % prime
+        return out
 
 
 def equal(a: Prefix, i: int, b: Prefix, j: int, length: int) -> bool:
@@ -92,28 +102,45 @@ def common_extension(a: Prefix, i: int, b: Prefix, j: int) -> int:
     return low
 
 
-def sketch(prefix: Prefix, first: int = 0) -> np.ndarray:
-    """Least mixed window hash in each bin, of the windows that start at ``first`` or later; all ones if none."""
-    low = np.full(BINS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    if not prefix.size:
-        return low
+def _windows(prefix: Prefix, first: int, last: int, low: np.ndarray) -> None:
+    """Least mixed hash in each bin, of the windows that start in [first, last)."""
     width = min(WINDOW, prefix.size)
-    for start in range(first, prefix.size - width + 1, STEP):
-        at = np.arange(start, min(start + STEP, prefix.size - width + 1))
-        h = prefix.spans(at, at + width)
-        order = np.argsort(h, kind="stable")
-        again = np.zeros(len(h), bool)
-        again[1:] = h[order[1:]] == h[order[:-1]]
-        if again.any():  # the k-th time a window occurs counts as another window
-            head = np.flatnonzero(~again)
-            turn = np.zeros(len(h), np.uint64)
-            turn[order] = (np.arange(len(h)) - np.repeat(head, np.diff(np.append(head, len(h))))).astype(np.uint64)
+    for start in range(first, last, STEP):
+        stop = min(start + STEP, last)
+        h = prefix.spans(slice(start, stop), slice(start + width, stop + width))
+        ordered = np.sort(h)
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        if len(twice):  # the k-th time a window occurs counts as another window
+            at = np.minimum(np.searchsorted(twice, h), len(twice) - 1)
+            where = np.flatnonzero(twice[at] == h)
+            order = where[np.argsort(at[where], kind="stable")]
+            group = at[order]
+            head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            turn = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
             with np.errstate(over="ignore"):
-                h = h + turn * np.uint64(0x9E3779B97F4A7C15)
+                h[order] += turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         h = V.mix(h, 31)
-        bins = (h & np.uint64(BINS - 1)).astype(np.int64)
-        np.minimum.at(low, bins, h)
-    return low
+        np.minimum.at(low, (h & np.uint64(BINS - 1)).astype(np.int64), h)
+
+
+def _split(size: int) -> tuple[int, int]:
+    """(windows that lie in the first two thirds, all windows): the two parts count repeats on their own."""
+    width = min(WINDOW, size)
+    return max(0, size - size // 3 - width + 1), size - width + 1
+
+
+def sketch(prefix: Prefix, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(least hash of each bin, the same of the first part alone); all ones if there is none. ``head``: the first part's, if known."""
+    none = np.full(BINS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    if not prefix.size:
+        return none, none
+    cut, end = _split(prefix.size)
+    if head is None:
+        head = none.copy()
+        _windows(prefix, 0, cut, head)
+    low = head.copy()
+    _windows(prefix, cut, end, low)
+    return low, head
 
 
 def fingerprint(prefix: Prefix, low: np.ndarray) -> str:
@@ -146,7 +173,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             out = []
             for t in batch.column(1).to_pylist():
                 prefix = Prefix(np.frombuffer((t or "").encode("utf-32-le"), np.uint32))
-                out.append(fingerprint(prefix, sketch(prefix)))
+                out.append(fingerprint(prefix, sketch(prefix)[0]))
             yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], names=["key", "fingerprint"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -206,8 +233,8 @@ _next: dict[str, tuple] = {}
 def _made(text: str) -> tuple[np.ndarray, Prefix, np.ndarray, str]:
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     prefix = Prefix(points)
-    low = sketch(prefix)
-    return points, prefix, low, fingerprint(prefix, low)
+    low, head = sketch(prefix)
+    return points, prefix, head, fingerprint(prefix, low)
 
 
 def _row(own: tuple, neighbour: tuple) -> tuple:
@@ -216,11 +243,12 @@ def _row(own: tuple, neighbour: tuple) -> tuple:
     _next.clear()
     other = held if neighbour[2] == own[2] else _made(neighbour[2])
     _next[neighbour[2]] = other
-    points, prefix, _, mark = held
+    points, prefix, head, mark = held
     size = len(points)
-    edited = np.concatenate([points[: size - size // 3], other[0][: size // 3]])
-    changed = Prefix(edited)
-    after = fingerprint(changed, sketch(changed))
+    kept = size - size // 3
+    edited = np.concatenate([points[:kept], other[0][: size // 3]])
+    changed = Prefix(edited, prefix, kept)
+    after = fingerprint(changed, sketch(changed, head if len(edited) == size else None)[0])
     return (own[1], size, hashlib.sha256(edited.tobytes().decode("utf-32-le").encode()).hexdigest(), mark, after, likeness(mark, after), likeness(mark, other[3]), common_extension(prefix, 0, changed, 0), common_extension(prefix, 0, other[1], 0))
 
 
