@@ -42,16 +42,24 @@ def idf_scores(blocks: DataFrame, prompts: DataFrame, documents: int) -> DataFra
 
 
 def bonuses(scored: DataFrame, blocks: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Adds phrase (+10), numeric (+2) and effective-date (+1.5) bonuses; a heading keeps 0.12 of its score."""
-    cue = F.size(F.array_intersect(T.t1_terms(F.col("text")), F.array(*[F.lit(w) for w in T.NUMERIC]))) > 0
-    asked = prompts.select("item_id", T.t3_text(F.col("text")).alias("phrase"), cue.alias("numeric_cue"))
-    shown = blocks.select(*BLOCK, "text")
-    out = scored.join(shown, BLOCK).join(asked, "item_id")
-    phrase = F.when((F.col("phrase") != "") & T.t3_text(F.col("text")).contains(F.col("phrase")), 10.0).otherwise(0.0)
-    numeric = F.when(F.col("numeric_cue") & F.col("text").rlike("[0-9]"), 2.0).otherwise(0.0)
-    effective = F.when(F.col("text").rlike(T.EFFECTIVE), 1.5).otherwise(0.0)
-    heading = F.when(F.ltrim(F.col("text")).startswith("#"), 0.12).otherwise(1.0)
-    return out.withColumns({"phrase_bonus": phrase, "numeric_bonus": numeric, "effective_bonus": effective}).withColumn("score", F.round((F.col("score") + F.col("phrase_bonus") + F.col("numeric_bonus") + F.col("effective_bonus")) * heading, 6))
+    """Adds phrase (+10), numeric (+2) and effective-date (+1.5) bonuses; a heading keeps 0.12 of its score.
+
+    Patterns are matched once a block, and only flags and sizes travel with the pairs. A block can hold the phrase only if
+    it shares all of the prompt's terms but two (the outer words may match in part), so few pairs meet their texts.
+    """
+    terms = T.t1_terms(F.col("text"))
+    cue = F.size(F.array_intersect(terms, F.array(*[F.lit(w) for w in T.NUMERIC]))) > 0
+    asked = prompts.select("item_id", T.t3_text(F.col("text")).alias("phrase"), cue.alias("numeric_cue"), F.size(terms).alias("terms"))
+    flags = blocks.select(*BLOCK, F.col("text").rlike("[0-9]").alias("digit"), F.col("text").rlike(T.EFFECTIVE).alias("effective"), F.ltrim("text").startswith("#").alias("heading"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+    near = scored.join(asked.filter("phrase <> ''"), "item_id").filter(F.col("overlap") >= F.col("terms") - 2).select("item_id", *BLOCK, "phrase")
+    held = near.join(blocks.select(*BLOCK, "text"), BLOCK).filter(T.t3_text(F.col("text")).contains(F.col("phrase"))).select("item_id", *BLOCK, F.lit(10.0).alias("phrase_bonus"))
+    out = scored.join(flags, BLOCK).join(asked.select("item_id", "numeric_cue"), "item_id").join(held, ["item_id", *BLOCK], "left")
+    numeric = F.when(F.col("numeric_cue") & F.col("digit"), 2.0).otherwise(0.0)
+    effective = F.when(F.col("effective"), 1.5).otherwise(0.0)
+    factor = F.when(F.col("heading"), 0.12).otherwise(1.0)
+    out = out.withColumns({"phrase_bonus": F.coalesce("phrase_bonus", F.lit(0.0)), "numeric_bonus": numeric, "effective_bonus": effective})
+    total = F.round((F.col("score") + F.col("phrase_bonus") + F.col("numeric_bonus") + F.col("effective_bonus")) * factor, 6)
+    return out.withColumn("score", total).drop("digit", "effective", "heading", "numeric_cue")
 
 
 def ranked(blocks: DataFrame, prompts: DataFrame, documents: int) -> DataFrame:
@@ -83,7 +91,7 @@ def packed_blocks(scored: DataFrame, k: int, most_chars: int = MOST_CHARS, most_
     is chosen itself, or its document was, or it did not fit, and then a later one does not either. So the sequential
     fold sees a bounded number of rows a prompt.
     """
-    sized = scored.withColumn("chars", F.length("text")).withColumn("bytes", F.octet_length("text")).filter((F.col("chars") <= most_chars) & (F.col("bytes") <= most_bytes))
+    sized = scored.filter((F.col("chars") <= most_chars) & (F.col("bytes") <= most_bytes))
     order = [F.desc("score"), F.col("doc_id"), F.col("line_no")]
     first = F.row_number().over(Window.partitionBy("item_id", "chars", "bytes", "doc_id").orderBy(*order))
     sized = sized.withColumn("in_doc", first).filter(F.col("in_doc") <= 2 * k)

@@ -22,7 +22,7 @@ def test_packed_blocks_equal_the_sequential_rule(spark):
     r = random.Random(4)
     rows = [(q, d, n, float(r.randrange(40)), "é" * r.choice([3, 10, 10, 25, 60])) for q in range(3) for d in range(12) for n in range(12)]
     got = {}
-    for x in R.packed_blocks(spark.createDataFrame(rows, "item_id int, doc_id int, line_no int, score double, text string"), 5, 90, 150).collect():
+    for x in R.packed_blocks(spark.createDataFrame(rows, "item_id int, doc_id int, line_no int, score double, text string").withColumns({"chars": F.length("text"), "bytes": F.octet_length("text")}), 5, 90, 150).collect():
         got.setdefault(x.item_id, []).append((x.position, x.doc_id, x.line_no))
     for q in range(3):
         ranked = sorted((x for x in rows if x[0] == q), key=lambda x: (-x[3], x[1], x[2]))
