@@ -25,19 +25,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_sample, plan_bytes, stash, unstash
+from factloom.llm.common import bounded_sample, plan_bytes, stash
 from factloom.llm.components import components
 from factloom.llm.groups import forest, whole_groups
 
 PIVOTS, MOST_PIVOTS, NEAREST, SHARED, BLOCK, MEAN_LIST = 128, 4096, 6, 3, 1024, 4096
 
 
-def _unit(block: np.ndarray) -> np.ndarray:
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    """Rows of length 1 in double precision; scaled first, so that no square overflows or vanishes."""
+    block = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    block /= np.abs(block).max(axis=1, keepdims=True)
     return block / np.sqrt((block * block).sum(axis=1, keepdims=True))
 
 
-def describe(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
-    """(key, h1, h2, vec): 128 bits of hash and the bytes of each usable vector, null for others."""
+def describe(vectors: DataFrame, key: str, embedding: str, kind: str) -> DataFrame:
+    """(key, h1, h2, vec): 128 bits of hash and the bytes of each usable vector as it is stored, null for others."""
 
     def run(batches):
         for batch in batches:
@@ -49,8 +52,7 @@ def describe(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
                     low.append(None)
                     body.append(None)
                     continue
-                v = v / np.abs(v).max()  # so that no square overflows or vanishes
-                raw = v.tobytes()
+                raw = v.astype(kind).tobytes()
                 digest = xxhash.xxh3_128_intdigest(raw)
                 high.append((digest >> 64) - (1 << 63))
                 low.append((digest & ((1 << 64) - 1)) - (1 << 63))
@@ -69,12 +71,13 @@ def nearest(unit: np.ndarray, pivots: np.ndarray, rank: np.ndarray) -> np.ndarra
 def near_duplicates(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """key, n_links, component_id, kept, class_id of every row."""
     spark = vectors.sparkSession
-    rows = stash(describe(vectors, key, embedding), "vectors")
+    kind = "<f4" if vectors.schema[embedding].dataType.elementType.simpleString() == "float" else "<f8"
+    rows = stash(describe(vectors, key, embedding, kind), "vectors")
     # The class of a vector: the least key of those with equal bytes; null keys form classes among themselves only.
     classes = stash(rows.filter(F.col("h1").isNotNull() & F.col("key").isNotNull()).groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.count("*").alias("weight"), F.any_value("vec").alias("vec")), "classes")
     sizes = classes.groupBy(F.length("vec").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").collect()
     if sizes:
-        links, edges, spent = _links(classes.filter(F.length("vec") == sizes[0]["size"]), sizes[0]["n"], least)
+        links, edges, spent = _links(classes.filter(F.length("vec") == sizes[0]["size"]), sizes[0]["n"], least, kind)
     else:
         links, edges, spent = spark.createDataFrame([], "rep long, n long"), spark.createDataFrame([], "a long, b long"), None
     found = stash(components(edges).withColumnRenamed("node", "rep"), "components")
@@ -85,7 +88,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, key: str = "vec_id"
     return out.select(F.col("key").alias(key), F.when(F.col("key").isNull() | F.col("rep").isNull(), F.lit(0)).otherwise(F.col("weight") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("key").isNotNull(), own).alias("component_id"), F.col("key").eqNullSafe(F.when(F.col("key").isNotNull(), own)).alias("kept"), F.when(F.col("key").isNotNull(), F.coalesce("rep", "key")).alias("class_id"))
 
 
-def _links(classes: DataFrame, many: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _links(classes: DataFrame, many: int, least: float, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(link counts, forest edges) among classes of one vector length."""
     spark = classes.sparkSession
     count = PIVOTS
@@ -93,7 +96,7 @@ def _links(classes: DataFrame, many: int, least: float) -> tuple[DataFrame, Data
     while count < MOST_PIVOTS and many * lists / (count * (count - 1) / 2) > MEAN_LIST:
         count *= 2
     sample = bounded_sample(classes, "rep", many, 8 * count).select("rep", "vec").orderBy(F.xxhash64("rep")).limit(8 * count).collect()
-    pool = _unit(np.array([np.frombuffer(r["vec"]) for r in sample]))
+    pool = _unit([bytes(r["vec"]) for r in sample], kind)
     chosen = [0]  # reference points that are no near copies of one another
     for i in range(1, len(pool)):
         if len(chosen) == count:
@@ -114,8 +117,8 @@ def _links(classes: DataFrame, many: int, least: float) -> tuple[DataFrame, Data
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(batch.num_rows, -1)
-            near = nearest(_unit(x), own, order).astype(np.int32)
+            x = _unit(batch.column(2).to_pylist(), kind)
+            near = nearest(x, own, order).astype(np.int32)
             lists = [near[:, a] * np.int64(MOST_PIVOTS) + near[:, b] if not short else np.zeros(len(x), np.int64) for a, b in pairs]
             at = pa.array(np.tile(np.arange(len(x)), len(pairs)))
             body = pa.array([n.tobytes() for n in near], pa.binary())
@@ -134,7 +137,7 @@ def _links(classes: DataFrame, many: int, least: float) -> tuple[DataFrame, Data
         for rows, bounds in whole_groups(batches, ["list", "i", "j"]):
             rep, weight, chunk = (rows.column(k).to_numpy() for k in ("rep", "weight", "chunk"))
             listed, low, high = (rows.column(k).to_numpy() for k in ("list", "i", "j"))
-            unit = _unit(np.frombuffer(b"".join(rows.column("vec").to_pylist())).reshape(len(rep), -1))
+            unit = _unit(rows.column("vec").to_pylist(), kind)
             near = np.frombuffer(b"".join(rows.column("near").to_pylist()), np.int32).reshape(len(rep), width)
             counts, total, edges = [], [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -175,6 +178,3 @@ def _links(classes: DataFrame, many: int, least: float) -> tuple[DataFrame, Data
 
     out = stash(units.mapInArrow(verify, "a long, b long, n long"), "links")
     return out.filter("b is null").select(F.col("a").alias("rep"), "n"), out.filter("b is not null").select("a", "b"), out
-
-
-__all__ = ["near_duplicates", "unstash"]
