@@ -18,9 +18,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from factloom.llm import vectext as V
 from factloom.llm.common import plan_bytes
@@ -189,7 +191,7 @@ def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(rows) // (16 << 20))
-    cuts = rows.filter("key is not null").stat.approxQuantile(["key"], [i / ranges for i in range(1, ranges)], 0.2 / ranges)[0] if ranges > 1 else []
+    cuts = rows.filter("key is not null").stat.approxQuantile(["key"], [i / ranges for i in range(1, ranges)], max(0.2 / ranges, 1e-5))[0] if ranges > 1 else []
     cuts = sorted({int(c) for c in cuts})
     bucket = F.when(F.col("key").isNull(), F.lit(-1)).otherwise(sum((F.when(F.col("key") >= c, 1).otherwise(0) for c in cuts), F.lit(0)) if len(cuts) < 64 else _search(cuts))
     placed = rows.withColumn("bucket", bucket.cast("int"))
@@ -222,9 +224,14 @@ def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def _search(cuts: list[int]):
-    """Number of cuts at or below the key, for many cuts."""
-    listed = F.array(*[F.lit(c).cast("long") for c in cuts])
-    return F.size(F.filter(listed, lambda c: c <= F.col("key")))
+    """Number of cuts at or below the key, for many cuts: a binary search over batches of keys."""
+    sorted_ = np.array(cuts, np.int64)
+
+    @F.pandas_udf(IntegerType())
+    def place(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(sorted_, key.fillna(0).to_numpy(np.int64), "right").astype(np.int32))
+
+    return place(F.col("key"))
 
 
 _next: dict[str, tuple] = {}

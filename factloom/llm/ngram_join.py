@@ -336,6 +336,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     edges = stash(_verified(candidates, sets, percent), "edges")
     if large.limit(1).count():
         edges = stash(edges.unionAll(_open_lists(listed.filter(F.col("c") > SMALL), sets, edges, percent)), "edges")
+    for done in (sets, listed, candidates):
+        unstash(done)
     # Classes by their least key: then the least label of a component is the smallest key reachable.
     classes = stash(rows.filter("n > 0 and key is not null").groupBy("name", "n").agg(F.min("key").alias("rep")), "classes")
     ids = classes.select("name", "rep")
@@ -380,6 +382,3 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     once = held.filter("__rows = 1").drop("__rows")
     again = held.filter("__rows > 1").drop("__rows").dropDuplicates([key])
     return once.unionByName(again).select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
-
-
-__all__ = ["join", "keep_one", "shingle_sets", "unstash"]

@@ -137,6 +137,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # about 2 x sample_rows ids
     rows = stash(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").select("text", "label"), "toxicity")
 
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        every, n = np.unique(np.concatenate(held, axis=1), axis=1, return_counts=True)
+        return pa.record_batch([pa.array(every[0].view(np.int64)), pa.array(every[1].astype(np.int32)), pa.array(n)], names=["word", "label", "n"])
+
     def frequencies(batches):
         held: list[np.ndarray] = []
         for part, data, offsets in V.blocks(batches, "text", 1 << 20):
@@ -144,9 +148,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             found, sentence, owner, _ = sentences(data, offsets)
             pair = np.unique(np.stack([found, owner[sentence].astype(np.uint64)]), axis=1) if len(found) else np.zeros((2, 0), np.uint64)
             held.append(np.stack([pair[0], side[pair[1].astype(np.int64)].astype(np.uint64)]))
+            if sum(h.shape[1] for h in held) > 1_000_000:
+                yield counted(held)
+                held = []
         if held:
-            every, n = np.unique(np.concatenate(held, axis=1), axis=1, return_counts=True)
-            yield pa.record_batch([pa.array(every[0].view(np.int64)), pa.array(every[1].astype(np.int32)), pa.array(n)], names=["word", "label", "n"])
+            yield counted(held)
 
     counts = rows.mapInArrow(frequencies, "word long, label int, n long").groupBy("word").agg(F.sum(F.col("n") * F.col("label")).alias("ones"), F.sum("n").alias("all"))
     n1, n0 = float(rows.filter("label = 1").count()), float(rows.filter("label = 0").count())

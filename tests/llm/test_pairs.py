@@ -182,6 +182,18 @@ def test_fingerprints(spark):
     assert fingerprints.edited_neighbours(df.filter("doc_id = 102")).first().near_next == 1.0
 
 
+def test_fingerprints_over_many_ranges(spark):
+    """More ranges than the plain expression serves."""
+    rows = [(7 * k % 1009, f"document {7 * k % 1009} " * 9) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few = {r.doc_id: r.edited_sha256 for r in fingerprints.edited_neighbours(df).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "80")
+    try:
+        assert {r.doc_id: r.edited_sha256 for r in fingerprints.edited_neighbours(df).collect()} == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_warc_files(spark):
     body = b"<html><head><title> A  page </title></head><body><script>x</script><p>One &amp; two</p><a href='/x'>l</a></body></html>"
     http = b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n" + body
