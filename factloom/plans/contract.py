@@ -120,9 +120,8 @@ def parse_quality(spark, d):
 @contract("""WITH e AS (SELECT page_id, unnest(l) AS piece, CAST(unnest(generate_series(0, len(l) - 1)) AS INTEGER) AS ordinal FROM (SELECT page_id, regexp_extract_all(html, '<(?:h1|p)>[^<]*') AS l FROM pages))
 SELECT page_id, ordinal, substr(piece, strpos(piece, '>') + 1) AS text, last_value(CASE WHEN starts_with(piece, '<h1>') THEN substr(piece, 5) END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS concept FROM e""")
 def distill_forward_fill(spark, d):
-    pieces = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<(?:h1|p)>[^<]*"), F.lit(0))).alias("ordinal", "piece"))
-    filled = B.forward_fill(pieces, "page_id", "ordinal", F.col("piece").startswith("<h1>"), F.substring("piece", 5, 1 << 30))
-    return filled.select("page_id", "ordinal", F.expr("substring(piece, instr(piece, '>') + 1)").alias("text"), "concept")
+    filled = B.forward_fill(B.html_paragraphs(table(spark, d, "pages")), "page_id", "ordinal", F.col("heading"), F.col("text"))
+    return filled.select("page_id", "ordinal", "text", "concept")
 
 
 # Retrieval

@@ -153,6 +153,22 @@ def html_headings(pages: DataFrame, key: str = "page_id", source: str = "html")
     return pages.select(key, F.trim(F.regexp_replace(F.regexp_extract(source, r"<h1>([^<]*)</h1>", 1), r"\s+", " ")).alias("heading"))
 
 
+#: Start or end tags that end a heading or a paragraph.
+_BLOCK = "address|article|aside|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hgroup|hr|html|legend|li|main|menu|nav|ol|p|pre|search|section|summary|table|tbody|td|tfoot|th|thead|tr|ul"
+#: The rest of a tag after its name; a > in a quoted value does not end it. Possessive, so that long texts need no stack.
+_REST = r"""(?=[\s/>])(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+_UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*+>|\z)"
+_PIECE = rf"(?i)<(?:h1|p){_REST}[^<]*+(?:<(?!/?(?:{_BLOCK})(?=[\s/>]))[^<]*+)*+"
+
+
+def html_paragraphs(pages: DataFrame, key: str = "page_id", source: str = "html") -> DataFrame:
+    """First-level headings and paragraphs up to their end, the next block tag: key, ordinal, heading, text as in the source without tags inside; line breaks are spaces."""
+    seen = F.regexp_replace(source, _UNSEEN, "")
+    pieces = pages.select(key, F.posexplode(F.regexp_extract_all(seen, F.lit(_PIECE), F.lit(0))).alias("ordinal", "piece"))
+    inner = F.regexp_replace(F.regexp_replace("piece", rf"(?i)^<(?:h1|p){_REST}", ""), rf"(?i)<br{_REST}", " ")
+    return pieces.select(key, "ordinal", F.col("piece").rlike("(?i)^<h1").alias("heading"), F.regexp_replace(inner, rf"</?[a-zA-Z][^\s/>]*+{_REST}|<[!?][^>]*+>", "").alias("text"))
+
+
 def parse_quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Share of a text that its blocks cover, and what to do with the parse."""
     size = F.sum(F.length("text"))
