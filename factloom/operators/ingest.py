@@ -23,11 +23,11 @@ def items(manifest: DataFrame, documents: DataFrame, known: DataFrame) -> DataFr
 
 
 def distil(blocks: DataFrame, most: int = 512) -> DataFrame:
-    """Claims with citations: body blocks of at most ``most`` signs under the latest heading (doc_id, line_no, text, start, end)."""
+    """A claim for every body block under the latest heading; the text, its citation, is withheld (null) above ``most`` signs."""
     heading = F.ltrim("text").startswith("#")
     filled = B.forward_fill(blocks, "doc_id", "line_no", heading, F.trim(F.regexp_replace("text", "^[# ]+", "")))
-    claims = filled.filter(~heading & (F.length("text") <= most))
-    return claims.select("doc_id", "line_no", F.coalesce("concept", F.lit("")).alias("concept"), "text", F.concat(F.lit("claim-"), F.substring(T.digest(F.col("doc_id"), F.col("line_no"), F.col("text")), 8, 24)).alias("claim_id"))
+    shown = F.when(F.length("text") <= most, F.col("text")).alias("text")
+    return filled.filter(~heading).select("doc_id", "line_no", F.coalesce("concept", F.lit("")).alias("concept"), shown, F.concat(F.lit("claim-"), F.substring(T.digest(F.col("doc_id"), F.col("line_no"), F.col("text")), 8, 24)).alias("claim_id"))
 
 
 def checkpoint_chain(done: DataFrame, group: str) -> DataFrame:
