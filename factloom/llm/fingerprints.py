@@ -104,44 +104,55 @@ def common_extension(a: Prefix, i: int, b: Prefix, j: int) -> int:
     return low
 
 
-def _windows(prefix: Prefix, first: int, last: int, low: np.ndarray) -> None:
-    """Least mixed hash in each bin, of the windows that start in [first, last)."""
+def _windows(prefix: Prefix, first: int, last: int, low: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Least mixed hash in each bin, of the windows that start in [first, last); their hashes in order.
+
+    The k-th time a window occurs counts as another window; ``before`` has the ordered hashes of all windows ahead of ``first``.
+    """
     width = min(WINDOW, prefix.size)
+    h = np.empty(max(0, last - first), np.uint64)
     for start in range(first, last, STEP):
         stop = min(start + STEP, last)
-        h = prefix.spans(slice(start, stop), slice(start + width, stop + width))
-        ordered = np.sort(h)
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        if len(twice):  # the k-th time a window occurs counts as another window
-            at = np.minimum(np.searchsorted(twice, h), len(twice) - 1)
-            where = np.flatnonzero(twice[at] == h)
-            order = where[np.argsort(at[where], kind="stable")]
-            group = at[order]
-            head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            turn = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
-            with np.errstate(over="ignore"):
-                h[order] += turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        h = V.mix(h, 31)
-        np.minimum.at(low, (h & np.uint64(BINS - 1)).astype(np.int64), h)
+        h[start - first : stop - first] = prefix.spans(slice(start, stop), slice(start + width, stop + width))
+    ordered = np.sort(h)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    if len(before) and len(h):
+        at = np.minimum(np.searchsorted(before, ordered), len(before) - 1)
+        again = np.append(again, ordered[before[at] == ordered])
+    again = np.unique(again)
+    if len(again):
+        earlier = np.searchsorted(before, again, "right") - np.searchsorted(before, again)
+        at = np.minimum(np.searchsorted(again, h), len(again) - 1)
+        where = np.flatnonzero(again[at] == h)
+        order = where[np.argsort(at[where], kind="stable")]
+        group = at[order]
+        head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        turn = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order)))) + earlier[group]
+        with np.errstate(over="ignore"):
+            h[order] += turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for start in range(0, len(h), STEP):
+        mixed = V.mix(h[start : start + STEP], 31)
+        np.minimum.at(low, (mixed & np.uint64(BINS - 1)).astype(np.int64), mixed)
+    return ordered
 
 
 def _split(size: int) -> tuple[int, int]:
-    """(windows that lie in the first two thirds, all windows): the two parts count repeats on their own."""
+    """(windows that lie in the first two thirds, all windows)."""
     width = min(WINDOW, size)
     return max(0, size - size // 3 - width + 1), size - width + 1
 
 
-def sketch(prefix: Prefix, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(least hash of each bin, the same of the first part alone); all ones if there is none. ``head``: the first part's, if known."""
+def sketch(prefix: Prefix, head: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(least hash of each bin, (the same of the first part alone, its windows' hashes in order)); all ones if there is none. ``head``: the first part's, if known."""
     none = np.full(BINS, np.uint64(0xFFFFFFFFFFFFFFFF))
     if not prefix.size:
-        return none, none
+        return none, (none, none[:0])
     cut, end = _split(prefix.size)
     if head is None:
-        head = none.copy()
-        _windows(prefix, 0, cut, head)
-    low = head.copy()
-    _windows(prefix, cut, end, low)
+        low = none.copy()
+        head = low, _windows(prefix, 0, cut, low, none[:0])
+    low = head[0].copy()
+    _windows(prefix, cut, end, low, head[1])
     return low, head
 
 
@@ -237,7 +248,7 @@ def _search(cuts: list[int]):
 _next: dict[str, tuple] = {}
 
 
-def _made(text: str) -> tuple[np.ndarray, Prefix, np.ndarray, str]:
+def _made(text: str) -> tuple[np.ndarray, Prefix, tuple[np.ndarray, np.ndarray], str]:
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     prefix = Prefix(points)
     low, head = sketch(prefix)

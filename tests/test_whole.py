@@ -1,8 +1,15 @@
 """Queries do the whole job where their SQL leaves something out."""
 
 import hashlib
+import random
+from collections import Counter
 from html.parser import HTMLParser
 
+import numpy as np
+import pytest
+
+from factloom.llm import fingerprints
+from factloom.llm import vectext as V
 from factloom.operators import ingest as I
 from factloom.plans import contract
 from factloom.sources import blocks as B
@@ -64,3 +71,43 @@ def test_a_claim_for_every_body_block(spark):
     digest = lambda k: "claim-" + hashlib.sha256(f"7|{k}|{lines[k]}".encode()).hexdigest()[:24]
     want = [(0, "", lines[0]), (2, "Head", lines[2]), (4, "Head", None), (6, "Next", None)]
     assert [(r.line_no, r.concept, r.text, r.claim_id) for r in got] == [(k, c, t, digest(k)) for k, c, t in want]
+
+
+def _prefix(text):
+    return fingerprints.Prefix(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+
+
+def _exact_sketch(text):
+    """Every window with its number of earlier occurrences in the whole text, one by one."""
+    prefix, width, met, out = _prefix(text), min(fingerprints.WINDOW, len(text)), Counter(), []
+    for k in range(len(text) - width + 1):
+        window = text[k : k + width]
+        out.append((prefix.span(k, k + width) + met[window] * 0x9E3779B97F4A7C15) % 2**64)
+        met[window] += 1
+    h, low = V.mix(np.array(out, np.uint64), 31), np.full(fingerprints.BINS, 2**64 - 1, np.uint64)
+    np.minimum.at(low, (h % np.uint64(fingerprints.BINS)).astype(np.int64), h)
+    return low
+
+
+@pytest.mark.parametrize("step", [fingerprints.STEP, 500])
+def test_repeats_count_over_the_whole_text(monkeypatch, step):
+    monkeypatch.setattr(fingerprints, "STEP", step)
+    r = random.Random(3)
+    lines = ["".join(r.choice("abcdef ") for _ in range(r.randrange(5, 60))) + "\n" for _ in range(40)]
+    texts = ["x", "short", "abc" * 5, "one line that repeats.\n" * 417, "".join(lines), "".join(r.choice(lines) for _ in range(300)), "ab" * 4000]
+    for text in texts:
+        assert (fingerprints.sketch(_prefix(text))[0] == _exact_sketch(text)).all()
+    own, other = texts[3], texts[5][: len(texts[3])]
+    edited = fingerprints._row((0, 1, own), (0, 2, other))
+    kept = len(own) - len(own) // 3
+    changed = own[:kept] + other[: len(own) // 3]
+    assert edited[4] == fingerprints.fingerprint(_prefix(changed), _exact_sketch(changed))
+
+
+def test_a_long_repetitive_text_against_half_of_it():
+    line = "".join(random.Random(5).choice("abcdefgh ") for _ in range(2000)) + "\n"
+    long, half = line * 400, line * 200
+    one, two = (Counter(t[k : k + fingerprints.WINDOW] for k in range(len(t) - fingerprints.WINDOW + 1)) for t in (long, half))
+    exact = 2 * (one & two).total() / (one.total() + two.total())
+    got = fingerprints.likeness(*(fingerprints.fingerprint(_prefix(t), fingerprints.sketch(_prefix(t))[0]) for t in (long, half)))
+    assert abs(exact - 2 / 3) < 0.01 and abs(got - exact) < 0.2
