@@ -8,7 +8,8 @@ for a whole batch of pages; the result is each element's exact marginal. Text is
 content than boilerplate.
 
 Character references are decoded, white space inside a block becomes one space, blocks join by one space in page order.
-A null or empty page has an empty text. Scripts, styles, the head and comments of the markup never are text.
+A null or empty page has an empty text. Scripts, styles, the head, titles, comments, and what iframes and text areas hold never
+are text. All other elements are read alike, and one that is not closed ends with its parent.
 Repeated rows stay repeated; only the three columns named are read.
 """
 

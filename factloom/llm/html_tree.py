@@ -7,15 +7,21 @@ import re
 
 # Element classes of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math select".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = set("script style head title noscript template iframe svg math select textarea".split())
+RAW = set("script style textarea title iframe".split())
+#: Elements of formulas and drawings, which a slash closes; they are no nodes, their text is that of the element around them.
+APART = set("annotation mtr mtd text desc foreignobject".split())
+FOREIGN = APART | set("math mi mo mn ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable menclose maction semantics".split())
+FOREIGN |= set("svg g tspan textpath path rect circle ellipse line polyline polygon defs use symbol marker lineargradient radialgradient stop clippath pattern mask filter metadata image".split())
+INLINE = FOREIGN - APART | set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SKIPPED = set("script style head title iframe textarea".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
 _OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|([!?]))")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: The rest of a tag after its name, by one scan; a > in a quoted value does not end it, an unclosed quote counts as a sign.
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -67,13 +73,11 @@ def parse(source: str) -> Page:
             continue
         tag = m.group(3).lower()
         body = source[m.end() : end if end >= 0 else size]
-        while end >= 0 and (body.count('"') % 2 or body.count("'") % 2 and '"' not in body):  # a > inside a quoted value
-            more = source.find(">", end + 1)
-            if more < 0 or more - m.end() > 65_536:
-                body = source[m.end() : source.find(">", m.end())]
-                end = m.end() + len(body)
-                break
-            end, body = more, source[m.end() : more]
+        if end >= 0 and ('"' in body or "'" in body):  # a > inside a quoted value
+            rest = _REST.match(source, m.end())
+            if rest:
+                end = rest.end() - 1
+                body = source[m.end() : end]
         at = size if end < 0 else end + 1
         if m.group(2):
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == tag), 0)
@@ -101,6 +105,10 @@ def parse(source: str) -> Page:
         if tag == "br":
             text(" ")
             continue
+        if tag in FOREIGN:
+            if not body.endswith("/"):
+                stack.append((stack[-1][0], tag))
+            continue
         names, label = _names(body) if body else ((), None)
         page.tags.append(tag)
         page.parents.append(stack[-1][0])

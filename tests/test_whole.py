@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 import numpy as np
 import pytest
 
-from factloom.llm import fingerprints
+from factloom.llm import fingerprints, html_extract, html_tree
 from factloom.llm import vectext as V
 from factloom.operators import ingest as I
 from factloom.plans import contract
@@ -111,3 +111,32 @@ def test_a_long_repetitive_text_against_half_of_it():
     exact = 2 * (one & two).total() / (one.total() + two.total())
     got = fingerprints.likeness(*(fingerprints.fingerprint(_prefix(t), fingerprints.sketch(_prefix(t))[0]) for t in (long, half)))
     assert abs(exact - 2 / 3) < 0.01 and abs(got - exact) < 0.2
+
+
+def _main_text(inside):
+    body = "<p>Some words of the article come first, and then some more.</p>%s<p>The article ends here, after all the rest of it.</p>"
+    page = "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Head</h1>%s</article><footer>&copy; 2024 us</footer></body></html>"
+    return html_extract.main_texts([page % (body % inside)], html_extract.model())[0]
+
+
+FIRST, LAST = "Head Some words of the article come first, and then some more. ", " The article ends here, after all the rest of it."
+
+
+def test_formulas_are_text():
+    formula = "<math><msup><mi>x</mi><mn>2</mn></msup><mo>+</mo><mspace/><mi>y</mi></math>"
+    assert _main_text(f"<p>Here ({formula}) is a formula, set in the text.</p>") == FIRST + "Here (x2+y) is a formula, set in the text." + LAST
+    assert "A drawing: Axis of the drawing Other The" in _main_text("<p>A drawing: <svg><path d='M0'/><g><text>Axis of the drawing</text><text>Other</text></g></svg></p>")
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "select", "template", "noscript"])
+def test_an_unclosed_element_loses_nothing(tag):
+    for inside in (f"<{tag}>", f"<div><{tag}></div>", f"<p><{tag}>"):
+        assert _main_text(inside).split() == (FIRST + LAST).split(), inside
+
+
+def test_long_quoted_attributes():
+    for size in (10, 70_000, 1_000_000):
+        page = html_tree.parse(f"<p title='a > {'b' * size} > c' class=\"x>y\">It's <a href=x'>one</a> <b title=\"two>three</p>")
+        assert "".join(t for _, t, _ in page.chunks) == "It's one three"
+        assert page.tags == ["#root", "p", "a", "b"]
+    assert html_tree.parse("<p t='" + "> " * 200_000 + "'>x").chunks == [(1, "x", 1)]
