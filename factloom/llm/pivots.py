@@ -10,8 +10,8 @@ chunks, and each pair of chunks is a unit of work of its own, so no list is gath
 counts and a spanning forest, never its pairs; a pair is counted in the least list that both of it are in.
 The reference points double until the mean list is at most ``MEAN_LIST`` long.
 
-Vectors that are null, zero, or hold null or non-finite components link with nothing. Vectors of other
-lengths than the most common one are compared with their equals only. Repeated rows are vectors of their own
+Vectors that are null, zero, or hold null or non-finite components link with nothing. Vectors of each length
+are indexed by themselves; vectors of two lengths never link. Repeated rows are vectors of their own
 that link with each other. Other columns are not read.
 """
 
@@ -76,10 +76,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, key: str = "vec_id"
     # The class of a vector: the least key of those with equal bytes; null keys form classes among themselves only.
     classes = stash(rows.filter(F.col("h1").isNotNull() & F.col("key").isNotNull()).groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.count("*").alias("weight"), F.any_value("vec").alias("vec")), "classes")
     sizes = classes.groupBy(F.length("vec").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").collect()
-    if sizes:
-        links, edges, spent = _links(classes.filter(F.length("vec") == sizes[0]["size"]), sizes[0]["n"], least, kind)
-    else:
-        links, edges, spent = spark.createDataFrame([], "rep long, n long"), spark.createDataFrame([], "a long, b long"), None
+    links, edges, spent = spark.createDataFrame([], "rep long, n long"), spark.createDataFrame([], "a long, b long"), []
+    for r in sizes:  # a length that one class has links with nothing
+        if r["n"] > 1:
+            own_links, own_edges, used = _links(classes.filter(F.length("vec") == r["size"]), r["n"], least, kind)
+            links, edges = links.unionAll(own_links), edges.unionAll(own_edges)
+            spent.append(used)
     found = stash(components(edges).withColumnRenamed("node", "rep"), "components")
     counted = classes.select("h1", "h2", "rep", "weight").join(links.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left").join(found, "rep", "left")
     out = rows.select("key", "h1", "h2").join(counted, ["h1", "h2"], "left")  # a hot class is a skewed join

@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 import numpy as np
 import pytest
 
-from factloom.llm import fingerprints, html_extract, html_tree
+from factloom.llm import fingerprints, html_extract, html_tree, pivots
 from factloom.llm import vectext as V
 from factloom.operators import ingest as I
 from factloom.plans import contract
@@ -140,3 +140,17 @@ def test_long_quoted_attributes():
         assert "".join(t for _, t, _ in page.chunks) == "It's one three"
         assert page.tags == ["#root", "p", "a", "b"]
     assert html_tree.parse("<p t='" + "> " * 200_000 + "'>x").chunks == [(1, "x", 1)]
+
+
+def test_near_vectors_of_every_length(spark):
+    r = np.random.default_rng(8)
+    rows = [(0, [1.0, 0.0, 0.0])]
+    for size, many in ((64, 60), (32, 40), (5, 2)):
+        for v in r.normal(size=(many // 2, size)):
+            rows += [(len(rows), v.tolist()), (len(rows) + 1, (v + r.normal(size=size) * 0.05 * np.linalg.norm(v) / size**0.5).tolist())]
+    want = {}
+    for k, v in rows:
+        want[k] = sum(len(v) == len(w) and k != j and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.95 for j, w in rows)
+    got = {x.vec_id: x for x in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {k: x.n_links for k, x in got.items()} == want
+    assert sum(want.values()) >= 2 * 51 and all(got[k].component_id == (k if k % 2 else k - 1) for k in range(1, len(rows)) if want[k] == 1)
