@@ -2,24 +2,26 @@
 
 ``read_records`` cuts WARC files (plain or gzip by record) into records; ``derive`` makes, for every response, a
 ``metadata`` record (application/warc-fields) and a ``conversion`` record (text/plain); ``serialise`` gives the
-bytes of a record. ``derive`` uses DataFrame functions only. The records stay linked: WARC-Refers-To names the
+bytes of a record. ``derive`` uses DataFrame functions, and one Arrow pass for references. The records stay linked: WARC-Refers-To names the
 response's record id, WARC-Refers-To-Target-URI, WARC-Date and the payload digest come from its headers,
 and all its headers are kept. New record ids are name-based, from the source's id and the new type, so that a task that
 runs again writes the same records. Digests are sha256 in hexadecimal, of the whole block.
 
-The plain text is the payload without comments, scripts and styles, tags cut at their brackets, the five
-XML references decoded, white space folded. Null payloads are empty, null headers are left out; repeated rows give
+The plain text is the payload without comments, scripts and styles, tags cut at their brackets, all
+character references decoded, white space (no-break spaces too) folded. Null payloads are empty, null headers are left out; repeated rows give
 repeated records; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import gzip
+import html
 import io
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The marks of the format.
 VERSION, END = "WARC/1.1", "\r\n"
@@ -45,12 +47,15 @@ def digest(text: Column) -> Column:
 
 
 def plain_text(payload: Column) -> Column:
-    """Text of a payload by functions alone; patterns without look-around, so other engines agree."""
+    """Text of a payload: markup is cut by functions alone, then all character references are decoded, each once."""
     text = F.regexp_replace(payload, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"<[^<>]*>", " ")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
+    text = _decoded(F.regexp_replace(text, r"<[^<>]*>", " "))
+    return F.trim(F.regexp_replace(text, r"[ \t\n\r\f\u00a0]+", " "))
+
+
+@F.arrow_udf(StringType())
+def _decoded(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else html.unescape(t) for t in text.to_pylist()], pa.string())
 
 
 def derive(records: DataFrame) -> DataFrame:

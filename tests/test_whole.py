@@ -1,14 +1,16 @@
 """Queries do the whole job where their SQL leaves something out."""
 
 import hashlib
+import html
 import random
+import re
 from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 
-from factloom.llm import fingerprints, html_extract, html_tree, pivots
+from factloom.llm import fingerprints, html_extract, html_tree, pivots, queries, warc
 from factloom.llm import vectext as V
 from factloom.operators import ingest as I
 from factloom.plans import contract
@@ -46,8 +48,8 @@ class _Reader(HTMLParser):
 
 
 def test_paragraphs_up_to_their_end(spark):
-    html = "<!-- <p>no</p> --><script>'<p>no'</script><h1 id=a>A <i>b</i></h1><p><b>c</b> d<p class='x>y' title=\"it's\">e < f<br/>g <a href=z>h</a></div>i<pre>j</pre><P>k<!-- <p> --> &amp; l<div>m</div>" + "<p>" + "<b>n</b>" * 20_000
-    got = B.html_paragraphs(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("ordinal").collect()
+    page = "<!-- <p>no</p> --><script>'<p>no'</script><h1 id=a>A <i>b</i></h1><p><b>c</b> d<p class='x>y' title=\"it's\">e < f<br/>g <a href=z>h</a></div>i<pre>j</pre><P>k<!-- <p> --> &amp; l<div>m</div>" + "<p>" + "<b>n</b>" * 20_000
+    got = B.html_paragraphs(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).orderBy("ordinal").collect()
     assert [(r.heading, r.text) for r in got] == [(True, "A b"), (False, "c d"), (False, "e < f g h"), (False, "k &amp; l"), (False, "n" * 20_000)]
 
 
@@ -154,3 +156,20 @@ def test_near_vectors_of_every_length(spark):
     got = {x.vec_id: x for x in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert {k: x.n_links for k, x in got.items()} == want
     assert sum(want.values()) >= 2 * 51 and all(got[k].component_id == (k if k % 2 else k - 1) for k in range(1, len(rows)) if want[k] == 1)
+
+
+def test_all_references_are_decoded(spark):
+    rows = [(1, "u", "<p>&copy; 2024 &middot; it&apos;s &#233;&#xe9;&nbsp;&#160;x &amp;lt; y &unknown; &lt;b&gt;</p>"), (2, "u", None)]
+    made = warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))).filter("warc_type = 'conversion'")
+    got = {r.source_key: r for r in made.collect()}
+    want = "\u00a9 2024 \u00b7 it's \u00e9\u00e9 x &lt; y &unknown; <b>"
+    assert got[1].block == want and got[2].block == ""
+    assert got[1].content_length == len(want.encode()) and got[1].block_digest == "sha256:" + hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_conversions_of_the_pages(spark):
+    got = {r.source_key: r.block for r in queries.op2_warc_derivatives(spark, SF).filter("warc_type = 'conversion'").collect()}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        text = re.sub(r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ", r.html)
+        text = html.unescape(re.sub("<[^<>]*>", " ", text))
+        assert got[r.page_id] == re.sub(r"[ \t\n\r\f\u00a0]+", " ", text).strip(" ")
