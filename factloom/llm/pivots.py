@@ -1,8 +1,8 @@
 """Operator 5: embedding near-duplicates by a pivot-permutation index.
 
-Reference points are a bounded sample of the vectors. A vector is described by its ``NEAREST``
+Reference points are a bounded sample of the vectors. A vector is described by its ``NEAREST`` or more (``described``)
 reference points in order of rareness, and indexed under every pair of them except those with the last: two vectors
-that share at least ``SHARED`` = 3 of 6 share such a pair. So each inverted list is one pair of pivots, its members
+that share at least ``SHARED`` = 3 of them share such a pair. So each inverted list is one pair of pivots, its members
 are compared only if they share enough pivots, and the cosine in double precision decides. Every vector is indexed.
 
 Equal vectors are one class with a weight; only classes are compared. A list longer than ``BLOCK`` is cut into
@@ -62,9 +62,14 @@ def describe(vectors: DataFrame, key: str, embedding: str, kind: str) -> DataFra
     return vectors.select(F.col(key).cast("long").alias("key"), F.col(embedding).cast("array<double>").alias("vec")).mapInArrow(run, "key long, h1 long, h2 long, vec binary")
 
 
-def nearest(unit: np.ndarray, pivots: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The NEAREST pivots of each vector as ranks, ascending."""
-    near = np.argpartition(-(unit @ pivots.T), min(NEAREST, len(pivots) - 1), axis=1)[:, :NEAREST]
+def described(count: int) -> int:
+    """How many of ``count`` reference points describe a vector: the more there are, the fewer of the nearest do near vectors share."""
+    return NEAREST + (count > 128) + (count > 256) + 2 * (count > 2048)
+
+
+def nearest(unit: np.ndarray, pivots: np.ndarray, rank: np.ndarray, many: int = NEAREST) -> np.ndarray:
+    """The ``many`` nearest pivots of each vector as ranks, ascending."""
+    near = np.argpartition(-(unit @ pivots.T), min(many, len(pivots) - 1), axis=1)[:, :many]
     return np.sort(rank[near], axis=1)
 
 
@@ -94,9 +99,10 @@ def _links(classes: DataFrame, many: int, least: float, kind: str) -> tuple[Data
     """(link counts, forest edges) among classes of one vector length."""
     spark = classes.sparkSession
     count = PIVOTS
-    lists = NEAREST * (NEAREST - 1) // 2 - (NEAREST - 1)  # pairs among all but the last
-    while count < MOST_PIVOTS and many * lists / (count * (count - 1) / 2) > MEAN_LIST:
+    lists = lambda: (described(count) - 1) * (described(count) - 2) // 2  # noqa: E731  pairs among all but the last
+    while count < MOST_PIVOTS and many * lists() / (count * (count - 1) / 2) > MEAN_LIST:
         count *= 2
+    closest = described(count)
     sample = bounded_sample(classes, "rep", many, 8 * count).select("rep", "vec").orderBy(F.xxhash64("rep")).limit(8 * count).collect()
     pool = _unit([bytes(r["vec"]) for r in sample], kind)
     chosen = [0]  # reference points that are no near copies of one another
@@ -106,13 +112,13 @@ def _links(classes: DataFrame, many: int, least: float, kind: str) -> tuple[Data
         if (pool[chosen] @ pool[i]).max() < 0.8:
             chosen.append(i)
     pivots = pool[chosen]
-    use = np.bincount(np.argpartition(-(pool @ pivots.T), min(NEAREST, len(pivots) - 1), axis=1)[:, :NEAREST].ravel(), minlength=len(pivots))
+    use = np.bincount(np.argpartition(-(pool @ pivots.T), min(closest, len(pivots) - 1), axis=1)[:, :closest].ravel(), minlength=len(pivots))
     rank = np.empty(len(pivots), np.int64)
     rank[np.argsort(use, kind="stable")] = np.arange(len(pivots))
     held = spark.sparkContext.broadcast((pivots, rank))  # MOST_PIVOTS vectors at most
-    width = min(NEAREST, len(pivots))
-    short = len(pivots) <= NEAREST  # then all vectors share all pivots, in one list
-    pairs = [(0, 0)] if short else list(itertools.combinations(range(NEAREST - 1), 2))
+    width = min(closest, len(pivots))
+    short = len(pivots) <= closest  # then all vectors share all pivots, in one list
+    pairs = [(0, 0)] if short else list(itertools.combinations(range(closest - 1), 2))
 
     def index(batches):
         own, order = held.value
@@ -120,7 +126,7 @@ def _links(classes: DataFrame, many: int, least: float, kind: str) -> tuple[Data
             if not batch.num_rows:
                 continue
             x = _unit(batch.column(2).to_pylist(), kind)
-            near = nearest(x, own, order).astype(np.int32)
+            near = nearest(x, own, order, closest).astype(np.int32)
             lists = [near[:, a] * np.int64(MOST_PIVOTS) + near[:, b] if not short else np.zeros(len(x), np.int64) for a, b in pairs]
             at = pa.array(np.tile(np.arange(len(x)), len(pairs)))
             body = pa.array([n.tobytes() for n in near], pa.binary())

@@ -173,3 +173,25 @@ def test_conversions_of_the_pages(spark):
         text = re.sub(r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ", r.html)
         text = html.unescape(re.sub("<[^<>]*>", " ", text))
         assert got[r.page_id] == re.sub(r"[ \t\n\r\f\u00a0]+", " ", text).strip(" ")
+
+
+@pytest.mark.parametrize("count", [128, 256, 512, 1024, 2048, 4096])
+def test_near_vectors_share_reference_points_at_every_size(count):
+    r = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    one, two = unit(r.normal(size=(4000, 64))), r.normal(size=(4000, 64))
+    two = 0.95 * one + (1 - 0.95**2) ** 0.5 * unit(two - (one * two).sum(1, keepdims=True) * one)
+    points, order, many = unit(r.normal(size=(count, 64))), np.arange(count), pivots.described(count)
+    a, b = (pivots.nearest(x, points, order, many) for x in (one, two))
+    shared = (a[:, :, None] == b[:, None, :]).sum((1, 2))
+    assert (shared >= pivots.SHARED).mean() > 0.965
+
+
+def test_more_reference_points_find_the_same_links(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = []
+    for v in r.normal(size=(300, 64)):
+        rows += [(len(rows), v.tolist()), (len(rows) + 1, (v + r.normal(size=64) * 0.1).tolist())]
+    monkeypatch.setattr(pivots, "PIVOTS", 256)
+    got = pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [x.n_links for x in got] == [1] * 600
