@@ -3,12 +3,14 @@
 A text is a bag of sentences (cut after . ! ? and at line ends). A sentence's logit is a bias and the weights
 of its distinct features, its words and their beginnings of 4 to 7 signs (so that an inflected stem counts); the text's probability is the noisy-or of its sentences, so that only texts need
 labels, and the sentences that carry the score can be located. Words are ASCII letters (lower-cased),
-digits, apostrophes and all non-ASCII signs. Learnt from a bounded sample of labelled rows
-(``sample_rows`` of each label), with the ``FEATURES`` whose document frequencies differ most between the labels.
+digits, apostrophes and all non-ASCII signs. Learnt from a bounded sample of labelled rows (``sample_rows`` of each
+label and ``SAMPLE_BYTES`` of text in all, none of whose texts is longer than a sixteenth of that), with the ``FEATURES``
+whose document frequencies differ most between the labels.
 
 A null or empty text has no sentence: its score is the noisy-or of nothing, 0. Conflicting labels of one
 document count as toxic; null labels teach nothing; with one label only, or none, every score is the share of toxic
-labels. Repeated rows stay repeated; other columns are not read.
+labels. Repeated rows stay repeated; an id that several rows bear teaches by the greatest of its texts; other columns
+are not read. Clashing columns of the results' names are replaced.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import vectext as V
-from factloom.llm.common import bounded_sample, held_out, stash, unstash
+from factloom.llm.common import bounded_sample, held_out, stash, unstash, with_fields
 
-SAMPLE_ROWS, FEATURES, THRESHOLD = 4000, 4096, 0.3
+SAMPLE_ROWS, SAMPLE_BYTES, FEATURES, THRESHOLD = 4000, 64 << 20, 4096, 0.3
 BEGINNINGS = (4, 5, 6, 7)
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
@@ -101,23 +103,28 @@ def entries(known: np.ndarray, hashes: np.ndarray, sentence: np.ndarray) -> np.n
     return np.unique(sentence[hit].astype(np.int64) * len(known) + at[hit])
 
 
+def gradient(weight: np.ndarray, bias: float, labels: np.ndarray, owner: np.ndarray, row: np.ndarray, col: np.ndarray, decay: float) -> tuple[float, np.ndarray, float]:
+    """(mean loss, its gradient by the weights, by the bias) of the noisy-or likelihood; ``row``, ``col``: each sentence's features."""
+    logit = bias + np.bincount(row, weights=weight[col], minlength=len(owner))
+    p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    clean = np.bincount(owner, weights=np.logaddexp(0, logit), minlength=len(labels))  # -log of the chance of no toxic sentence
+    whole = np.clip(-np.expm1(-clean), 1e-9, 1)
+    loss = np.where(labels > 0, -np.log(whole), clean).mean() + decay / 2 * (weight @ weight)
+    pull = np.where(labels > 0, (1 - whole) / whole, -1.0)[owner] * p
+    return float(loss), -np.bincount(col, weights=pull[row], minlength=len(weight)) / len(labels) + decay * weight, -pull.sum() / len(labels)
+
+
 def train(words: np.ndarray, start: np.ndarray, bags: list[tuple[int, int, np.ndarray]], rounds: int = 300, decay: float = 2e-4) -> Model:
     """bags: (label, sentences, entries). Noisy-or likelihood by Adam over the sampled bags, from the weights ``start``."""
     labels = np.array([b[0] for b in bags], float)
     owner = np.repeat(np.arange(len(bags)), [b[1] for b in bags])
     before = np.cumsum([0, *[b[1] for b in bags]])
-    every = np.concatenate([b[2] + n * len(words) for b, n in zip(bags, before[:-1], strict=True)])
-    row, col, many = every // len(words), every % len(words), int(before[-1])
+    every = np.concatenate([b[2].astype(np.int64) + n * len(words) for b, n in zip(bags, before[:-1], strict=True)])
+    row, col = every // len(words), every % len(words)
     weight, bias = start.copy(), -6.0
     moment, square, mb, sb = np.zeros(len(words)), np.zeros(len(words)), 0.0, 0.0
     for t in range(1, rounds + 1):
-        logit = bias + np.bincount(row, weights=weight[col], minlength=many)
-        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        clean = np.bincount(owner, weights=np.logaddexp(0, logit), minlength=len(bags))
-        whole = np.clip(-np.expm1(-clean), 1e-9, 1)
-        pull = np.where(labels > 0, (1 - whole) / whole, -1.0)[owner] * p  # the likelihood's gradient by the logit
-        grad = -np.bincount(col, weights=pull[row], minlength=len(words)) / len(bags) + decay * weight
-        gb = -pull.sum() / len(bags)
+        _, grad, gb = gradient(weight, bias, labels, owner, row, col, decay)
         rate = 0.1 if t < rounds * 2 // 3 else 0.02
         moment, square = 0.9 * moment + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         mb, sb = 0.9 * mb + 0.1 * gb, 0.999 * sb + 0.001 * gb**2
@@ -134,8 +141,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if len(sizes) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0, float(max(sizes, default=0)))
     parts = [bounded_sample(known.filter(F.col("label") == k), "key", n, sample_rows) for k, n in sorted(sizes.items())]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # about 2 x sample_rows ids
-    rows = stash(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").select("text", "label"), "toxicity")
+    ids = F.broadcast(parts[0].unionByName(parts[1]))  # about 2 x sample_rows ids
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(ids, "key").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES // 16)
+    drawn = stash(found.groupBy("key").agg(F.max("text").alias("text"), F.max("label").alias("label")), "toxicity")
+    size = drawn.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    rows = bounded_sample(drawn, "key", size, SAMPLE_BYTES).select("text", "label")
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         every, n = np.unique(np.concatenate(held, axis=1), axis=1, return_counts=True)
@@ -160,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     spread = F.abs(lift) / F.sqrt(1 / (F.col("ones") + 0.5) + 1 / (F.col("all") - F.col("ones") + 0.5))
     best = counts.filter("all >= 4").select("word", lift.alias("lift"), spread.alias("spread")).filter("spread > 1").orderBy(F.desc("spread"), "word").limit(FEATURES).collect()
     if not best:
+        unstash(drawn)
         return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0, n1 / max(1.0, n1 + n0))
     words = np.array([r["word"] for r in best], np.int64).view(np.uint64)
     order = np.argsort(words)
@@ -172,13 +183,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             first = np.searchsorted(owner, np.arange(len(offsets)))
             pair = entries(words, found, sentence)
             cut = np.searchsorted(pair, first * len(words))
-            own = [(pair[a:b] - s * len(words)).astype(np.int64).tobytes() for a, b, s in zip(cut[:-1], cut[1:], first[:-1], strict=True)]
+            own = [(pair[a:b] - s * len(words)).astype(np.uint32).tobytes() for a, b, s in zip(cut[:-1], cut[1:], first[:-1], strict=True)]
             yield pa.record_batch([part.column(1), pa.array(np.diff(first)), pa.array(own, pa.binary())], names=["label", "sentences", "entries"])
 
-    found = rows.mapInArrow(reduce, "label int, sentences long, entries binary").collect()  # sampled rows only
+    found = rows.mapInArrow(reduce, "label int, sentences long, entries binary").collect()  # sampled rows only, of SAMPLE_BYTES of text
     bags = sorted(((r["label"], r["sentences"], bytes(r["entries"])) for r in found), key=lambda b: b)  # no order of tasks in the sums
-    unstash(rows)
-    return train(words, start, [(k, n, np.frombuffer(e, np.int64)) for k, n, e in bags])
+    unstash(drawn)
+    return train(words, start, [(k, n, np.frombuffer(e, np.uint32)) for k, n, e in bags])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -193,8 +204,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             value, start, top, many = own.score(data, offsets)
             yield pa.record_batch([*part.columns, pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32)), pa.array(start, mask=start < 0), pa.array(top), pa.array(many.astype(np.int32))], names=[*part.schema.names, *new])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, fields + ", score double, predicted int, sentence_start long, sentence_score double, n_sentences int")
+    return docs.mapInArrow(run, with_fields(docs, "score double, predicted int, sentence_start long, sentence_score double, n_sentences int"))
 
 
 def locate(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", least: float = THRESHOLD) -> DataFrame:
