@@ -212,6 +212,76 @@ def test_warc_files(spark):
     assert again[0]["warc-refers-to"] == "<urn:uuid:1>"
 
 
+def _record(n, body, kind="response", length=None):
+    size = str(len(body)) if length is None else length
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{n}>\r\nContent-Length: {size}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+def test_warc_broken_files(spark):
+    good = _record(3, b"end")
+    draw = random.Random(1)
+    long = bytes(draw.randrange(32, 127) for _ in range(300_000))
+    zipped = gzip.compress(_record(1, long)) + gzip.compress(good)
+    files = {
+        "number": _record(1, b"foo", length="abc") + good,
+        "huge": good + _record(2, b"foo", length="9" * 30),
+        "cut": zipped[:200_000],
+        "damaged": zipped[:150_000] + b"\xff" * 40 + zipped[150_040:],
+        "head": good + b"WARC/1.1\r\nWARC-Type: resp",
+        "whole": zipped,
+        "empty": b"",
+    }
+    got = {}
+    for r in warc.read_records(spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "path string, content binary")).orderBy("path", "position").collect():
+        got.setdefault(r.path, []).append((bytes(r.block), r.problem))
+    assert got["number"] == [(b"foo", "content-length"), (b"end", None)]
+    assert got["huge"][0] == (b"end", None) and got["huge"][1][0].startswith(b"foo") and got["huge"][1][1] == "cut"
+    (part, problem), = got["cut"]
+    assert problem == "cut" and len(part) > 100_000 and long.startswith(part)
+    part, problem = got["damaged"][0]
+    assert problem in ("cut", "gzip") and long.startswith(part[:50_000])
+    assert got["head"] == [(b"end", None), (b"", "cut")]
+    assert got["whole"] == [(long, None), (b"end", None)] and "empty" not in got
+
+
+def test_warc_payloads_of_any_bytes(spark):
+    """Charsets, codings and bytes of no charset; digests are of what was sent."""
+    page = "<p>caf\u00e9 \u20ac</p>"
+    sent = {
+        "latin": (b"Content-Type: text/html; charset=ISO-8859-1", "<p>caf\u00e9</p>".encode("latin-1"), "caf\u00e9"),
+        "unnamed": (b"X: y", page.encode("cp1252"), "caf\u00e9 \u20ac"),
+        "meta": (b"X: y", b"<meta charset=koi8-r>" + "\u043c\u0438\u0440".encode("koi8-r"), "\u043c\u0438\u0440"),
+        "gzip": (b"Content-Encoding: gzip", gzip.compress(page.encode(), mtime=0), "caf\u00e9 \u20ac"),
+        "chunked": (b"Transfer-Encoding: chunked", b"3\r\n<p>\r\n2;x\r\nhi\r\n0\r\n\r\n", "hi"),
+        "untrue": (b"Content-Encoding: gzip\r\nContent-Type: a; charset=no-such", page.encode(), "caf\u00e9 \u20ac"),
+        "raw": (b"X: y", b"\x81\x8d\xff", "\ufffd\ufffd\u00ff"),
+    }
+    body = b"".join(_record(k, b"HTTP/1.1 200 OK\r\n" + h + b"\r\n\r\n" + p) for k, (h, p, _) in sent.items()) + _record("none", b"")
+    files = spark.createDataFrame([("f", bytearray(body))], "path string, content binary")
+    derived = warc.derive(warc.from_records(warc.read_records(files)))
+    made = derived.collect()
+    assert len(made) == 2 * len(sent) + 2
+    for r in made:
+        head, payload, text = sent.get(r.source_key.strip("<>"), (b"", b"", ""))
+        assert r.payload_digest == "sha256:" + hashlib.sha256(payload).hexdigest()
+        assert head.decode() in r.source_headers
+        if r.warc_type == "conversion":
+            assert r.block == text, r.source_key
+    lines = warc.serialise(derived).filter("source_key = '<latin>'").first().record.split("\r\n")
+    assert "WARC-Source-Header: HTTP/1.1 200 OK" in lines and "WARC-Source-Header: Content-Type: text/html; charset=ISO-8859-1" in lines
+
+
+def test_warc_sql_decodes_all_references():
+    import html
+
+    texts = ["&copy; it&apos;s &#233;&#xe9;&nbsp;x &amp;lt; &unknown; &notit; &notin; &#128; &#0; &#xD800; &#x110000; &#99999999999999999999; &#xFFFF; &#1; && &; &#; &#x; &ampx &amp", "none"]
+    con = duckdb.connect()
+    con.execute("create table pages(page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, 'u', ?)", [(k, t) for k, t in enumerate(texts)] + [(1, texts[1])])
+    got = con.sql(f"select source_key, block from ({warc.ORACLE}) where warc_type = 'conversion' order by 1").fetchall()
+    assert got == [(k, " ".join(x for x in html.unescape(t).replace("\u00a0", " ").split(" ") if x)) for k, t in [*enumerate(texts), (1, texts[1])]]
+
+
 def test_warc_odd_rows(spark):
     rows = [(1, None, None), (None, "http://a", "<p>x"), (2, "http://a", ""), (2, "http://a", "")]
     made = warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("block", F.lit(1)))).collect()
