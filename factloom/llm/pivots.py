@@ -25,11 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm import vectext as V
 from factloom.llm.common import bounded_sample, plan_bytes, stash
 from factloom.llm.components import components
 from factloom.llm.groups import forest, whole_groups
 
 PIVOTS, MOST_PIVOTS, NEAREST, SHARED, BLOCK, MEAN_LIST = 128, 4096, 6, 3, 1024, 4096
+#: Vectors whose postings leave a task together.
+POSTED_ROWS = 1024
 
 
 def _unit(raw: list[bytes], kind: str) -> np.ndarray:
@@ -42,22 +45,21 @@ def _unit(raw: list[bytes], kind: str) -> np.ndarray:
 def describe(vectors: DataFrame, key: str, embedding: str, kind: str) -> DataFrame:
     """(key, h1, h2, vec): 128 bits of hash and the bytes of each usable vector as it is stored, null for others."""
 
+    width = np.dtype(kind).itemsize
+
     def run(batches):
         for batch in batches:
-            high, low, body = [], [], []
-            for x in batch.column(1).to_pylist():
-                v = None if x is None or any(c is None for c in x) else np.array(x, np.float64)
-                if v is None or not len(v) or not np.isfinite(v).all() or not v.any():
-                    high.append(None)
-                    low.append(None)
-                    body.append(None)
-                    continue
-                raw = v.astype(kind).tobytes()
-                digest = xxhash.xxh3_128_intdigest(raw)
-                high.append((digest >> 64) - (1 << 63))
-                low.append((digest & ((1 << 64) - 1)) - (1 << 63))
-                body.append(raw)
-            yield pa.record_batch([batch.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(body, pa.binary())], names=["key", "h1", "h2", "vec"])
+            lists = batch.column(1)
+            ends = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy(zero_copy_only=False)  # a null component is no number
+            bad, some = (np.concatenate([[0], np.cumsum(x)])[ends] for x in (~np.isfinite(flat), flat != 0))
+            usable = lists.is_valid().to_numpy(zero_copy_only=False) & (np.diff(bad) == 0) & (np.diff(some) > 0)
+            with np.errstate(over="ignore", invalid="ignore"):
+                held = memoryview(flat.astype(kind).tobytes())
+            raw = [bytes(held[a:b]) if x else None for a, b, x in zip((ends[:-1] * width).tolist(), (ends[1:] * width).tolist(), usable.tolist(), strict=True)]
+            digest = [None if x is None else xxhash.xxh3_128_digest(x) for x in raw]
+            high, low = (pa.array([None if d is None else int.from_bytes(d[k : k + 8], "big", signed=True) for d in digest], pa.int64()) for k in (0, 8))
+            yield pa.record_batch([batch.column(0), high, low, pa.array(raw, pa.binary())], names=["key", "h1", "h2", "vec"])
 
     return vectors.select(F.col(key).cast("long").alias("key"), F.col(embedding).cast("array<double>").alias("vec")).mapInArrow(run, "key long, h1 long, h2 long, vec binary")
 
@@ -120,26 +122,48 @@ def _links(classes: DataFrame, many: int, least: float, kind: str) -> tuple[Data
     short = len(pivots) <= closest  # then all vectors share all pivots, in one list
     pairs = [(0, 0)] if short else list(itertools.combinations(range(closest - 1), 2))
 
-    def index(batches):
+    def listed(column, order: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nearest reference points, list of each posting, its vector's row) of a column of vectors."""
+        near = nearest(_unit(column.to_pylist(), kind), own, order, closest).astype(np.int32)
+        codes = [near[:, a] * np.int64(MOST_PIVOTS) + near[:, b] if not short else np.zeros(len(near), np.int64) for a, b in pairs]
+        return near, np.concatenate(codes), np.tile(np.arange(len(near)), len(pairs))
+
+    def count_lists(batches):
+        own, order = held.value
+        for batch in batches:
+            if batch.num_rows:
+                code, n = np.unique(listed(batch.column(0), order, own)[1], return_counts=True)
+                yield pa.record_batch([pa.array(code), pa.array(n)], names=["list", "n"])
+
+    # At most MOST_PIVOTS ** 2 / 2 lists, whatever the table: two numbers each, 134 MB here and in each worker at the very most.
+    sizes = classes.select("vec").mapInArrow(count_lists, "list long, n long").groupBy("list").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+    codes, many_in = (sizes.column(c).to_numpy() for c in ("list", "n"))
+    by_code = np.argsort(codes)
+    lengths = spark.sparkContext.broadcast((codes[by_code], many_in[by_code]))
+
+    def post(batches):
         own, order = held.value
+        known, size = lengths.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _unit(batch.column(2).to_pylist(), kind)
-            near = nearest(x, own, order, closest).astype(np.int32)
-            lists = [near[:, a] * np.int64(MOST_PIVOTS) + near[:, b] if not short else np.zeros(len(x), np.int64) for a, b in pairs]
-            at = pa.array(np.tile(np.arange(len(x)), len(pairs)))
-            body = pa.array([n.tobytes() for n in near], pa.binary())
-            yield pa.record_batch([pa.array(np.concatenate(lists)), *(c.take(at) for c in (batch.column(0), batch.column(1), batch.column(2), body))], names=["list", "rep", "weight", "vec", "near"])
-
-    postings = classes.select("rep", "weight", "vec").mapInArrow(index, "list long, rep long, weight long, vec binary, near binary")
-    sizes = classes.select("rep", "weight", "vec").mapInArrow(index, "list long, rep long, weight long, vec binary, near binary").groupBy("list").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = F.broadcast(sizes)  # MOST_PIVOTS ** 2 / 2 rows of two numbers at most, 65 MB packed; PIVOTS ** 2 / 2 here
-    cut = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = postings.join(sizes, "list").withColumn("chunks", cut).withColumn("chunk", F.pmod(F.xxhash64("rep", "list"), "chunks").cast("int"))
-    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+            for start in range(0, batch.num_rows if len(known) else 0, POSTED_ROWS):
+                part = batch.slice(start, POSTED_ROWS)
+                near, code, row = listed(part.column(2), order, own)
+                at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                hit = np.flatnonzero(known[at] == code)  # a list of one has no pair
+                code, row, chunks = code[hit], row[hit], -(-size[at[hit]] // BLOCK)
+                rep = part.column(0).to_numpy()
+                with np.errstate(over="ignore"):
+                    chunk = (V.mix(rep[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ code.view(np.uint64), 41) % chunks.astype(np.uint64)).astype(np.int64)
+                copy = np.repeat(np.arange(len(code)), chunks)  # a posting meets each chunk of its list
+                other = np.arange(len(copy)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+                mine = chunk[copy]
+                take = pa.array(row[copy])
+                body = pa.array([n.tobytes() for n in near], pa.binary()).take(take)
+                yield pa.record_batch([pa.array(code[copy]), pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other)), pa.array(mine), *(c.take(take) for c in part.columns), body], names=["list", "i", "j", "chunk", "rep", "weight", "vec", "near"])
+
+    units = classes.select("rep", "weight", "vec").mapInArrow(post, "list long, i long, j long, chunk long, rep long, weight long, vec binary, near binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(classes) * len(pairs) // (32 << 20))
-    units = units.select("list", "i", "j", "chunk", "rep", "weight", "vec", "near").repartition(parts, "list", "i", "j").sortWithinPartitions("list", "i", "j", "chunk", "rep")
+    units = units.repartition(parts, "list", "i", "j").sortWithinPartitions("list", "i", "j", "chunk", "rep")
 
     def verify(batches):
         for rows, bounds in whole_groups(batches, ["list", "i", "j"]):
