@@ -6,32 +6,36 @@ found by binary search. A fingerprint is made of the same arrays: a hash of the
 hashes of all windows of ``WINDOW`` code points (of the whole text, if it is shorter): in each of ``BINS`` classes
 of hashes, ``BITS`` bits of the least one. A window that occurs again counts as another one, so repetitive texts are
 compared by how much they share. The likeness of two fingerprints is the share of windows that their texts
-have in common, 2 J / (1 + J) for the Jaccard similarity J that the sketches estimate.
+have in common, 2 J / (1 + J) for the Jaccard similarity J that the sketches estimate (less the bins that agree by
+chance, one in 2 ** BITS).
 
 Null texts are empty; two empty texts are wholly alike, an empty and another text not at all. Equal texts have equal
-fingerprints. Rows that repeat a key are neighbours in the order of their texts; null keys come last in the
-descending order. Other columns are not read.
+fingerprints. Rows that repeat a key are neighbours in the order of their texts (if they fill more than a range of rows,
+by a hash of the text first); null keys come last in the descending order. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from factloom.llm import vectext as V
 from factloom.llm.common import plan_bytes
 
-WINDOW, BINS, BITS = 12, 64, 16
+WINDOW, BINS, BITS = 12, 256, 8
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003, 998_244_353)
 #: Code points whose windows are hashed at a time.
 STEP = 1 << 18
+#: Bytes of a range of keys, and the ranges and sampled keys a range at most: the driver holds a million keys, whatever the corpus.
+RANGE_BYTES, MOST_RANGES, SAMPLED = 16 << 20, 50_000, 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -159,9 +163,10 @@ def sketch(prefix: Prefix, head: tuple[np.ndarray, np.ndarray] | None = None) ->
 def fingerprint(prefix: Prefix, low: np.ndarray) -> str:
     """Length and whole hash, then the bins' bits, in hexadecimal; an empty bin shows a dash for each digit."""
     whole = prefix.span(0, prefix.size) if prefix.size else 0
-    digits = BITS // 4
-    shown = [("-" * digits if v == 0xFFFFFFFFFFFFFFFF else f"{(v >> 8) & ((1 << BITS) - 1):0{digits}x}") for v in low.tolist()]
-    return f"{prefix.size:x}:{whole:016x}:{''.join(shown)}"
+    bits = ((low >> np.uint64(8)) & np.uint64((1 << BITS) - 1)).astype(np.uint8).tobytes().hex()
+    if low.max() == 0xFFFFFFFFFFFFFFFF:
+        bits = "".join("--" if v == 0xFFFFFFFFFFFFFFFF else bits[2 * k : 2 * k + 2] for k, v in enumerate(low.tolist()))
+    return f"{prefix.size:x}:{whole:016x}:{bits}"
 
 
 def likeness(one: str, two: str) -> float:
@@ -171,10 +176,10 @@ def likeness(one: str, two: str) -> float:
     (n, _, a), (m, _, b) = one.split(":"), two.split(":")
     if n == "0" or m == "0":
         return 0.0
-    digits = BITS // 4
-    pairs = [(a[k : k + digits], b[k : k + digits]) for k in range(0, len(a), digits)]
-    used = [x == y for x, y in pairs if x[0] != "-" or y[0] != "-"]
-    share = sum(used) / len(used)
+    x, y = (np.frombuffer(t.encode(), np.uint16) for t in (a, b))  # two digits a bin
+    empty = np.frombuffer(b"--", np.uint16)[0]
+    share = float((x == y)[(x != empty) | (y != empty)].mean())
+    share = max(0.0, (share - 2.0**-BITS) / (1 - 2.0**-BITS))
     return 2 * share / (1 + share)
 
 
@@ -197,22 +202,26 @@ def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, common_edited, common_next.
 
     The next document is that of the next smaller key; the last one's is the first. Texts are dealt out once, by
-    ranges of keys; the first row of the range below comes along as a copy, one row for each range.
+    ranges of keys, a range a task; the first row of the next range comes along as a copy, one row for each range. A key
+    (or none) that holds more rows than a range is cut, so no key fills a task.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(rows) // (16 << 20))
-    cuts = rows.filter("key is not null").stat.approxQuantile(["key"], [i / ranges for i in range(1, ranges)], max(0.2 / ranges, 1e-5))[0] if ranges > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    bucket = F.when(F.col("key").isNull(), F.lit(-1)).otherwise(sum((F.when(F.col("key") >= c, 1).otherwise(0) for c in cuts), F.lit(0)) if len(cuts) < 64 else _search(cuts))
-    placed = rows.withColumn("bucket", bucket.cast("int"))
-    # One number for each range: the largest key in it, whose row the range above needs as its neighbour.
-    heads = {r["bucket"]: r["head"] for r in rows.select("key").withColumn("bucket", bucket.cast("int")).groupBy("bucket").agg(F.max("key").alias("head")).collect()}
-    order = sorted(heads, reverse=True)
-    above = {b: order[k - 1] for k, b in enumerate(order)}  # the first range is above... the last: the order is a ring
-    table = spark.createDataFrame([(b, heads[b], a) for b, a in above.items()], "bucket int, head long, above int")
-    copies = placed.join(F.broadcast(table), "bucket").filter(F.col("key").eqNullSafe(F.col("head"))).select("key", "text", F.col("above").alias("bucket"), F.lit(1).alias("copy"))
-    dealt = placed.select("key", "text", "bucket", F.lit(0).alias("copy")).unionAll(copies).repartition(ranges, "bucket").sortWithinPartitions("bucket", "copy", F.desc_nulls_last("key"), "text")
+    ranges = min(MOST_RANGES, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(rows) // RANGE_BYTES))
+    many = rows.count()
+    some = rows.select("key") if many <= SAMPLED * ranges else rows.select("key").sample(SAMPLED * ranges / many, seed=7)
+    plan = _Ranges([r["key"] for r in some.collect()], ranges)  # keys alone, SAMPLED a range; they place rows, and change no result
+    place, lot = plan.place(F.col("key"), F.xxhash64("text"))
+    placed = rows.withColumns({"bucket": place, "lot": lot})
+    # The first row of each range, which the range ahead of it needs as its neighbour: a key, and its lot if the key is cut.
+    keys = rows.select("key").withColumns(dict(zip(("bucket", "lot"), plan.place(F.col("key"), None), strict=True)))
+    heads = {r["bucket"]: (r["head"], None) for r in keys.filter("lot is null").groupBy("bucket").agg(F.max("key").alias("head")).collect()}
+    if plan.cut_keys:
+        heads |= {r["bucket"]: (r["head"], r["lot"]) for r in placed.filter("lot is not null").groupBy("bucket").agg(F.max("key").alias("head"), F.min("lot").alias("lot")).collect()}
+    order = sorted(heads)
+    table = spark.createDataFrame([(b, *heads[b], order[k - 1]) for k, b in enumerate(order)], "bucket int, head long, head_lot long, ahead int")  # a ring, MOST_RANGES rows
+    copies = placed.join(F.broadcast(table), "bucket").filter(F.col("key").eqNullSafe(F.col("head")) & F.col("lot").eqNullSafe(F.col("head_lot"))).select("key", "text", F.col("ahead").alias("bucket"), "lot", F.lit(1).alias("copy"))
+    dealt = placed.select("key", "text", "bucket", "lot", F.lit(0).alias("copy")).unionAll(copies).repartitionById(max(1, plan.size), F.col("bucket")).sortWithinPartitions("bucket", "copy", F.desc_nulls_last("key"), "lot", "text")
 
     def run(batches):
         last = None  # (bucket, key, text) that waits for its neighbour
@@ -234,6 +243,38 @@ def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return result.withColumnRenamed("key", key)
 
 
+class _Ranges:
+    """Ranges of keys in falling order, null keys last; a key that would fill several is cut by lots, the hashes of its texts."""
+
+    def __init__(self, sample: list[int | None], ranges: int):
+        every = sorted(k for k in sample if k is not None)
+        picked = [every[i * len(every) // ranges] for i in range(1, ranges)] if every else []
+        self.cuts = sorted(set(picked))
+        lots = {k: n for k in self.cuts if (n := picked.count(k)) > 1} if len(set(picked)) < len(picked) else {}
+        missing = max(1, round(ranges * (len(sample) - len(every)) / max(1, len(sample))))
+        self.cut_keys = bool(lots) or missing > 1
+        # By the number of cuts at or below a key: the place of its range, and of the lots of the cut itself.
+        self.rest, self.first, self.lots, at = [0] * (len(self.cuts) + 1), [0] * (len(self.cuts) + 1), [0] * (len(self.cuts) + 1), 0
+        for b in range(len(self.cuts), -1, -1):
+            self.rest[b], at = at, at + 1
+            self.lots[b] = lots.get(self.cuts[b - 1], 0) if b else 0
+            self.first[b], at = at, at + self.lots[b]
+        self.null, self.missing, self.size = at, missing, at + missing
+
+    def place(self, key: Column, mixed: Column | None) -> tuple[Column, Column]:
+        """(number of a row's range, its lot: null unless its key is cut). Without ``mixed``, rows of cut keys have lot 0 and no exact place."""
+        cuts = self.cuts
+        below = sum((F.when(key >= c, 1).otherwise(0) for c in cuts), F.lit(0)) if len(cuts) < 64 else _search(cuts)
+        table = lambda values: F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+        at = lambda values: F.element_at(table(values), below.cast("int") + 1)
+        hit = F.lit(False) if not any(self.lots) else F.coalesce((at(self.lots) > 0) & (key == at([0, *cuts])), F.lit(False))
+        cut = hit | (key.isNull() if self.missing > 1 else F.lit(False))
+        lot = F.shiftrightunsigned(mixed, 11) if mixed is not None else F.lit(0).cast("long")
+        part = lambda n: F.floor(lot * n / float(1 << 53)).cast("long")
+        place = F.when(key.isNull(), F.lit(self.null) + part(F.lit(self.missing))).when(hit, at(self.first) + part(at(self.lots))).otherwise(at(self.rest))
+        return place.cast("int"), F.when(cut, lot)
+
+
 def _search(cuts: list[int]):
     """Number of cuts at or below the key, for many cuts: a binary search over batches of keys."""
     sorted_ = np.array(cuts, np.int64)

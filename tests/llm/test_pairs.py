@@ -182,6 +182,59 @@ def test_fingerprints(spark):
     assert fingerprints.edited_neighbours(df.filter("doc_id = 102")).first().near_next == 1.0
 
 
+def _window_share(a, b):
+    """Exact likeness: windows in common, as multisets, against all windows of both."""
+    from collections import Counter
+
+    if not a or not b:
+        return float(a == b)
+    width = lambda t: min(fingerprints.WINDOW, len(t))
+    one, two = (Counter(t[k : k + width(t)] for k in range(len(t) - width(t) + 1)) for t in (a, b))
+    return 2 * (one & two).total() / (one.total() + two.total())
+
+
+def test_likeness_against_exact_windows(spark):
+    """near_edited and near_next of real documents against the multisets of windows themselves."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(400)
+    texts = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    got = {r.doc_id: r for r in fingerprints.edited_neighbours(docs).collect()}
+    off = []
+    for (key, own), (_, following) in zip(texts, texts[1:] + texts[:1], strict=True):
+        third = len(own) // 3
+        edited = own[: len(own) - third] + following[:third]
+        off += [abs(got[key].near_edited - _window_share(own, edited)), abs(got[key].near_next - _window_share(own, following))]
+    print("off", np.mean(off), max(off))
+    assert np.mean(off) < 0.025 and max(off) < 0.15
+
+
+def test_fingerprints_of_a_key_that_fills_ranges(spark):
+    """A third of all rows bear one key, a third none: cut by lots, every row once, neighbours in a ring."""
+    rows = [(5, f"five {k}") for k in range(400)] + [(None, f"none {k}") for k in range(400)] + [(k, f"own {k}") for k in range(10, 410)] + [(2, "low"), (5, "five 1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        made = fingerprints.edited_neighbours(df)
+        got = made.collect()
+        largest = max(r[0] for r in made.select(F.spark_partition_id().alias("p")).groupBy("p").count().select("count").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert largest < 250
+    prints = {r.doc_id for r in got if r.doc_id is not None}
+    assert len(got) == len(rows) and prints == {5, 2, *range(10, 410)}
+    one = lambda t: fingerprints.fingerprint(p := fingerprints.Prefix(np.frombuffer(t.encode("utf-32-le"), np.uint32)), fingerprints.sketch(p)[0])
+    assert sorted(r.fingerprint for r in got) == sorted(one(t) for _, t in rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    sha = lambda a, b: hashlib.sha256((a[: len(a) - len(a) // 3] + b[: len(a) // 3]).encode()).hexdigest()
+    for k in range(11, 410):
+        assert by[k][0].edited_sha256 == sha(f"own {k}", f"own {k - 1}")
+    fives, nones = [t for k, t in rows if k == 5], [t for k, t in rows if k is None]
+    assert by[10][0].edited_sha256 in {sha("own 10", t) for t in fives} and by[2][0].edited_sha256 in {sha("low", t) for t in nones}
+    assert {r.edited_sha256 for r in by[5]} <= {sha(a, b) for a in set(fives) for b in [*set(fives), "low"]}
+    assert {r.edited_sha256 for r in by[None]} <= {sha(a, b) for a in nones for b in [*nones, "own 409"]}
+
+
 def test_fingerprints_over_many_ranges(spark):
     """More ranges than the plain expression serves."""
     rows = [(7 * k % 1009, f"document {7 * k % 1009} " * 9) for k in range(300)]
