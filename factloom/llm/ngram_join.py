@@ -9,14 +9,16 @@ intersection of these filters is verified over whole sets.
 How the plan stays bounded:
 
 * Equal sets are one class, named by a 64-bit hash of the set (and its size); only classes are compared.
-* Token frequencies are exact over all documents. Tokens travel as 5 bytes with their documents' class names, packed by
-  bucket; a token of a single class is dropped there, so only repeated tokens come back. Tokens in over ``HOT`` of all
+* Token frequencies are exact over all documents. Tokens travel as 6 bytes with their documents' class names, packed by
+  bucket; a token of a single class is dropped there, so only repeated tokens come back. A token is verified by these 48
+  bits and up to 14 of its bucket: two of a pair's tokens are taken for one once in 10**9 pairs of 500 tokens at 64
+  buckets, and less often the more buckets there are. Tokens in over ``HOT`` of all
   documents are found first (heavy hitters; at most mean set size / HOT of them, whatever the corpus), are never
   shuffled, and stand last in every order.
 * A class whose repeated tokens are under ``percent`` of its set has no partner and goes no further.
 * A prefix list of at most ``SMALL`` classes gives its pairs. A longer one gives one star around a pivot; only where its
   members are not yet one component, its classes are packed into blocks of bounded size, and each pair of blocks that
-  share a prefix token is a unit of work that gives a spanning forest. No list is gathered whole, no group
+  share a prefix token under every order is a unit of work that gives a spanning forest. No list is gathered whole, no group
   emits its pairs, and no link between different sets is lost to the components.
 
 Null and empty texts, and texts without words, have the empty set and link with nothing. A text of fewer than
@@ -37,8 +39,10 @@ from factloom.llm.components import components
 from factloom.llm.groups import forest, whole_groups
 
 WORDS, PERCENT, ORDERS, SMALL = 5, 80, 3, 32
-#: A token in more than this share of the documents is hot for certain; one in less than half of it never.
-HOT = 0.004
+#: A token in more than this share of the documents (and in more than 4 of each batch's) is hot for certain; one in less than half of it never.
+HOT = 0.001
+#: A list longer than HEAVY meets its classes by broadcast, if there are at most SMALL_ROWS such lists.
+HEAVY, SMALL_ROWS = 256, 1_000_000
 BUCKET_BYTES, BATCH_TOKENS, BLOCK_TOKENS = 8 << 20, 1_000_000, 1 << 16
 _K = np.array([pow(0x9E3779B97F4A7C15 | 1, k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
 
@@ -136,7 +140,7 @@ def _scatter(docs: DataFrame, hot, buckets: int) -> DataFrame:
             edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 who, n = np.unique(owner[a:b], return_counts=True)
-                rows.append((int(bucket[a]), 0, name[who].tobytes(), n.astype(np.int32).tobytes(), (flat[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((flat[a:b] >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes()))
+                rows.append((int(bucket[a]), 0, name[who].tobytes(), n.astype(np.int32).tobytes(), (flat[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((flat[a:b] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()))
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             for k in range(0, len(rows), 64):
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), kinds, strict=True)], names=["bucket", "kind", "names", "counts", "low", "high"])
@@ -161,7 +165,7 @@ def _repeated(packed: DataFrame, buckets: int) -> DataFrame:
                 own = own.filter(pa.array(kind[a:b] == 0))
                 if not own.num_rows:
                     continue
-                token = np.frombuffer(_join(own.column("low")), np.uint32).astype(np.uint64) | np.frombuffer(_join(own.column("high")), np.uint8).astype(np.uint64) << np.uint64(32)
+                token = np.frombuffer(_join(own.column("low")), np.uint32).astype(np.uint64) | np.frombuffer(_join(own.column("high")), np.uint16).astype(np.uint64) << np.uint64(32)
                 name = np.repeat(np.frombuffer(_join(own.column("names")), np.int64), np.frombuffer(_join(own.column("counts")), np.int32))
                 order = np.argsort(token, kind="stable")
                 sorted_ = token[order]
@@ -182,7 +186,7 @@ def _repeated(packed: DataFrame, buckets: int) -> DataFrame:
                     continue
                 target = (V.mix(name.view(np.uint64), 3) % np.uint64(buckets)).astype(np.int32)
                 order = np.lexsort((token, name, target))
-                token, name, df, target = token[order] | np.uint64(int(bucket[a]) << 40), name[order], df[order], target[order]
+                token, name, df, target = token[order] | np.uint64((int(bucket[a]) & 0x3FFF) << 48), name[order], df[order], target[order]
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(target)) + 1, [len(target)]])
                 out = []
                 for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -239,6 +243,11 @@ def _sets(packed: DataFrame, buckets: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "name long, n long, tokens array<long>, " + ", ".join(f"pre{k + 1} array<long>" for k in range(ORDERS)))
 
 
+def _small(written: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is counted to be small."""
+    return F.broadcast(written) if written.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else written
+
+
 def _fits(a: str, b: str, percent: int):
     return (F.lit(percent) * F.greatest(a, b)) <= (F.lit(100) * F.least(a, b))
 
@@ -326,8 +335,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     hot = spark.sparkContext.broadcast(np.sort(np.array([r["key"] for r in often], np.int64).view(np.uint64)))
     sets = stash(_sets(_repeated(_scatter(docs, hot, buckets), buckets), buckets, percent), "sets")
     lists = sets.select("name", "n", F.explode("pre1").alias("token"))
-    sizes = lists.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("name").alias("h"), F.col("name").alias("name"), F.col("n").alias("n"))).alias("pivot")).filter("c > 1")
-    listed = stash(lists.join(sizes, "token").select("token", "name", "n", "c", F.col("pivot.name").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "lists")
+    pivot = F.min(F.struct(F.xxhash64("name").alias("h"), F.col("name").alias("name"), F.col("n").alias("n")))
+    sizes = stash(lists.groupBy("token").agg(F.count("*").alias("c"), pivot.alias("pivot")).filter("c > 1").select("token", "c", F.col("pivot.name").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "sizes")
+    heavy = _small(sizes.filter(F.col("c") > HEAVY))
+    few = lists.join(heavy.select("token"), "token", "left_anti").join(sizes.filter(F.col("c") <= HEAVY), "token")
+    listed = stash(few.unionByName(lists.join(heavy, "token")).select("token", "name", "n", "c", "pivot", "pivot_n"), "lists")
     small = listed.filter(F.col("c") <= SMALL).select("token", "name", "n")
     pairs = small.select("token", F.col("name").alias("a"), F.col("n").alias("x")).join(small.select("token", F.col("name").alias("b"), F.col("n").alias("y")), "token").filter("a < b").filter(_fits("x", "y", percent)).select("a", "b")
     large = listed.filter((F.col("c") > SMALL) & (F.col("name") != F.col("pivot")))
@@ -336,7 +348,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     edges = stash(_verified(candidates, sets, percent), "edges")
     if large.limit(1).count():
         edges = stash(edges.unionAll(_open_lists(listed.filter(F.col("c") > SMALL), sets, edges, percent)), "edges")
-    for done in (sets, listed, candidates):
+    for done in (sets, sizes, listed, candidates):
         unstash(done)
     # Classes by their least key: then the least label of a component is the smallest key reachable.
     classes = stash(rows.filter("n > 0 and key is not null").groupBy("name", "n").agg(F.min("key").alias("rep")), "classes")
@@ -353,8 +365,8 @@ def _open_lists(listed: DataFrame, sets: DataFrame, edges: DataFrame, percent: i
     spark = listed.sparkSession
     label = stash(components(edges), "labels")
     placed = listed.select("token", "name", "n").join(label.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    open_ = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    placed = stash(placed.join(open_, "token"), "open")
+    open_ = stash(placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token"), "tokens")
+    placed = stash(placed.join(_small(open_), "token"), "open")
     # A block holds classes of one large component, or of one list; its size is bounded by their tokens.
     members = placed.groupBy("name").agg(F.any_value("n").alias("n"), F.any_value("component").alias("component"), F.min("token").alias("token"))
     grown = members.groupBy("component").agg(F.count("*").alias("m")).filter("m > 64")
@@ -365,8 +377,20 @@ def _open_lists(listed: DataFrame, sets: DataFrame, edges: DataFrame, percent: i
     tokens = placed.select("token", "name").join(members.select("name", "block"), "name").select("token", "block").distinct().join(pure, "block")
     units = tokens.select("token", F.col("block").alias("block_a"), F.col("only").alias("only_a")).join(tokens.select("token", F.col("block").alias("block_b"), F.col("only").alias("only_b")), "token")
     units = units.filter("block_a <= block_b and not coalesce(only_a = only_b, false)").select("block_a", "block_b").distinct()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = stash(_pack_blocks(members.select("name", "block").join(sets.select("name", "n", "tokens"), "name"), parts), "blocks")
+    # The other orders: a link between two blocks needs a prefix token of each order that both hold.
+    held = members.select("name", "block").join(sets, "name")
+    more = [f"pre{k + 1}" for k in range(1, ORDERS)]
+    prefixes = stash(held.select("block", *more).groupBy("block").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in more]), "prefixes")  # BLOCK_TOKENS a block at most
+
+    def filters(end: str) -> DataFrame:
+        return prefixes.select(F.col("block").alias(f"block_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in more])
+
+    units = units.join(filters("a"), "block_a").join(filters("b"), "block_b")
+    for c in more:
+        units = units.filter(F.arrays_overlap(f"{c}_a", f"{c}_b"))
+    units = stash(units.select("block_a", "block_b"), "units")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), units.count() // 64)
+    packed = stash(_pack_blocks(held.select("block", "name", "n", "tokens"), parts), "blocks")
 
     def side(end: str) -> DataFrame:
         return packed.select(F.col("block").alias(f"block_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in ("names", "sizes", "tokens", "counts")])
