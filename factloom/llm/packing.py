@@ -12,6 +12,7 @@ key stays null; an empty table packs into nothing. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from collections import defaultdict
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from factloom.llm import bpe
 from factloom.llm.common import stash
 
-#: Pieces to a rank group, and at most so many groups a length.
-GROUP_ROWS, MOST_GROUPS = 20_000, 4096
+#: Pieces to a rank group at most and at least (between them, a quarter of a task's share), and at most so many groups a length.
+GROUP_ROWS, LEAST_ROWS, MOST_GROUPS = 20_000, 256, 4096
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,9 +95,12 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     spark = cut.sparkSession
     counts = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     rows = plan(counts, capacity)
-    groups = min(MOST_GROUPS, max(1, math.ceil(sum(counts.values()) / GROUP_ROWS)))
+    share = sum(counts.values()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = max(LEAST_ROWS, min(GROUP_ROWS, share))
+    groups = [min(MOST_GROUPS, max(1, math.ceil(counts.get(k, 0) / size))) for k in range(capacity + 1)]  # by length, so that no group is larger than another's
+    many = F.element_at(F.from_json(F.lit(json.dumps(groups)), "array<int>"), F.col("length").cast("int") + 1)
     named = cut.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    named = named.withColumn("salt", F.pmod(F.xxhash64("file", "row"), F.lit(groups)).cast("int"))
+    named = named.withColumn("salt", F.pmod(F.xxhash64("file", "row"), many).cast("int"))
     sizes = named.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("file", "row")) - 1
@@ -120,7 +124,6 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
                 offset[mine] = slots[at, 3] + within % slots[at, 1] * size
             yield pa.record_batch([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    del spark
     return ranked.select(*keep, "rank").mapInArrow(place, schema)
 
 
