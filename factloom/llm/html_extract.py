@@ -4,8 +4,8 @@ Every element of a page is a variable with three values, wrapper, content and bo
 on its parent's through a potential of the child's tag, and shows itself in features: tag, words of its class and id,
 the amount of its text, the share of links in it. Potentials and feature tables are counted on labelled pages
 (``html_training``). Sum-product messages pass upward from the leaves and downward from the root, level by level
-for a whole batch of pages; the result is each element's exact marginal. Text is kept where its element is likelier
-content than boilerplate.
+for a whole batch of pages; the result is each element's exact marginal. A wrapper has no text of its own, so text is
+kept where its element, given that it is no wrapper, is likelier content than boilerplate.
 
 Character references are decoded, white space inside a block becomes one space, blocks join by one space in page order.
 A null or empty page has an empty text. Scripts, styles, the head, titles, comments, and what iframes and text areas hold never

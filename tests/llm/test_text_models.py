@@ -212,6 +212,22 @@ def test_html_on_held_out_layouts():
     assert right / all_ > 0.98
 
 
+@pytest.mark.parametrize("named", [True, False])
+def test_html_on_names_never_seen(named):
+    """Site words that no training page bears, or none: structure, text and links alone must tell. By signs of text."""
+    model, draw, right, every = html_extract.model(), np.random.default_rng(1), 0, 0
+    for source in html_training.labelled_pages(80, seed=99):
+        own = {}
+        fresh = lambda m: f'{m.group(1)}="' + " ".join(own.setdefault(w, "q" + "".join(draw.choice(list("bcdfghz"), 6))) for w in m.group(2).split()) + '"'  # noqa: B023, E731
+        page = html_tree.parse(re.sub(r'(class|id)="([^"]*)"', fresh if named else "", source))
+        label, p = html_extract.states(page), model.marginals([page])[0]
+        for node, text, _ in page.chunks:
+            if text.strip() and page.tags[node] not in html_tree.SKIPPED:
+                every += len(text)
+                right += len(text) * ((p[node, 1] > p[node, 2]) == (label[node] == 1))
+    assert right / every > 0.95
+
+
 def test_html_text(spark):
     page = "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class='cookie-notice'>We use cookies.</div><article><h1>A &amp; B</h1><p>First  line,\n with <b>bold</b>&nbsp;text.<p>Second<br>line.</p><script>var t='</p>';</script></article><section class='comments'><div class='comment'><p>I agree!</p></div></section><footer>&copy; 2024 us</footer></body></html>"
     rows = [(1, "u", page), (1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "<p>unclosed <b>text"), (5, "x", "<" * 2000), (None, "y", "just words here, no markup at all.")]
