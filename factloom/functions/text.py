@@ -12,6 +12,8 @@ WORD = r"[\p{L}\p{N}]+"
 STOP = "a an the and or of to in on at by for from with as is are was were be been this that these those what which where when why how please tell give show find list name include including across applicable applies apply specified before after since until exactly required requirement return full values value number numeric strings word only answer".split()
 DIRECTIVES = "return full values value number numeric strings word evaluation date only answer".split()
 NUMERIC = "price fee cost charge invoice quantity total sum response target limit elapsed hour hours effective amendment replace".split()
+#: Who buys from whom, as a sentence's end: (subject, provider).
+ASSIGNMENT = r"(?i)\b([\p{L}\p{N}_ -]{1,80}?)\s+purchases\s+service\s+from\s+([\p{L}\p{N}_ .-]{1,80})\.?$"
 EFFECTIVE = r"(?i)\b(?:effective|amend|replace|supersed)\w*\b"
 
 
@@ -21,6 +23,11 @@ def nfkc_casefold(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC").str.casefold()
 
 
+def flat(text: Column) -> Column:
+    """Lower case, underscores as blanks, white space as single blanks."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), "_", " "), r"\s+", " "))
+
+
 def words(text: Column) -> Column:
     """All words in order, lower case, underscores apart."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))

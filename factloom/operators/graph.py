@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,15 +46,23 @@ def reachable(edges: DataFrame, roots: DataFrame, levels: int = 1000) -> DataFra
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; a folder of our own only where the session names none."""
+    """Reliable checkpoint in the folder that driver and executors share; a folder of our own only where the session names none and runs in one process."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factloom-"))
+        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="factloom-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A table to be broadcast if it is counted to have at most ``most`` rows; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def claim_query(claims: DataFrame, prompts: DataFrame, limit: int, key: str = "claim_id") -> DataFrame:
     """Claims by the number of distinct terms shared with each prompt, then id: the first ``limit``, with their rank."""
     held = claims.select(key, F.explode(T.t2_terms(F.col("text"))).alias("term"))

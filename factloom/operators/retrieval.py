@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators.graph import checkpointed, small
 
 BLOCK = ["doc_id", "line_no"]
 MOST_CHARS = MOST_BYTES = 20_000
+#: Best blocks of a prompt that packing looks at first; prompts that need more are folded over all that can matter.
+LOOK = 512
 
 
 def block_terms(blocks: DataFrame, terms=T.t1_terms) -> DataFrame:
@@ -26,34 +28,50 @@ def block_frequency(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("term").agg(F.count("*").alias("blocks"))
 
 
-def weights(tokens: DataFrame, documents: int, asked: DataFrame) -> DataFrame:
-    """Weight of each asked term: max(0.5, log1p((N - f + 0.5) / (f + 0.5))), N documents, f blocks."""
-    wanted = asked.select("term").distinct()
-    f = F.col("blocks")
-    weight = F.greatest(F.lit(0.5), F.log1p((F.lit(documents) - f + 0.5) / (f + 0.5)))
-    return block_frequency(tokens.join(wanted, "term")).select("term", weight.alias("weight"))
+def weight(documents: Column, frequency: Column) -> Column:
+    """max(0.5, log1p((N - f + 0.5) / (f + 0.5))), N documents, f blocks."""
+    return F.greatest(F.lit(0.5), F.log1p((documents - frequency + 0.5) / (frequency + 0.5)))
+
+
+def block_flags(blocks: DataFrame) -> DataFrame:
+    """What scores ask of a block besides its terms; patterns are matched once a block."""
+    return blocks.select(*BLOCK, "text", F.col("text").rlike("[0-9]").alias("digit"), F.col("text").rlike(T.EFFECTIVE).alias("effective"), F.ltrim("text").startswith("#").alias("heading"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+
+
+def asked_terms(blocks: DataFrame, asked: DataFrame, flags: bool = False) -> DataFrame:
+    """(doc_id, line_no, term) of the terms that any prompt asks, with the blocks' flags if wanted: written once, for all that count or score them.
+
+    The asked terms go to the blocks where they are counted to be few, so other words are dropped as they are cut.
+    """
+    shown = ["digit", "effective", "heading", "chars", "bytes"] if flags else []
+    rows = (block_flags(blocks) if flags else blocks).select(*BLOCK, *shown, F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
+    return checkpointed(rows.join(small(asked.select("term").distinct()), "term", "left_semi").select(*BLOCK, "term", *shown))
+
+
+def _scored(tokens: DataFrame, asked: DataFrame, documents: int, shown: list[str]) -> DataFrame:
+    weighted = block_frequency(tokens).select("term", weight(F.lit(documents), F.col("blocks")).alias("weight")).join(asked, "term")
+    return tokens.join(small(weighted), "term").groupBy("item_id", *BLOCK).agg(F.count("*").alias("overlap"), F.sum("weight").alias("score"), *[F.first(c).alias(c) for c in shown])
 
 
 def idf_scores(blocks: DataFrame, prompts: DataFrame, documents: int) -> DataFrame:
     """(item_id, doc_id, line_no, overlap, score) of every block that shares a term with the prompt."""
-    tokens, asked = block_terms(blocks), prompt_terms(prompts)
-    weighted = asked.join(weights(tokens, documents, asked), "term")
-    return tokens.join(weighted, "term").groupBy("item_id", *BLOCK).agg(F.count("*").alias("overlap"), F.sum("weight").alias("score"))
+    asked = prompt_terms(prompts)
+    return _scored(asked_terms(blocks, asked), asked, documents, [])
 
 
 def bonuses(scored: DataFrame, blocks: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Adds phrase (+10), numeric (+2) and effective-date (+1.5) bonuses; a heading keeps 0.12 of its score.
+    """Adds phrase (+10), numeric (+2) and effective-date (+1.5) bonuses to scores that carry their blocks' flags; a heading keeps 0.12 of its score.
 
-    Patterns are matched once a block, and only flags and sizes travel with the pairs. A block can hold the phrase only if
-    it shares all of the prompt's terms but two (the outer words may match in part), so few pairs meet their texts.
+    A block can hold the phrase only if it shares all of the prompt's terms but two (the outer words may match in part;
+    ``overlap`` counts the terms shared), so few pairs meet their texts.
     """
     terms = T.t1_terms(F.col("text"))
     cue = F.size(F.array_intersect(terms, F.array(*[F.lit(w) for w in T.NUMERIC]))) > 0
     asked = prompts.select("item_id", T.t3_text(F.col("text")).alias("phrase"), cue.alias("numeric_cue"), F.size(terms).alias("terms"))
-    flags = blocks.select(*BLOCK, F.col("text").rlike("[0-9]").alias("digit"), F.col("text").rlike(T.EFFECTIVE).alias("effective"), F.ltrim("text").startswith("#").alias("heading"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
-    near = scored.join(asked.filter("phrase <> ''"), "item_id").filter(F.col("overlap") >= F.col("terms") - 2).select("item_id", *BLOCK, "phrase")
+    out = scored.join(small(asked), "item_id")
+    near = out.filter((F.col("phrase") != "") & (F.col("overlap") >= F.col("terms") - 2)).select("item_id", *BLOCK, "phrase")
     held = near.join(blocks.select(*BLOCK, "text"), BLOCK).filter(T.t3_text(F.col("text")).contains(F.col("phrase"))).select("item_id", *BLOCK, F.lit(10.0).alias("phrase_bonus"))
-    out = scored.join(flags, BLOCK).join(asked.select("item_id", "numeric_cue"), "item_id").join(held, ["item_id", *BLOCK], "left")
+    out = out.drop("phrase", "terms").join(held, ["item_id", *BLOCK], "left")
     numeric = F.when(F.col("numeric_cue") & F.col("digit"), 2.0).otherwise(0.0)
     effective = F.when(F.col("effective"), 1.5).otherwise(0.0)
     factor = F.when(F.col("heading"), 0.12).otherwise(1.0)
@@ -63,7 +81,10 @@ def bonuses(scored: DataFrame, blocks: DataFrame, prompts: DataFrame) -> DataFra
 
 
 def ranked(blocks: DataFrame, prompts: DataFrame, documents: int) -> DataFrame:
-    return bonuses(idf_scores(blocks, prompts, documents), blocks, prompts)
+    """Scores with bonuses over the whole corpus: N is its documents, f its blocks with a term."""
+    asked = prompt_terms(prompts)
+    shown = ["digit", "effective", "heading", "chars", "bytes"]
+    return bonuses(_scored(asked_terms(blocks, asked, True), asked, documents, shown), blocks, prompts)
 
 
 def top_blocks(scored: DataFrame, k: int) -> DataFrame:
@@ -84,41 +105,54 @@ def diverse_blocks(scored: DataFrame, k: int) -> DataFrame:
     return narrow.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _admitted(rows: Column, state: Column, kind: str, k: int, most_chars: int, most_bytes: int, spread: bool) -> Column:
+    """One pass of admission over ``rows`` in their order: a block enters if there is room, and with ``spread`` only as its document's first."""
+
+    def step(s: Column, x: Column) -> Column:
+        known = F.exists(s["chosen"], lambda y: (y["doc_id"] == x["doc_id"]) & (F.lit(spread) | (y["line_no"] == x["line_no"])))
+        open_ = (F.size(s["chosen"]) < k) & ~known
+        fits = (s["chars"] + x["chars"] <= most_chars) & (s["bytes"] + x["bytes"] <= most_bytes)
+        entered = F.struct(F.array_append(s["chosen"], x).alias("chosen"), (s["chars"] + x["chars"]).alias("chars"), (s["bytes"] + x["bytes"]).alias("bytes"), s["short"].alias("short"))
+        passed = F.struct(s["chosen"].alias("chosen"), s["chars"].alias("chars"), s["bytes"].alias("bytes"), (s["short"] | open_).alias("short"))
+        return F.when(open_ & fits, entered).otherwise(passed).cast(kind)
+
+    return F.aggregate(rows, state, step)
+
+
+def _fold(listed: DataFrame, k: int, most_chars: int, most_bytes: int) -> DataFrame:
+    """(item_id, n rows, first: state after the spread pass, whole: state after both) of lists of ranked blocks."""
+    rows = listed.groupBy("item_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "doc_id", "line_no", "chars", "bytes"))).alias("rows"))
+    item = rows.schema["rows"].dataType.simpleString()
+    kind = f"struct<chosen:{item},chars:bigint,bytes:bigint,short:boolean>"
+    empty = F.struct(F.array().cast(item).alias("chosen"), F.lit(0).alias("chars"), F.lit(0).alias("bytes"), F.lit(False).alias("short")).cast(kind)
+    rows = rows.withColumn("first", _admitted(F.col("rows"), empty, kind, k, most_chars, most_bytes, True))
+    return rows.withColumn("whole", _admitted(F.col("rows"), F.col("first"), kind, k, most_chars, most_bytes, False)).drop("rows")
+
+
 def packed_blocks(scored: DataFrame, k: int, most_chars: int = MOST_CHARS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Skip-greedy selection under character and byte budgets: one block a document first, then the rest.
 
-    Of blocks of one size, only the first 2k (and the first 2k of distinct documents) can be chosen: an earlier one
-    is chosen itself, or its document was, or it did not fit, and then a later one does not either. So the sequential
-    fold sees a bounded number of rows a prompt.
+    (item_id, doc_id, line_no, score, position, short: a block was passed over for want of room). The choice is sequential, so it
+    is a fold over each prompt's best blocks. Most prompts are done with their ``LOOK`` best; if these do not fill the
+    spread pass and there are more, the fold takes all that can be chosen: of blocks of one size the first 2k (and the first
+    2k of distinct documents), as an earlier one was chosen itself, or its document was, or it did not fit, and then a later one does not either.
     """
-    sized = scored.filter((F.col("chars") <= most_chars) & (F.col("bytes") <= most_bytes))
     order = [F.desc("score"), F.col("doc_id"), F.col("line_no")]
-    first = F.row_number().over(Window.partitionBy("item_id", "chars", "bytes", "doc_id").orderBy(*order))
-    sized = sized.withColumn("in_doc", first).filter(F.col("in_doc") <= 2 * k)
-    any_ = F.row_number().over(Window.partitionBy("item_id", "chars", "bytes").orderBy(*order))
-    docs = F.row_number().over(Window.partitionBy("item_id", "chars", "bytes").orderBy((F.col("in_doc") > 1).cast("int"), *order))
-    few = sized.withColumn("a", any_).withColumn("d", docs).filter((F.col("a") <= 2 * k) | ((F.col("in_doc") == 1) & (F.col("d") <= 2 * k)))
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "doc_id", "line_no"], ascending=[False, True, True], ignore_index=True)
-        chosen, used, chars, size = [], set(), 0, 0
-        for spread in (True, False):
-            for i, (doc, c, b) in enumerate(zip(frame["doc_id"], frame["chars"], frame["bytes"], strict=True)):
-                if len(chosen) >= k:
-                    break
-                if i in used or spread and doc in {frame["doc_id"][j] for j in chosen}:
-                    continue
-                if chars + c > most_chars or size + b > most_bytes:
-                    continue
-                chosen.append(i)
-                used.add(i)
-                chars, size = chars + c, size + b
-        out = frame.loc[chosen, ["item_id", "doc_id", "line_no", "score"]].copy()
-        out["position"] = range(1, len(out) + 1)
-        return out
-
-    kind = {f.name: f.dataType.simpleString() for f in scored.schema.fields}
-    return few.select("item_id", *BLOCK, "score", "chars", "bytes").groupBy("item_id").applyInPandas(fold, f"item_id {kind['item_id']}, doc_id {kind['doc_id']}, line_no {kind['line_no']}, score double, position long")
+    held = checkpointed(scored.select("item_id", *BLOCK, "score", "chars", "bytes"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(*order))
+    best = checkpointed(_fold(held.withColumn("place", place).filter(F.col("place") <= LOOK), k, most_chars, most_bytes))
+    enough = (F.size("first.chosen") >= k) | (F.col("n") < LOOK)
+    left = best.filter(~enough).select("item_id")
+    done = best.filter(enough)
+    if left.limit(1).count():
+        sized = held.join(left, "item_id", "left_semi").filter((F.col("chars") <= most_chars) & (F.col("bytes") <= most_bytes))
+        w = lambda *by: Window.partitionBy("item_id", "chars", "bytes", *by)
+        sized = sized.withColumn("in_doc", F.row_number().over(w("doc_id").orderBy(*order))).filter(F.col("in_doc") <= 2 * k)
+        first = F.row_number().over(w().orderBy((F.col("in_doc") > 1).cast("int"), *order))
+        few = sized.withColumn("a", F.row_number().over(w().orderBy(*order))).withColumn("d", first).filter((F.col("a") <= 2 * k) | ((F.col("in_doc") == 1) & (F.col("d") <= 2 * k)))
+        done = done.unionByName(_fold(few, k, most_chars, most_bytes))
+    picked = done.select("item_id", F.col("whole.short").alias("short"), F.posexplode("whole.chosen").alias("at", "x"))
+    return picked.select("item_id", "x.doc_id", "x.line_no", (-F.col("x.order")).alias("score"), (F.col("at") + 1).cast("long").alias("position"), "short")
 
 
 def context_window(blocks: DataFrame, radius: int = 2) -> DataFrame:
@@ -131,48 +165,6 @@ def context_window(blocks: DataFrame, radius: int = 2) -> DataFrame:
     return section.select("doc_id", "line_no", F.when(~F.col("heading"), F.array_join(F.transform(F.array_compact(F.array(*near)), lambda x: x.cast("string")), ",")).otherwise("").alias("neighbours"))
 
 
-def restricted_gate(blocks: DataFrame, prompts: DataFrame, restricted: DataFrame) -> DataFrame:
-    """(item_id, restricted): whether a block of a restricted document shares a term with the prompt."""
-    held = block_terms(blocks.join(restricted.select("doc_id").distinct(), "doc_id", "left_semi")).select("term").distinct()
-    hit = prompt_terms(prompts).join(held, "term", "left_semi").select("item_id").distinct().withColumn("hit", F.lit(True))
-    return prompts.select("item_id").join(hit, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("restricted"))
-
-
-def outcome_ladder(blocks: DataFrame, prompts: DataFrame, restricted: DataFrame, stale: DataFrame, limit: int) -> DataFrame:
-    """Outcome and reason of each prompt: restricted, then freshness, then evidence, with partial where a limit was hit."""
-    gate = restricted_gate(blocks, prompts, restricted)
-    open_ = blocks.join(restricted.select("doc_id").distinct(), "doc_id", "left_anti")
-    matched = block_terms(open_).join(prompt_terms(prompts), "term").groupBy("item_id", *BLOCK).agg(F.lit(1).alias("one"))
-    found = matched.groupBy("item_id").agg(F.count("*").alias("evidence"))
-    old = F.lit(stale.select("doc_id").join(restricted.select("doc_id"), "doc_id", "left_anti").limit(1).count() > 0)
-    row = gate.join(found, "item_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit(0)))
-    outcome = F.when(F.col("restricted"), "refuse").when(old, "investigate").when(F.col("evidence") > limit, "partial").when(F.col("evidence") > 0, "answer").otherwise("refuse")
-    reason = F.when(F.col("restricted"), "restricted_evidence").when(old, "freshness_review").when(F.col("evidence") > limit, "limit_reached").when(F.col("evidence") > 0, "evidence_found").otherwise("no_evidence")
-    return row.select("item_id", F.when(F.col("restricted"), 0).otherwise(F.col("evidence")).cast("long").alias("evidence"), outcome.alias("outcome"), reason.alias("reason"))
-
-
-def subject_focus(prompts: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Subjects (column subject) named in each prompt as whole words: the longest ones that do not overlap.
-
-    A subject meets a prompt on its first word; the greedy choice folds the few spans of one prompt.
-    """
-    asked = prompts.select("item_id", T.words(F.col("text")).alias("words"))
-    named = subjects.select(F.array_join(T.words(F.col("subject")), " ").alias("subject"), T.words(F.col("subject")).alias("own")).filter(F.size("own") > 0).distinct()
-    at = asked.select("item_id", "words", F.posexplode("words").alias("start", "first"))
-    spans = at.join(named.withColumn("first", F.element_at("own", 1)), "first").filter(F.slice(F.col("words"), F.col("start") + 1, F.size("own")) == F.col("own")).select("item_id", "start", (F.col("start") + F.size("own")).alias("stop"), "subject")
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(size=frame["stop"] - frame["start"]).sort_values(["size", "start", "subject"], ascending=[False, True, True])
-        kept: list[tuple] = []
-        for row in frame.itertuples():
-            if not any(row.start < b and row.stop > a for a, b, _ in kept):
-                kept.append((row.start, row.stop, row.subject))
-        return pd.DataFrame({"item_id": frame["item_id"].iloc[0], "subject": sorted({s for _, _, s in kept})})
-
-    kind = prompts.schema["item_id"].dataType.simpleString()
-    return spans.groupBy("item_id").applyInPandas(fold, f"item_id {kind}, subject string")
-
-
 def cohort(assignments: DataFrame, named: DataFrame, member: str, provider: str) -> DataFrame:
     """All members that share a provider with a named member."""
     providers = assignments.join(named, member, "left_semi").select(provider).distinct()

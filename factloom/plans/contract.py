@@ -117,8 +117,16 @@ def parse_quality(spark, d):
     return B.parse_quality(table(spark, d, "documents"))
 
 
-@contract("""WITH e AS (SELECT page_id, unnest(l) AS piece, CAST(unnest(generate_series(0, len(l) - 1)) AS INTEGER) AS ordinal FROM (SELECT page_id, regexp_extract_all(html, '<(?:h1|p)>[^<]*') AS l FROM pages))
-SELECT page_id, ordinal, substr(piece, strpos(piece, '>') + 1) AS text, last_value(CASE WHEN starts_with(piece, '<h1>') THEN substr(piece, 5) END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS concept FROM e""")
+_TAG = r"(?:[\s/][^>]*)?>"
+#: Headings and paragraphs, each up to the next block tag: pages are cut before every block tag.
+PARAGRAPHS = rf"""seen AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script{_TAG}.*?</script{_TAG}|<style{_TAG}.*?</style{_TAG}', '', 'g') AS h FROM pages),
+pieces AS (SELECT page_id, string_split(regexp_replace(h, '(?i)(</?(?:{B.BLOCK_TAGS}){_TAG})', chr(1) || '\1', 'g'), chr(1)) AS l FROM seen),
+each_ AS (SELECT page_id, unnest(l) AS piece, unnest(generate_series(1, len(l))) AS n FROM pieces),
+paragraphs AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INTEGER) AS ordinal, regexp_matches(piece, '^(?i)<h1') AS heading,
+  regexp_replace(regexp_replace(regexp_replace(piece, '^<[^>]*>', ''), '(?i)<br{_TAG}', ' ', 'g'), '<[a-zA-Z/!?][^>]*>', '', 'g') AS text FROM each_ WHERE regexp_matches(piece, '^(?i)<(h1|p){_TAG}'))"""
+
+
+@contract(f"""WITH {PARAGRAPHS} SELECT page_id, ordinal, text, last_value(CASE WHEN heading THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS concept FROM paragraphs""")
 def distill_forward_fill(spark, d):
     filled = B.forward_fill(B.html_paragraphs(table(spark, d, "pages")), "page_id", "ordinal", F.col("heading"), F.col("text"))
     return filled.select("page_id", "ordinal", "text", "concept")
@@ -182,38 +190,6 @@ def context_window(spark, d):
     return R.context_window(lines(spark, d))
 
 
-def _restricted(spark, d):
-    return table(spark, d, "labels").filter("toxic = 1").select("doc_id")
-
-
-_GATE = f"""{_LINES}, bad AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
-held AS (SELECT DISTINCT unnest({_sql_t1("text")}) AS term FROM blocks WHERE doc_id IN (SELECT doc_id FROM bad)),
-pt AS (SELECT item_id, unnest({_sql_t1("text")}) AS term FROM benchmark),
-gate AS (SELECT item_id, item_id IN (SELECT item_id FROM pt WHERE term IN (SELECT term FROM held)) AS restricted FROM benchmark)"""
-
-
-@contract(f"WITH {_GATE} SELECT * FROM gate")
-def restricted_gate(spark, d):
-    return R.restricted_gate(lines(spark, d), prompts(spark, d), _restricted(spark, d))
-
-
-@contract(f"""WITH {_GATE}, bt AS (SELECT doc_id, line_no, unnest({_sql_t1("text")}) AS term FROM blocks WHERE doc_id NOT IN (SELECT doc_id FROM bad)),
-m AS (SELECT DISTINCT item_id, doc_id, line_no FROM bt JOIN pt USING (term)), e AS (SELECT item_id, count(*) AS n FROM m GROUP BY 1),
-old AS (SELECT count(*) > 0 AS old FROM labels WHERE quality = 0 AND doc_id NOT IN (SELECT doc_id FROM bad))
-SELECT item_id, CAST(CASE WHEN restricted THEN 0 ELSE coalesce(n, 0) END AS BIGINT) AS evidence,
-  CASE WHEN restricted THEN 'refuse' WHEN old THEN 'investigate' WHEN coalesce(n, 0) > 20 THEN 'partial' WHEN coalesce(n, 0) > 0 THEN 'answer' ELSE 'refuse' END AS outcome,
-  CASE WHEN restricted THEN 'restricted_evidence' WHEN old THEN 'freshness_review' WHEN coalesce(n, 0) > 20 THEN 'limit_reached' WHEN coalesce(n, 0) > 0 THEN 'evidence_found' ELSE 'no_evidence' END AS reason
-FROM gate LEFT JOIN e USING (item_id) CROSS JOIN old""")
-def outcome_ladder(spark, d):
-    return R.outcome_ladder(lines(spark, d), prompts(spark, d), _restricted(spark, d), table(spark, d, "labels").filter("quality = 0"), 20)
-
-
-@contract()
-def subject_focus(spark, d):
-    subjects = B.html_headings(table(spark, d, "pages")).select(F.element_at(T.words(F.col("heading")), 1).alias("subject")).filter("subject is not null")
-    return R.subject_focus(prompts(spark, d), subjects)
-
-
 @contract("""WITH a AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), n AS (SELECT p_partkey FROM part WHERE p_brand = 'Brand#2' AND p_type = 'ECONOMY' AND p_size = 11),
 p AS (SELECT DISTINCT l_suppkey FROM a WHERE l_partkey IN (SELECT p_partkey FROM n)) SELECT l_partkey, l_suppkey FROM a WHERE l_suppkey IN (SELECT l_suppkey FROM p)""")
 def cohort_same_provider(spark, d):

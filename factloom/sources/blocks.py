@@ -154,11 +154,11 @@ def html_headings(pages: DataFrame, key: str = "page_id", source: str = "html")
 
 
 #: Start or end tags that end a heading or a paragraph.
-_BLOCK = "address|article|aside|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hgroup|hr|html|legend|li|main|menu|nav|ol|p|pre|search|section|summary|table|tbody|td|tfoot|th|thead|tr|ul"
+BLOCK_TAGS = "address|article|aside|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hgroup|hr|html|legend|li|main|menu|nav|ol|p|pre|search|section|summary|table|tbody|td|tfoot|th|thead|tr|ul"
 #: The rest of a tag after its name; a > in a quoted value does not end it. Possessive, so that long texts need no stack.
 _REST = r"""(?=[\s/>])(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
 _UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*+>|\z)"
-_PIECE = rf"(?i)<(?:h1|p){_REST}[^<]*+(?:<(?!/?(?:{_BLOCK})(?=[\s/>]))[^<]*+)*+"
+_PIECE = rf"(?i)<(?:h1|p){_REST}[^<]*+(?:<(?!/?(?:{BLOCK_TAGS})(?=[\s/>]))[^<]*+)*+"
 
 
 def html_paragraphs(pages: DataFrame, key: str = "page_id", source: str = "html") -> DataFrame:

@@ -14,6 +14,7 @@ from factloom.operators import knowledge as K
 from factloom.operators import layout as L
 from factloom.operators import retrieval as R
 from factloom.operators import safety as S
+from factloom.operators import selection
 from factloom.sources import blocks as B
 from factloom.streaming import logs
 
@@ -43,7 +44,7 @@ def test_packed_blocks_equal_the_sequential_rule(spark):
 def test_subject_focus_takes_the_longest(spark):
     prompts = spark.createDataFrame([(1, "What does North Harbour Pier charge at north harbour?"), (2, "northern harbour")], "item_id int, text string")
     subjects = spark.createDataFrame([("North Harbour",), ("north harbour pier",), ("Pier",)], "subject string")
-    assert sorted((r.item_id, r.subject) for r in R.subject_focus(prompts, subjects).collect()) == [(1, "north harbour"), (1, "north harbour pier")]
+    assert sorted((r.item_id, r.subject) for r in selection.focus(prompts, subjects).collect()) == [(1, "north harbour"), (1, "north harbour pier")]
 
 
 def test_nfkc_is_exact(spark):
