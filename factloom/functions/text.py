@@ -33,6 +33,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def distinct_words(text: Column) -> Column:
+    return F.array_distinct(words(text))
+
+
 def t1_terms(text: Column) -> Column:
     """Retrieval terms: distinct words without the stop list."""
     return F.array_except(F.array_distinct(words(text)), F.array(*[F.lit(w) for w in STOP]))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factloom.functions import text as T
 
@@ -45,17 +47,27 @@ def reachable(edges: DataFrame, roots: DataFrame, levels: int = 1000) -> DataFra
     raise ValueError("the walk did not end within its levels")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where the session names none and runs in one process."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="factloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that driver and executors share; a folder of our own only where the session names none and runs in one process."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="factloom-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Written to the shared folder and read again: lineage ends in files that outlive any executor, and the work is done once."""
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_fields(df: DataFrame, more: str) -> StructType:
+    """The schema of ``df`` and the fields of the text ``more``."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
 
 
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators.graph import checkpointed
+from factloom.operators import retrieval as R
+from factloom.operators.graph import checkpointed, small
 
 
 def replay(log: DataFrame, group: str, sequence: str, parent: Column, rounds: int = 40) -> DataFrame:
@@ -37,18 +38,36 @@ def status(entries: DataFrame, group: str, version: str) -> DataFrame:
     return counts.withColumn("status", kind)
 
 
-def search(claims: DataFrame, prompts: DataFrame, limit: int) -> DataFrame:
-    """Claims (entry_id, claim_id, text) of each prompt by: exact text, prompt within the claim, terms shared, entry, claim."""
-    from pyspark.sql import Window
+def search(claims: DataFrame, prompts: DataFrame, limit: int, citations: DataFrame | None = None) -> DataFrame:
+    """Claims (entry_id, claim_id, text) of each prompt by: exact text, prompt within the claim, words shared, words shared with its
+    citation (entry_id, claim_id, text), entry, claim.
 
-    held = claims.select("entry_id", "claim_id", T.t3_text(F.col("text")).alias("normal"))
-    terms = held.select("entry_id", "claim_id", "normal", F.explode(F.array_distinct(F.split("normal", " "))).alias("term")).filter("term <> ''")
-    asked = prompts.select("item_id", T.t3_text(F.col("text")).alias("prompt"))
-    wanted = asked.select("item_id", "prompt", F.explode(F.array_distinct(F.split("prompt", " "))).alias("term")).filter("term <> ''")
-    hits = terms.join(wanted, "term").groupBy("item_id", "entry_id", "claim_id").agg(F.count("*").alias("hits"), F.any_value("normal").alias("normal"), F.any_value("prompt").alias("prompt"))
-    hits = hits.withColumn("exact", (F.col("normal") == F.col("prompt")).cast("int")).withColumn("within", F.col("normal").contains(F.col("prompt")).cast("int"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("exact"), F.desc("within"), F.desc("hits"), "entry_id", "claim_id")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("item_id", "entry_id", "claim_id", "exact", "within", "hits", "rank")
+    A claim leaves its batch only if it is among the best ``limit`` there by shared words, or shares so many that it can hold the
+    prompt; only those meet their texts. With citations, a claim is known by the words of both.
+    """
+    blocks = claims.select(F.col("entry_id").alias("doc_id"), F.col("claim_id").alias("line_no"), "text")
+    few = R.asked_arrays(prompts, T.distinct_words)
+    if few is not None and citations is None:
+        found = R.score_index(R.block_index(blocks, few, False), few, limit, bonus=False).select("item_id", *R.BLOCK, "overlap", "may")
+    else:
+        asked = checkpointed(R.prompt_terms(prompts, T.distinct_words))
+        count = lambda rows, name: R.block_terms(rows, T.distinct_words).join(small(asked), "term").groupBy("item_id", *R.BLOCK).agg(F.count("*").alias(name))
+        need = asked.groupBy("item_id").agg((F.count("*") - 2).alias("need"))
+        found = count(blocks, "overlap")
+        if citations is not None:
+            cited = count(citations.select(F.col("entry_id").alias("doc_id"), F.col("claim_id").alias("line_no"), "text"), "cited")
+            found = found.join(cited, ["item_id", *R.BLOCK], "full_outer").fillna(0, ["overlap", "cited"])
+        found = found.join(small(need), "item_id").withColumn("may", F.col("overlap") >= F.col("need")).drop("need")
+    found = checkpointed(found.withColumn("cited", F.lit(0).cast("long")) if citations is None else found)
+    texts = blocks.select(*R.BLOCK, T.t3_text(F.col("text")).alias("normal"))
+    said = small(prompts.select("item_id", T.t3_text(F.col("text")).alias("prompt")))
+    close = found.filter("may").join(said, "item_id").join(texts, R.BLOCK).filter(F.col("normal").contains(F.col("prompt")))
+    close = close.select("item_id", *R.BLOCK, (F.col("normal") == F.col("prompt")).cast("int").alias("exact"), F.lit(1).alias("within"))
+    rows = found.join(close, ["item_id", *R.BLOCK], "left").fillna(0, ["exact", "within"])
+    w = Window.partitionBy("item_id").orderBy(F.desc("exact"), F.desc("within"), F.desc("overlap"), F.desc("cited"), *R.BLOCK)
+    best = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    shown = ["hits"] if citations is None else ["hits", "cited"]
+    return best.select("item_id", F.col("doc_id").alias("entry_id"), F.col("line_no").alias("claim_id"), "exact", "within", F.col("overlap").alias("hits"), "cited", "rank").select("item_id", "entry_id", "claim_id", "exact", "within", *shown, "rank")
 
 
 def contradict(claims: DataFrame, group: str, strict: bool = False) -> DataFrame:

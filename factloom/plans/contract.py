@@ -151,29 +151,29 @@ def _documents(spark, d) -> int:
 
 @contract(f"WITH {_SCORES} SELECT item_id, doc_id, line_no, overlap, round(score, 6) AS score FROM scored")
 def idf_scores(spark, d):
-    return R.idf_scores(lines(spark, d), prompts(spark, d), _documents(spark, d)).withColumn("score", F.round("score", 6))
+    return R.idf_scores(lines(spark, d), prompts(spark, d), _documents(spark, d))
 
 
-def _ranked(spark, d):
-    return R.ranked(lines(spark, d), prompts(spark, d), _documents(spark, d))
+def _ranked(spark, d, best=None, spread=False):
+    return R.ranked(lines(spark, d), prompts(spark, d), _documents(spark, d), best, spread)
 
 
 @contract(f"""WITH {_BONUS}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, line_no) AS rank FROM ranked)
 SELECT item_id, doc_id, line_no, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
 def retrieve_topk(spark, d):
-    return R.top_blocks(_ranked(spark, d), 20).select("item_id", "doc_id", "line_no", "score", "rank")
+    return R.top_blocks(_ranked(spark, d, 20), 20).select("item_id", "doc_id", "line_no", "score", "rank")
 
 
 @contract(f"""WITH {_BONUS}, o AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, line_no) AS k FROM ranked),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CAST(k > 1 AS INTEGER), score DESC, doc_id, line_no) AS rank FROM o)
 SELECT item_id, doc_id, line_no, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
 def retrieve_diverse(spark, d):
-    return R.diverse_blocks(_ranked(spark, d), 20).select("item_id", "doc_id", "line_no", "score", "rank")
+    return R.diverse_blocks(_ranked(spark, d, 20, True), 20).select("item_id", "doc_id", "line_no", "score", "rank")
 
 
 @contract()
 def retrieve_packed(spark, d):
-    return R.packed_blocks(_ranked(spark, d), 20)
+    return R.packed(lines(spark, d), prompts(spark, d), _documents(spark, d), 20).drop("short")
 
 
 @contract(f"WITH {_BONUS} SELECT item_id, doc_id, line_no, phrase_bonus, numeric_bonus, effective_bonus, score FROM ranked WHERE phrase_bonus + numeric_bonus + effective_bonus > 0")

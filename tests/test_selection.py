@@ -112,7 +112,7 @@ def test_selector(spark, monkeypatch, seed, cap, long, look):
         docs = [(k, False, c, s) for k, _, c, s in docs]
     want, gates = expected(docs, blocks, prompts, 6, cap, R.MOST_CHARS if not long else 6000)
     if long:
-        monkeypatch.setattr(R.packed_blocks, "__defaults__", (6000, 6000))
+        monkeypatch.setattr(R.packed_blocks, "__defaults__", (6000, 6000, None))
     chosen, got = S.select_blocks(*frames(spark, docs, blocks, prompts), 6, cap)
     by = {item: [] for item, _ in prompts}
     for r in chosen.orderBy("item_id", "position").collect():
@@ -158,3 +158,17 @@ def test_prompts_are_checked(spark):
     texts = ["", " ", "fine", "x" * 1024, "x" * 1025, "tab\there", "zero​width", "é", None]
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").withColumn("ok", S.valid_prompt(F.col("text"))).collect()
     assert [r.ok for r in sorted(rows, key=lambda r: r.k)] == [False, False, True, True, False, False, False, True, False]
+
+
+def test_scores_by_joins_equal_scores_by_arrays(spark, monkeypatch):
+    """Prompts of too many terms to go to the workers as arrays take the joins; pruned scores keep the best."""
+    _, blocks, prompts = corpus(8)
+    b, p, _ = frames(spark, [(0, False, True, "a")], blocks, prompts)
+    show = lambda rows: {(r.item_id, r.doc_id, r.line_no): tuple(round(r[c], 5) for c in ("overlap", "score", "phrase_bonus", "numeric_bonus", "effective_bonus", "chars")) for r in rows.collect()}
+    arrays = show(R.ranked(b, p, 30))
+    best = R.diverse_blocks(R.ranked(b, p, 30, 4, True), 4).select("item_id", "rank", "doc_id", "line_no").collect()
+    packed = R.packed(b, p, 30, 4).collect()
+    monkeypatch.setattr(R, "asked_arrays", lambda *_: None)
+    assert arrays == show(R.ranked(b, p, 30)) and len(arrays) > 500
+    assert sorted(best) == sorted(R.diverse_blocks(R.ranked(b, p, 30), 4).select("item_id", "rank", "doc_id", "line_no").collect())
+    assert sorted(packed) == sorted(R.packed(b, p, 30, 4).collect())
