@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 WORD = r"[\p{L}\p{N}]+"
 # Fixed values of the retrieval language: words without evidence, directive words, words that ask for numbers.
@@ -68,5 +70,37 @@ def contains_phrase(haystack: Column, needle: Column) -> Column:
 
 
 def digest(*columns: Column) -> Column:
-    """sha256 identity of a flat record: its fields' texts, bar-separated, null as nothing."""
-    return F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]), 256))
+    """sha256 identity of a flat record: of its fields' texts as a JSON array, so that no two records run together."""
+    return F.concat(F.lit("sha256:"), F.sha2(F.to_json(F.array(*[c.cast("string") for c in columns])), 256))
+
+
+def canonical_digest(body: Column) -> Column:
+    """sha256 of the canonical form of JSON texts: sorted keys, no blanks, no non-finite numbers; null for what is no strict JSON object."""
+    return F.concat(F.lit("sha256:"), F.sha2(canonical_json(body)["canonical"], 256))
+
+
+def strict_object(body: str | None) -> tuple[str | None, str | None]:
+    """(problem, canonical form) of a JSON text: repeated keys and non-finite numbers are no strict JSON."""
+
+    def pairs(items):
+        if len(items) != len({k for k, _ in items}):
+            raise KeyError("repeated_key")
+        return dict(items)
+
+    def refuse(_):
+        raise KeyError("non_finite")
+
+    try:
+        value = json.loads(body or "", object_pairs_hook=pairs, parse_constant=refuse)
+        if not isinstance(value, dict):
+            return "not_an_object", None
+        return None, json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    except KeyError as e:
+        return e.args[0], None
+    except (ValueError, RecursionError):
+        return "malformed", None
+
+
+@F.pandas_udf(StructType([StructField("problem", StringType()), StructField("canonical", StringType())]))
+def canonical_json(body: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([strict_object(b) for b in body], columns=["problem", "canonical"])

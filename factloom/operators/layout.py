@@ -25,7 +25,7 @@ def lines(boxes: DataFrame, page: str) -> DataFrame:
         frame = frame.sort_values(["t", "l", "box"], ignore_index=True)
         out, head, number = [], None, 0
         for top, bottom in zip(frame["t"], frame["b"], strict=True):
-            if head is not None and 2 * (min(bottom, head[1]) - max(top, head[0])) >= min(bottom - top, head[1] - head[0]):
+            if head is not None and (common := min(bottom, head[1]) - max(top, head[0])) > 0 and 2 * common >= min(bottom - top, head[1] - head[0]):
                 out.append(number)
                 continue
             number += 1
@@ -44,8 +44,8 @@ def area(points: Column) -> Column:
 
 
 def edit_accuracy(expected: Column, actual: Column) -> Column:
-    """1 - distance / expected length, at least 0; in millionths."""
-    n = F.greatest(F.length(expected), F.lit(1))
+    """1 - distance / the longer of both lengths, at least 0; in millionths."""
+    n = F.greatest(F.length(expected), F.length(actual), F.lit(1))
     return F.floor(F.greatest(F.lit(0), n - F.levenshtein(expected, actual)) * 1_000_000 / n).cast("long")
 
 
@@ -126,12 +126,35 @@ def match_lines(expected: DataFrame, actual: DataFrame, page: str) -> DataFrame:
 
 
 def word_accuracy(expected: Column, actual: Column) -> Column:
-    """Edit accuracy over words, in millionths: each distinct word stands for one sign, so the built-in distance counts words."""
+    """Edit accuracy over words, in millionths: each distinct word stands for one sign of its own (up to a million), so the built-in distance counts words."""
     vocabulary = F.array_distinct(F.concat(expected, actual))
-    spelt = lambda words: F.array_join(F.transform(words, lambda w: F.char(F.array_position(vocabulary, w) % 200 + 32)), "")
+    sign = lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + 0x10000), 8, "0")
+    spelt = lambda words: F.decode(F.unhex(F.array_join(F.transform(words, sign), "")), "UTF-32")
     return edit_accuracy(spelt(expected), spelt(actual))
 
 
+def convex(points: Column) -> Column:
+    """Whether the corners (x, y) turn one way only and enclose an area."""
+    n = F.size(points)
+    at = lambda i: F.element_at(points, (i - 1) % n + 1)
+    cross = F.transform(F.sequence(F.lit(1), n), lambda i: (at(i + 1)["x"] - at(i)["x"]) * (at(i + 2)["y"] - at(i + 1)["y"]) - (at(i + 1)["y"] - at(i)["y"]) * (at(i + 2)["x"] - at(i + 1)["x"]))
+    return (n >= 3) & (F.forall(cross, lambda c: c >= 0) | F.forall(cross, lambda c: c <= 0)) & F.exists(cross, lambda c: c != 0)
+
+
+def merge_fragments(rows: DataFrame, page: str) -> DataFrame:
+    """Boxes of one line (page, col, line, l, r, text, confidence) that overlap become one: texts joined by blanks in order of place, the least confidence."""
+    w = Window.partitionBy(page, "col", "line").orderBy("l", "r")
+    reach = F.max("r").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = rows.withColumn("piece", F.sum(F.when(reach.isNull() | (F.col("l") >= reach), 1).otherwise(0)).over(w))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l", "r", "text"))), lambda x: x["text"]), " ")
+    return fresh.groupBy(page, "col", "line", "piece").agg(F.min("l").alias("l"), F.max("r").alias("r"), text.alias("text"), F.min("confidence").alias("confidence"))
+
+
+def reading_order(rows: DataFrame, page: str) -> DataFrame:
+    """Place of each piece on its page: by column, line, left edge."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy("col", "line", "l", "r")))
+
+
 def detections(rows: DataFrame, page: str) -> DataFrame:
     """Upright boxes of detections turned by a multiple of 90 degrees (angle, width, height, x, y, w, h), duplicates removed."""
     x, y, w, h, wide, high = (F.col(c) for c in ("x", "y", "w", "h", "width", "height"))

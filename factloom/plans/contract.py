@@ -67,11 +67,11 @@ def _sql_t2(x: str) -> str:
     return f"list_distinct(list_filter({_sql_words(x)}, lambda w: length(w) >= 3))"
 
 
-_LINES = """cut AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(generate_series(0, len(string_split(coalesce(text, ''), chr(10))) - 1)) AS n FROM documents
+_LINES = rf"""cut AS (
+  SELECT doc_id, unnest(l) AS piece, unnest(generate_series(0, len(l) - 1)) AS n FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{B.LINE}') AS l FROM documents)
 ), blocks AS (
   SELECT doc_id, CAST(n AS INTEGER) AS line_no, CAST(start AS BIGINT) AS start, CAST(start + length(text) AS BIGINT) AS "end", text
-  FROM (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(text) - 1 AS start FROM cut) WHERE trim(text, ' ') <> ''
+  FROM (SELECT *, regexp_replace(piece, '(\r\n|[{B.ENDS}])$', '') AS text, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY n) - length(piece) AS start FROM cut) WHERE trim(text, ' ') <> ''
 )"""
 _SCORES = f"""{_LINES}, bt AS (SELECT doc_id, line_no, unnest({_sql_t1("text")}) AS term FROM blocks),
 pt AS (SELECT item_id, unnest({_sql_t1("text")}) AS term FROM benchmark),
@@ -636,7 +636,7 @@ def polygon_area(spark, d):
 
 
 @contract("""WITH p AS (SELECT p_partkey, p_name, p_type || ' ' || p_name AS other FROM part)
-SELECT p_partkey, CAST(greatest(0, greatest(length(p_name), 1) - levenshtein(p_name, other)) * 1000000 // greatest(length(p_name), 1) AS BIGINT) AS accuracy FROM p""")
+SELECT p_partkey, CAST(greatest(0, greatest(length(p_name), length(other), 1) - levenshtein(p_name, other)) * 1000000 // greatest(length(p_name), length(other), 1) AS BIGINT) AS accuracy FROM p""")
 def edit_accuracy(spark, d):
     return table(spark, d, "part").select("p_partkey", L.edit_accuracy(F.col("p_name"), F.concat_ws(" ", "p_type", "p_name")).alias("accuracy"))
 
@@ -650,12 +650,12 @@ def pair_order_accuracy(spark, d):
 # Identities
 
 
-@contract("SELECT doc_id, 'sha256:' || sha256(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(lang, ''), coalesce(source, ''), coalesce(text, ''))) AS evidence_id FROM documents")
+@contract("SELECT doc_id, 'sha256:' || sha256(CAST(to_json([CAST(doc_id AS VARCHAR), lang, source, text]) AS VARCHAR)) AS evidence_id FROM documents")
 def evidence_digest(spark, d):
     return table(spark, d, "documents").select("doc_id", T.digest(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text")).alias("evidence_id"))
 
 
-@contract(f"""WITH {_LINES} SELECT doc_id, line_no, 'claim-' || substr(sha256(concat_ws('|', CAST(doc_id AS VARCHAR), CAST(line_no AS VARCHAR), text)), 1, 24) AS claim_id, 'citation-' || substr(sha256(concat_ws('|', CAST(doc_id AS VARCHAR), CAST(start AS VARCHAR), CAST("end" AS VARCHAR))), 1, 24) AS citation_id FROM blocks""")
+@contract(f"""WITH {_LINES} SELECT doc_id, line_no, 'claim-' || substr(sha256(CAST(to_json([CAST(doc_id AS VARCHAR), CAST(line_no AS VARCHAR), text]) AS VARCHAR)), 1, 24) AS claim_id, 'citation-' || substr(sha256(CAST(to_json([CAST(doc_id AS VARCHAR), CAST(start AS VARCHAR), CAST("end" AS VARCHAR)]) AS VARCHAR)), 1, 24) AS citation_id FROM blocks""")
 def selection_targets(spark, d):
     claim = T.digest(F.col("doc_id"), F.col("line_no"), F.col("text"))
     citation = T.digest(F.col("doc_id"), F.col("start"), F.col("end"))

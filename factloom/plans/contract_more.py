@@ -105,7 +105,7 @@ def batch_checkpoints(spark, d):
 
 
 @contract(f"""WITH {_LINES} SELECT doc_id, line_no, coalesce(last_value(CASE WHEN starts_with(ltrim(text), '#') THEN trim(regexp_replace(text, '^[# ]+', ''), ' ') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS concept,
-CASE WHEN length(text) <= 512 THEN text END AS text, 'claim-' || substr(sha256(concat_ws('|', CAST(doc_id AS VARCHAR), CAST(line_no AS VARCHAR), blocks.text)), 1, 24) AS claim_id FROM blocks QUALIFY NOT starts_with(ltrim(blocks.text), '#')""")
+CASE WHEN length(text) <= 512 THEN text END AS text, 'claim-' || substr(sha256(CAST(to_json([CAST(doc_id AS VARCHAR), CAST(line_no AS VARCHAR), blocks.text]) AS VARCHAR)), 1, 24) AS claim_id FROM blocks QUALIFY NOT starts_with(ltrim(blocks.text), '#')""")
 def distilled_claims(spark, d):
     return I.distil(lines(spark, d))
 

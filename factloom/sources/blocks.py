@@ -18,9 +18,18 @@ BLOCKS = "doc string, ordinal int, type string, level int, text string, start lo
 
 
 def read_files(spark: SparkSession, path: str, most: int = 64 << 20) -> DataFrame:
-    """Bounded bytes with their digest: path, media_type, content, digest. Larger files are left to the caller's anti-join."""
+    """Bytes with their digest: path, media_type, content, digest, status. A file above ``most`` bytes is too_large and has no content."""
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    return spark.read.format("binaryFile").load(path).filter(F.col("length") <= most).select("path", kind.alias("media_type"), "content", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"))
+    rows = spark.read.format("binaryFile").load(path)
+    whole = F.when(F.col("length") <= most, F.col("content"))
+    return rows.select("path", kind.alias("media_type"), whole.alias("content"), F.concat(F.lit("sha256:"), F.sha2(whole, 256)).alias("digest"), F.when(F.col("length") <= most, "read").otherwise("too_large").alias("status"))
+
+
+def by_policy(files: DataFrame, kinds: list[str], most: int, root: str) -> DataFrame:
+    """Adds why a file must not be read: another kind than the policy's, too large, or outside ``root``."""
+    inside = F.startswith(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit(root.rstrip("/") + "/")) & ~F.col("path").rlike(r"(^|/)\.\.(/|$)")
+    why = F.array(F.when(~F.col("media_type").isin(kinds), "kind"), F.when((F.col("status") == "too_large") | (F.octet_length("content") > most), "too_large"), F.when(~inside, "outside"))
+    return files.withColumn("refused", F.array_join(F.array_compact(why), ","))
 
 
 def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
@@ -28,11 +37,17 @@ def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
     return files.join(expected, "path").filter(F.col("digest") == F.col("expected_digest")).drop("expected_digest")
 
 
+#: What ends a line: all that Unicode calls a line end, a carriage return and line feed as one.
+ENDS = r"\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}"
+LINE = rf"[^{ENDS}]*(?:\r\n|[{ENDS}])|[^{ENDS}]+"
+
+
 def line_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Plain text: a paragraph for each line that is not blank, with its offsets."""
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "text"))
-    before = F.sum(F.length("text") + 1).over(Window.partitionBy(key).orderBy("line_no")) - F.length("text") - 1
-    return lines.withColumn("start", before.cast("long")).withColumn("end", F.col("start") + F.length("text")).filter(F.trim("text") != "").select(key, "line_no", "start", "end", "text")
+    """Plain text: a paragraph for each line that is not blank, with its offsets, without its end."""
+    lines = docs.select(key, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(LINE), F.lit(0))).alias("line_no", "piece"))
+    before = F.sum(F.length("piece")).over(Window.partitionBy(key).orderBy("line_no")) - F.length("piece")
+    own = lines.withColumn("start", before.cast("long")).withColumn("text", F.regexp_replace("piece", rf"(?:\r\n|[{ENDS}])$", ""))
+    return own.withColumn("end", F.col("start") + F.length("text")).filter(F.trim("text") != "").select(key, "line_no", "start", "end", "text")
 
 
 def markdown_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
