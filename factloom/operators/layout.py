@@ -45,7 +45,7 @@ def area(points: Column) -> Column:
 
 def edit_accuracy(expected: Column, actual: Column) -> Column:
     """1 - distance / the longer of both lengths, at least 0; in millionths."""
-    n = F.greatest(F.length(expected), F.length(actual), F.lit(1))
+    n = F.greatest(F.length(expected), F.length(actual), F.lit(1)).cast("long")
     return F.floor(F.greatest(F.lit(0), n - F.levenshtein(expected, actual)) * 1_000_000 / n).cast("long")
 
 

@@ -39,4 +39,6 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(contract.QUERIES) - set(contract.ORACLE)))
 def test_other_queries_run(spark, name):
-    assert contract.QUERIES[name](spark, SF).limit(5).count() >= 0
+    """Queries without SQL are held against brute force elsewhere; here they must give rows of their schema."""
+    got = contract.QUERIES[name](spark, SF)
+    assert got.columns and got.count() > 0
