@@ -97,10 +97,10 @@ def profiles(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for rows, sets in _batches(batches, 1):
-            yield pa.record_batch([pa.concat_arrays([r.column(0) for r in rows]), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64()), pa.array([False] * len(sets))], names=["key", "n", "name", "hot"])
+            yield pa.record_batch([pa.concat_arrays([r.column(0) for r in rows]), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64()), pa.array([False] * len(sets), pa.bool_())], names=["key", "n", "name", "hot"])
             token, count = np.unique(np.concatenate(sets), return_counts=True)
             often = count >= max(2, HOT / 2 * len(sets))
-            yield pa.record_batch([pa.array(token[often].view(np.int64)), pa.array(count[often]), pa.nulls(int(often.sum()), pa.int64()), pa.array([True] * int(often.sum()))], names=["key", "n", "name", "hot"])
+            yield pa.record_batch([pa.array(token[often].view(np.int64)), pa.array(count[often]), pa.nulls(int(often.sum()), pa.int64()), pa.array([True] * int(often.sum()), pa.bool_())], names=["key", "n", "name", "hot"])
 
     return docs.select("key", "text").mapInArrow(run, "key long, n long, name long, hot boolean")
 

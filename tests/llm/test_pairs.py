@@ -148,6 +148,13 @@ def test_jaccard_join_small_blocks_and_empty(spark, monkeypatch):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_jaccard_join_without_a_repeated_shingle(spark):
+    """No shingle occurs twice: profiles have no frequent tokens, in any batch."""
+    rows = [(k, f"w{k} x{k} y{k} z{k} v{k} u{k}") for k in range(40)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {k: (2, k) for k, _ in rows}
+
+
 def test_prefix_hashes():
     r = random.Random(1)
     a = "".join(r.choice("abé日") for _ in range(400))
