@@ -20,8 +20,8 @@ import pyarrow as pa
 from factloom.llm import vectext as V
 
 #: Text bytes whose distinct words are replayed together, and words that the memo of a worker may hold.
-REPLAY_BYTES = 24 << 20
-MEMO_WORDS = 1_500_000
+REPLAY_BYTES = 12 << 20
+MEMO_WORDS = 800_000
 #: Longer words are keyed by a 64-bit xxh3 hash, shorter ones by the block's 64-bit span hash; words are not compared by
 #: bytes: among MEMO_WORDS of them, two share a key once in about 16 million workers' memos.
 LONG_WORD = 256

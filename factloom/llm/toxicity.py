@@ -27,6 +27,8 @@ from factloom.llm.common import bounded_sample, held_out, stash, unstash, with_f
 
 SAMPLE_ROWS, SAMPLE_BYTES, FEATURES, THRESHOLD = 4000, 64 << 20, 4096, 0.3
 BEGINNINGS = (4, 5, 6, 7)
+#: Text whose features are in memory together, and counted pairs that leave a task together.
+BLOCK_BYTES, COUNTED_PAIRS = 1 << 19, 400_000
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
 _WORD = np.zeros(256, bool)
@@ -143,7 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     parts = [bounded_sample(known.filter(F.col("label") == k), "key", n, sample_rows) for k, n in sorted(sizes.items())]
     ids = F.broadcast(parts[0].unionByName(parts[1]))  # about 2 x sample_rows ids
     found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(ids, "key").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES // 16)
-    drawn = stash(found.groupBy("key").agg(F.max("text").alias("text"), F.max("label").alias("label")), "toxicity")
+    drawn = stash(found, "toxicity")
+    repeated = drawn.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    if repeated.limit(1).count():
+        once = drawn.groupBy("key").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+        held, drawn = drawn, stash(once, "toxicity")
+        unstash(held)
     size = drawn.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     rows = bounded_sample(drawn, "key", size, SAMPLE_BYTES).select("text", "label")
 
@@ -153,12 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def frequencies(batches):
         held: list[np.ndarray] = []
-        for part, data, offsets in V.blocks(batches, "text", 1 << 20):
+        for part, data, offsets in V.blocks(batches, "text", BLOCK_BYTES):
             side = part.column(1).to_numpy().astype(np.int64)
             found, sentence, owner, _ = sentences(data, offsets)
             pair = np.unique(np.stack([found, owner[sentence].astype(np.uint64)]), axis=1) if len(found) else np.zeros((2, 0), np.uint64)
             held.append(np.stack([pair[0], side[pair[1].astype(np.int64)].astype(np.uint64)]))
-            if sum(h.shape[1] for h in held) > 1_000_000:
+            if sum(h.shape[1] for h in held) > COUNTED_PAIRS:
                 yield counted(held)
                 held = []
         if held:
@@ -178,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     start = np.array([min(max(r["lift"], -2.0), 3.0) if r["spread"] > 6 else 0.0 for r in best])[order]
 
     def reduce(batches):
-        for part, data, offsets in V.blocks(batches, "text", 1 << 20):
+        for part, data, offsets in V.blocks(batches, "text", BLOCK_BYTES):
             found, sentence, owner, _ = sentences(data, offsets)
             first = np.searchsorted(owner, np.arange(len(offsets)))
             pair = entries(words, found, sentence)
@@ -200,7 +207,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         own = held.value
-        for part, data, offsets in V.blocks(batches, text, 1 << 20):
+        for part, data, offsets in V.blocks(batches, text, BLOCK_BYTES):
             value, start, top, many = own.score(data, offsets)
             yield pa.record_batch([*part.columns, pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32)), pa.array(start, mask=start < 0), pa.array(top), pa.array(many.astype(np.int32))], names=[*part.schema.names, *new])
 
@@ -211,7 +218,7 @@ def locate(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     """key, sentence, probability: every sentence whose own probability is at least ``least``."""
 
     def run(batches):
-        for part, data, offsets in V.blocks(batches, "text", 1 << 20):
+        for part, data, offsets in V.blocks(batches, "text", BLOCK_BYTES):
             words, sentence, owner, start = sentences(data, offsets)
             p = 1 / (1 + np.exp(-model.logits(words, sentence, len(owner))))
             stop = np.append(start[1:], len(data))
