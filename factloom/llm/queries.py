@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe_codec, fingerprints, html_extract, langid, ngram_join, packing, pivots, token_counts, toxicity, warc
+from factloom.llm import bpe_codec, concepts, fingerprints, html_extract, langid, ngram_join, manifest, packing, pivots, secrets, token_counts, toxicity, warc
 from factloom.llm.common import held_out, table
 
 
@@ -56,9 +56,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "sentence_start", "sentence_score", "n_sentences")
 
 
+def op11_closed_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "sale_lines")
+    return concepts.closed_itemsets(lines.filter(~F.col("flag").eqNullSafe("returned")))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_warc_derivatives, op3_prefix_fingerprints, op4_token_counts, op5_pivot_near_duplicates, op6_ngram_jaccard_join, op7_html_extraction, op8_bpe_codec, op9_best_fit_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_warc_derivatives, op3_prefix_fingerprints, op4_token_counts, op5_pivot_near_duplicates, op6_ngram_jaccard_join, op7_html_extraction, op8_bpe_codec, op9_best_fit_packing, op10_toxicity, op11_closed_itemsets, op12_secret_scan, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_derivatives": warc.ORACLE}
+    return {"op2_warc_derivatives": warc.ORACLE, "op11_closed_itemsets": concepts.ORACLE, "op12_secret_scan": secrets.ORACLE, "op13_merkle_manifest": manifest.ORACLE}
