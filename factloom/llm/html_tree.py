@@ -47,15 +47,46 @@ def _names(attributes: str) -> tuple[tuple[str, ...], str | None]:
     return tuple(dict.fromkeys(found)), label
 
 
+class _Stack:
+    """The open elements (node, tag) above the root, with the places of each tag and of those that are not inline, so that no tag searches the stack."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[int, str]] = [(0, "#root")]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
+        self.open.append((node, tag))
+
+    def cut(self, depth: int) -> None:
+        """Close all from ``depth`` on."""
+        while len(self.open) > depth:
+            _, tag = self.open.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost of ``tags``, 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def block(self) -> int:
+        """Place of the innermost element that is not inline, 0 if there is none."""
+        return self.blocks[-1] if self.blocks else 0
+
+
 def parse(source: str) -> Page:
     """Parse a page of any quality; never fails, and reads the whole of it."""
     page = Page()
-    stack = [(0, "#root")]
+    stack = _Stack()
     at, size, run = 0, len(source), 0
 
     def text(piece: str) -> None:
         if piece:
-            page.chunks.append((stack[-1][0], html.unescape(piece), run))
+            page.chunks.append((stack.open[-1][0], html.unescape(piece), run))
 
     while at < size:
         m = _OPEN.search(source, at)
@@ -80,26 +111,22 @@ def parse(source: str) -> Page:
                 body = source[m.end() : end]
         at = size if end < 0 else end + 1
         if m.group(2):
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == tag), 0)
-            if depth and not (tag in INLINE and any(t not in INLINE for _, t in stack[depth + 1 :])):
-                if any(t not in INLINE for _, t in stack[depth:]):
-                    run += 1
-                del stack[depth:]
+            depth = stack.last(tag)
+            if depth and not (tag in INLINE and stack.block() > depth):
+                run += stack.block() >= depth
+                stack.cut(depth)
             elif tag == "br" or tag == "p":
                 run += tag == "p"
                 text(" ")
             continue
         if tag in CLOSES_P:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == "p" or stack[k][1] not in INLINE and stack[k][1] != "p"), 0)
-            if depth and stack[depth][1] == "p":
-                del stack[depth:]
+            depth = stack.block()
+            if depth and stack.open[depth][1] == "p":
+                stack.cut(depth)
         if tag in SAME_CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] in SCOPES[tag]:
-                    break
-                if stack[k][1] in SAME_CLOSES[tag]:
-                    del stack[k:]
-                    break
+            depth = stack.last(*SAME_CLOSES[tag])
+            if depth and depth > stack.last(*(SCOPES[tag] - {"#root"})):
+                stack.cut(depth)
         if tag not in INLINE:
             run += 1
         if tag == "br":
@@ -107,11 +134,11 @@ def parse(source: str) -> Page:
             continue
         if tag in FOREIGN:
             if not body.endswith("/"):
-                stack.append((stack[-1][0], tag))
+                stack.push(stack.open[-1][0], tag)
             continue
         names, label = _names(body) if body else ((), None)
         page.tags.append(tag)
-        page.parents.append(stack[-1][0])
+        page.parents.append(stack.open[-1][0])
         page.names.append(names)
         page.labels.append(label)
         if tag in RAW and not body.endswith("/"):
@@ -121,5 +148,5 @@ def parse(source: str) -> Page:
                 page.chunks.append((len(page.tags) - 1, html.unescape(inner), run))
             at = close.end() if close else size
         elif tag not in VOID and not (body.endswith("/") and tag not in INLINE and tag not in CLOSES_P):
-            stack.append((len(page.tags) - 1, tag))
+            stack.push(len(page.tags) - 1, tag)
     return page

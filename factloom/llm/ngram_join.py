@@ -401,8 +401,9 @@ def _open_lists(listed: DataFrame, sets: DataFrame, edges: DataFrame, percent: i
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents of ``docs``, one of each component: the one with the smallest key (one row of a repeated key)."""
-    kept = join(docs, key, text, percent).filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("__rows"))
-    held = docs.join(kept, key)
-    once = held.filter("__rows = 1").drop("__rows")
-    again = held.filter("__rows > 1").drop("__rows").dropDuplicates([key])
-    return once.unionByName(again).select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
+    kept = join(docs, key, text, percent).filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("kept")).agg(F.count("*").alias("rows"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))  # no column of theirs can clash with ours
+    held = whole.join(kept, F.col(f"document.`{key}`") == F.col("kept"))
+    once = held.filter("rows = 1").select("document.*")
+    again = held.filter("rows > 1").dropDuplicates(["kept"]).select("document.*")
+    return once.unionByName(again).unionByName(docs.filter(F.col(key).isNull()))

@@ -29,7 +29,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: The marks of the format.
 VERSION, END = "WARC/1.1", "\r\n"
@@ -71,10 +71,19 @@ _META = re.compile(rb"""(?i)<meta[^>]{0,200}charset=["']?([\w.:-]+)""")
 _CODING = re.compile(r"(?im)^(?:content|transfer)-encoding:[ \t]*([^\r\n]*)")
 
 
+#: Bytes that a payload may have once its codings are undone; what lies beyond is not read.
+MOST_BYTES = 64 << 20
+_SIZE = re.compile(rb"[ \t]*([0-9A-Fa-f]+)[ \t]*(?:;[^\r\n]*)?")
+
+
 def _unchunked(body: bytes) -> bytes:
+    """The chunks of a body; one that does not begin with a chunk is no chunked body, a size that is no number ends it."""
     out, at = [], 0
     while (end := body.find(b"\r\n", at)) >= 0:
-        size = int(body[at:end].split(b";")[0].strip() or b"0", 16)
+        said = _SIZE.fullmatch(body, at, end)
+        if not said and not at:
+            raise ValueError("not chunked")
+        size = int(said.group(1), 16) if said else 0
         if not size:
             break
         out.append(body[end + 2 : end + 2 + size])
@@ -82,15 +91,31 @@ def _unchunked(body: bytes) -> bytes:
     return b"".join(out)
 
 
-def decoded(payload: bytes, headers: str) -> str:
-    """The text of a payload by its headers; of any bytes."""
-    codings = ",".join(_CODING.findall(headers)).lower()
-    for name, undo in (("chunked", _unchunked), ("gzip", lambda b: zlib.decompress(b, 47)), ("deflate", lambda b: zlib.decompress(b, 47))):
+def _inflated(body: bytes) -> bytes:
+    """What a compressed body holds, up to MOST_BYTES; a damaged one gives what came before the damage."""
+    undo, out = zlib.decompressobj(47), []
+    step, left = body, MOST_BYTES
+    try:
+        while step and left > 0 and not undo.eof:
+            out.append(undo.decompress(step, min(left, 1 << 20)))
+            left -= len(out[-1])
+            step = undo.unconsumed_tail
+    except zlib.error:
+        if not out:
+            raise
+    return b"".join(out)
+
+
+def decoded(payload: bytes, headers: str) -> tuple[str, str | None]:
+    """The text of a payload by its headers, of any bytes; and ``too_large`` where MOST_BYTES cut it."""
+    codings, problem = ",".join(_CODING.findall(headers)).lower(), None
+    for name, undo in (("chunked", _unchunked), ("gzip", _inflated), ("deflate", _inflated)):
         if name in codings:
             try:
                 payload = undo(payload)
             except (ValueError, zlib.error):  # sent otherwise than said
-                pass
+                continue
+            problem = "too_large" if undo is _inflated and len(payload) >= MOST_BYTES else problem
     named = _CHARSET.search(headers)
     found = named.group(1) if named else (m.group(1).decode("ascii", "replace") if (m := _META.search(payload[:1024])) else "")
     try:
@@ -98,26 +123,31 @@ def decoded(payload: bytes, headers: str) -> str:
     except LookupError:
         codec = None
     if codec is not None and codec._is_text_encoding:
-        return payload.decode(codec.name, "replace")
+        return payload.decode(codec.name, "replace"), problem
     try:
-        return payload.decode()
+        return payload.decode(), problem
     except UnicodeDecodeError:
-        return payload.decode("cp1252", "replace")
+        return payload.decode("cp1252", "replace"), problem
 
 
-@F.arrow_udf(StringType())
+@F.arrow_udf(StructType([StructField("text", StringType()), StructField("problem", StringType())]))
 def _text(payload: pa.Array, headers: pa.Array) -> pa.Array:
-    return pa.array([decoded(p, h or "") for p, h in zip(payload.to_pylist(), headers.to_pylist(), strict=True)], pa.string())
+    found = [decoded(p, h or "") for p, h in zip(payload.to_pylist(), headers.to_pylist(), strict=True)]
+    return pa.StructArray.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], names=["text", "problem"])
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """Two rows a response: source_key, record_id, warc_type, refers_to, target_uri, date, content_type, content_length, block_digest, payload_digest, source_headers, block.
+    """Two rows a response: source_key, record_id, warc_type, refers_to, target_uri, date, content_type, content_length, block_digest, payload_digest, source_headers, block, problem.
 
-    ``payload`` may be text, which is taken as it is, or bytes.
+    ``payload`` may be text, which is taken as it is, or bytes; ``problem`` is ``too_large`` where these inflate to over MOST_BYTES.
     """
     plain = records.schema["payload"].dataType.simpleString() == "string"
     raw = F.coalesce(F.col("payload").cast("binary"), F.lit("").cast("binary"))
-    own = records.withColumns({"payload": F.coalesce("payload", F.lit("")) if plain else _text(raw, F.col("headers")), "raw": raw})
+    own = records.withColumn("raw", raw)
+    if plain:
+        own = own.withColumns({"payload": F.coalesce("payload", F.lit("")), "problem": F.lit(None).cast("string")})
+    else:
+        own = own.withColumn("read", _text("raw", F.col("headers"))).withColumns({"payload": F.col("read.text"), "problem": F.col("read.problem")})
     fields = F.concat(F.lit("payload-length: "), F.octet_length("raw").cast("string"), F.lit("\r\npayload-digest: "), digest(F.col("raw")), F.lit("\r\ntitle: "), F.trim(F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>([^<]*)", 1), r"[ \t\n\r\f]+", " ")), F.lit("\r\nlinks: "), (F.size(F.split("payload", r"<a[ \t\n\r]+href=", -1)) - 1).cast("string"), F.lit("\r\n"), F.coalesce(F.col("headers"), F.lit("")))
     made = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
@@ -138,6 +168,7 @@ def derive(records: DataFrame) -> DataFrame:
         "payload_digest",
         F.col("headers").alias("source_headers"),
         block.alias("block"),
+        "problem",
     )
 
 
@@ -260,7 +291,8 @@ def cut(body: bytes):
 def from_records(records: DataFrame) -> DataFrame:
     """Response rows, as ``derive`` takes them, of records read from files: the HTTP head is cut from the payload, which stays bytes."""
     own = records.filter(F.lower(F.col("headers").getItem("warc-type")) == "response").select(F.col("headers").alias("fields"), F.coalesce("block", F.lit("").cast("binary")).alias("block"))
-    own = own.withColumn("signs", F.decode("block", "iso-8859-1")).withColumn("at", F.locate("\r\n\r\n", F.col("signs")))  # a sign a byte
+    first = F.decode(F.substring("block", 1, 1 << 16), "iso-8859-1")  # a sign a byte; the whole block only where the head is longer
+    own = own.withColumn("signs", F.when(F.locate("\r\n\r\n", first) > 0, first).otherwise(F.decode("block", "iso-8859-1"))).withColumn("at", F.locate("\r\n\r\n", F.col("signs")))
     head = F.when(F.col("at") > 0, F.concat(F.expr("substring(signs, 1, at - 1)"), F.lit("\r\n"))).otherwise(F.lit(""))
     payload = F.when(F.col("at") > 0, F.expr("substring(block, at + 4)")).otherwise(F.col("block"))
     field = lambda name: F.col("fields").getItem(name)
@@ -321,6 +353,6 @@ WITH RECURSIVE name_(k, v) AS (VALUES @NAMES@), number_(k, v) AS (VALUES @NUMBER
 ), named AS (SELECT *, sha256(refers_to || '|' || warc_type) AS k FROM made)
 SELECT source_key, '<urn:uuid:' || k[1:8] || '-' || k[9:12] || '-' || k[13:16] || '-' || k[17:20] || '-' || k[21:32] || '>' AS record_id,
        warc_type, refers_to, target_uri, date, content_type, CAST(octet_length(encode(block)) AS BIGINT) AS content_length,
-       'sha256:' || sha256(block) AS block_digest, payload_digest, headers AS source_headers, block
+       'sha256:' || sha256(block) AS block_digest, payload_digest, headers AS source_headers, block, CAST(NULL AS VARCHAR) AS problem
 FROM named
 """.replace("@NAMES@", _names()).replace("@NUMBERS@", _numbers())
