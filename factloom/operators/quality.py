@@ -19,21 +19,53 @@ def fragment(text: Column) -> Column:
     return ~F.trim(text).rlike(r"[.!?]$") | F.trim(text).rlike(r"^\p{Ll}")
 
 
-def stratified_sample(claims: DataFrame, group: str, key: str, tiers: list[Column], digest: Column, n: int) -> DataFrame:
-    """``n`` claims of each group by the first tier that holds for them, then by digest."""
-    tier = F.coalesce(*[F.when(t, F.lit(k)) for k, t in enumerate(tiers)], F.lit(len(tiers)))
-    rows = claims.withColumn("tier", tier).withColumn("digest", digest)
-    w = Window.partitionBy(group).orderBy("tier", "digest", key)
-    return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)
-
-
-def strata(claims: DataFrame, group: str, order: str, text: str) -> DataFrame:
-    """Adds place and length strata: first, middle and last place; longest and shortest text."""
-    place, whole = Window.partitionBy(group).orderBy(order), Window.partitionBy(group)
-    n, k = F.count("*").over(whole), F.row_number().over(place) - 1
-    by_length = Window.partitionBy(group).orderBy(F.length(text), order)
-    by_fall = Window.partitionBy(group).orderBy(F.desc(F.length(text)), order)
-    return claims.withColumn("at_place", (k == 0) | (k == F.floor((n - 1) / 2)) | (k == n - 1)).withColumn("at_length", (F.row_number().over(by_length) == 1) | (F.row_number().over(by_fall) == 1))
+#: Why a claim is in a sample, in falling precedence.
+TIERS = ("binding_risk", "normalized_duplicate", "fragmentation", "position", "length", "block_type_representative", "digest_fill")
+
+
+def sampling_policy(claims: DataFrame, group: str, most: int) -> DataFrame:
+    """(group, claims, quota, policy_digest): ``most`` claims of each group, or all it has; the digest binds group, size and quota."""
+    counts = claims.groupBy(group).agg(F.count("*").alias("claims")).withColumn("quota", F.least(F.col("claims"), F.lit(most)))
+    return counts.withColumn("policy_digest", T.digest(F.col(group), F.col("claims"), F.col("quota")))
+
+
+def tiered_sample(claims: DataFrame, quotas: DataFrame, group: str) -> DataFrame:
+    """(group, claim, tier, reason, ordinal): ``quota`` claims of each group by cascaded tiers.
+
+    claims: group, claim, ordinal_no (place in its group), size, block_type, digest, binding_risk, duplicate, fragment. Each tier takes what the tiers before
+    it left of the quota: all its claims in its own order if they fit, else those of the least digests; a claim is taken once.
+    Tiers: risks, duplicates and fragments by digest; first, middle and last place; the longest and the shortest claim (least digest); a
+    claim for each block type that none of these has (least digest, types in order of appearance); the rest by digest. A
+    group that has no more claims than its quota gives them all, in their order, as a fill.
+
+    Only keys, digests and flags are ranked: the texts stay where they are.
+    """
+    whole, place = Window.partitionBy(group), Window.partitionBy(group).orderBy("ordinal_no")
+    first = lambda *by: F.row_number().over(Window.partitionBy(group).orderBy(*by, "digest", "claim")) == 1
+    rows = claims.join(quotas.select(group, "quota"), group).withColumn("n", F.count("*").over(whole)).withColumn("k", F.row_number().over(place) - 1)
+    middle = F.floor((F.col("n") - 1) / 2)
+    rows = rows.withColumn("longest", first(F.desc("size"))).withColumn("shortest", first("size"))
+    own = F.when(F.col("binding_risk"), 0).when(F.col("duplicate"), 1).when(F.col("fragment"), 2).when((F.col("k") == 0) | (F.col("k") == middle) | (F.col("k") == F.col("n") - 1), 3).when(F.col("longest") | F.col("shortest"), 4).otherwise(6)
+    listed = F.when(own == 3, F.col("k")).when(own == 4, F.when(F.col("longest"), 0).otherwise(1)).otherwise(0)
+    rows = rows.withColumn("tier", own).withColumn("listed", listed.cast("long"))
+    # Tiers 0 to 4 as far as the quota goes, then the types that they do not have.
+    early = F.row_number().over(Window.partitionBy(group).orderBy("tier", "digest", "claim"))
+    rows = rows.withColumn("taken", (F.col("tier") < 5) & (early <= F.col("quota")))
+    of_type = Window.partitionBy(group, "block_type")
+    rows = rows.withColumn("covered", F.max(F.col("taken").cast("int")).over(of_type) == 1).withColumn("seen", F.min("k").over(of_type))
+    stands = F.row_number().over(of_type.orderBy(F.col("taken"), "digest", "claim")) == 1
+    rows = rows.withColumn("represents", ~F.col("covered") & stands)
+    rows = rows.withColumns({"tier": F.when(F.col("represents") & (F.col("tier") == 6), 5).otherwise(F.col("tier")), "listed": F.when(F.col("represents") & (F.col("tier") == 6), F.col("seen")).otherwise(F.col("listed"))})
+    # What is left for a tier: the quota without the tiers before it.
+    tier = Window.partitionBy(group, "tier")
+    before = Window.partitionBy(group).orderBy("tier").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("left", F.col("quota") - F.coalesce(F.count("*").over(before), F.lit(0))).withColumn("many", F.count("*").over(tier))
+    order = F.when(F.col("n") <= F.col("quota"), F.col("k")).when(F.col("many") <= F.col("left"), F.col("listed")).otherwise(0)
+    lead = F.when(F.col("n") <= F.col("quota"), F.lit(6)).otherwise(F.col("tier"))
+    rows = rows.withColumns({"tier": lead, "by": order})
+    out = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(group).orderBy("tier", "by", "digest", "claim"))).filter(F.col("ordinal") <= F.col("quota"))
+    reason = F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("tier") + 1)
+    return out.select(group, "claim", "tier", reason.alias("reason"), "ordinal")
 
 
 def question_match(questions: DataFrame, claims: DataFrame) -> DataFrame:

@@ -33,11 +33,12 @@ def prepare_selection(requests: DataFrame, evidence: DataFrame, now: Column) ->
 
 
 def validate_authorizations(authorizations: DataFrame, proposals: DataFrame, consumed: DataFrame, now: Column, head: Column, retry: bool = False) -> DataFrame:
-    """(authorization_id, violations): one-use, in its time, of the right operation, bound to its proposal by ten digests, and neither its id nor its nonce used.
+    """(authorization_id, violations): one-use, in its time, of the right operation, bound to its proposal (that of its proposal digest) by ten digests, and neither its id nor its nonce used.
 
     With ``retry`` a use that is exactly its own (same id, nonce and proposal, reserved or committed) does not count.
     """
-    bound = authorizations.join(proposals.select(F.col("promotion_id").alias("own_promotion"), F.col("operation").alias("own_operation"), *[F.col(b).alias(f"own_{b}") for b in BINDINGS if b != "promotion_id"]), F.col("promotion_id") == F.col("own_promotion"), "left")
+    own = proposals.dropDuplicates(["proposal_digest"]).select(F.col("operation").alias("own_operation"), *[F.col(b).alias(f"own_{b}") for b in BINDINGS])
+    bound = authorizations.join(own, F.col("proposal_digest") == F.col("own_proposal_digest"), "left")
     uses = lambda key: consumed.select(F.col(key), F.col("authorization_id" if key == "nonce" else "nonce").alias("other"), F.col("proposal_digest").alias("used_for"), "state")
     exact = lambda other: (F.col("other") == F.col(other)) & (F.col("used_for") == F.col("proposal_digest")) & F.col("state").isin("reserved", "committed")
     spent = []
@@ -48,7 +49,7 @@ def validate_authorizations(authorizations: DataFrame, proposals: DataFrame, con
     rows = bound.join(used, "authorization_id", "left")
     pairs = F.lit(True)
     for b in BINDINGS:
-        pairs = pairs & F.col(b).eqNullSafe(F.col("own_promotion" if b == "promotion_id" else f"own_{b}"))
+        pairs = pairs & F.col(b).eqNullSafe(F.col(f"own_{b}"))
     why = reasons({"one_use": F.col("one_use_only"), "operation": F.col("operation") == F.col("own_operation"), "future": F.col("issued_at") <= now, "expired": (now < F.col("expires_at")) & (F.col("issued_at") < F.col("expires_at")), "binding": pairs, "source_head": F.col("source_head") == head, "consumed": F.col("used").isNull()})
     return rows.select("authorization_id", why.alias("violations"))
 
@@ -56,9 +57,9 @@ def validate_authorizations(authorizations: DataFrame, proposals: DataFrame, con
 def prepare_promotions(candidates: DataFrame, active: DataFrame) -> DataFrame:
     """(candidate_id, violations): accepted, and neither its id nor its semantic key in an active entry or another candidate."""
     seen = lambda key: active.select(F.col(key)).distinct().withColumn(f"has_{key}", F.lit(True))
-    twice = candidates.groupBy("semantic_key").agg((F.count("*") > 1).alias("twice"))
-    rows = candidates.join(seen("entry_id"), "entry_id", "left").join(seen("semantic_key"), "semantic_key", "left").join(twice, "semantic_key")
-    why = reasons({"not_accepted": F.col("review") == "accepted", "entry_exists": F.col("has_entry_id").isNull(), "semantic_key_exists": F.col("has_semantic_key").isNull(), "semantic_key_repeated": ~F.col("twice")})
+    twice = candidates.filter("semantic_key is not null").groupBy("semantic_key").agg((F.count("*") > 1).alias("twice"))
+    rows = candidates.join(seen("entry_id"), "entry_id", "left").join(seen("semantic_key"), "semantic_key", "left").join(twice, "semantic_key", "left")
+    why = reasons({"not_accepted": F.col("review") == "accepted", "entry_exists": F.col("has_entry_id").isNull(), "semantic_key_exists": F.col("has_semantic_key").isNull(), "semantic_key_repeated": ~F.coalesce("twice", F.lit(False))})
     return rows.select("candidate_id", why.alias("violations"))
 
 
@@ -88,10 +89,10 @@ def recover(intents: DataFrame, transactions: DataFrame, proposals: DataFrame, u
     reserved, committed = F.col("state") == "reserved", F.col("state") == "committed"
     use = uses.groupBy("intent").agg(F.count_if(reserved).alias("reserved"), F.count_if(committed).alias("committed"), F.max(F.when(reserved, F.col("record"))).alias("record"), F.max(F.when(committed, F.col("previous"))).alias("previous"), F.max(F.when(reserved, F.col("authorization"))).alias("authorization"))
     rows = rows.join(use, "intent", "left").join(retained.select("authorization").distinct().withColumn("kept", F.lit(True)), "authorization", "left")
-    foreign = staging.select("transaction_id", F.col("intent").alias("staged"))
+    foreign = staging.select("transaction_id", F.col("intent").alias("staged")).join(intents.select("transaction_id", "intent"), "transaction_id").groupBy("transaction_id").agg(F.bool_or(F.col("staged") != F.col("intent")).alias("foreign"))
     rows = rows.join(foreign, "transaction_id", "left").fillna(0, ["done", "proposals", "reserved", "committed"])
     whole = (F.col("reserved") == 1) & (F.col("committed") <= 1) & ((F.col("committed") == 0) | F.col("previous").eqNullSafe(F.col("record")))
-    reason = F.when(F.col("done") > 0, "completed_terminal_evidence").when(F.col("proposals") != 1, "proposal_evidence_conflict").when(~whole, "reservation_evidence_conflict").when(F.col("kept").isNull(), "retained_authorization_missing").when(F.col("staged").isNotNull() & (F.col("staged") != F.col("intent")), "staging_ownership_uncertain").otherwise("resumed_exact_transaction")
+    reason = F.when(F.col("done") > 0, "completed_terminal_evidence").when(F.col("proposals") != 1, "proposal_evidence_conflict").when(~whole, "reservation_evidence_conflict").when(F.col("kept").isNull(), "retained_authorization_missing").when(F.coalesce("foreign", F.lit(False)), "staging_ownership_uncertain").otherwise("resumed_exact_transaction")
     return rows.select("transaction_id", F.when(reason.isin("completed_terminal_evidence", "resumed_exact_transaction"), "recovered").otherwise("investigate").alias("status"), reason.alias("reason"))
 
 

@@ -489,14 +489,37 @@ def quality_fragments(spark, d):
     return lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("claims"), F.count_if(Q.fragment(F.col("text"))).alias("fragments"))
 
 
-@contract(f"""WITH {_LINES}, s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n,
-row_number() OVER (PARTITION BY doc_id ORDER BY length(text), line_no) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, line_no) AS b FROM blocks),
-t AS (SELECT doc_id, line_no, CASE WHEN {_FRAGMENT} THEN 0 WHEN k = 0 OR k = (n - 1) // 2 OR k = n - 1 THEN 1 WHEN a = 1 OR b = 1 THEN 2 ELSE 3 END AS tier, sha256(text) AS digest FROM s),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tier, digest, line_no) AS INTEGER) AS position FROM t) SELECT * FROM r WHERE position <= 12""")
+_CLAIMS = rf"""{_LINES}, s AS (SELECT doc_id, line_no, length(text) AS size, sha256(text) AS digest, CASE WHEN starts_with(text, '#') THEN 'heading' WHEN contains(text, '|') THEN 'table' WHEN regexp_matches(text, '^[-*0-9]') THEN 'list' ELSE 'paragraph' END AS block_type,
+count(*) OVER (PARTITION BY doc_id, text) > 1 AS risk, count(*) OVER (PARTITION BY doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) > 1 AS copied, {_FRAGMENT} AS cut, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n,
+row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, sha256(text), line_no) AS long_, row_number() OVER (PARTITION BY doc_id ORDER BY length(text), sha256(text), line_no) AS short_ FROM blocks)"""
+
+
+@contract(f"""WITH {_CLAIMS}, t AS (SELECT *, CASE WHEN risk THEN 0 WHEN copied THEN 1 WHEN cut THEN 2 WHEN k IN (0, (n - 1) // 2, n - 1) THEN 3 WHEN long_ = 1 OR short_ = 1 THEN 4 ELSE 9 END AS a, least(12, n) AS q FROM s),
+e AS (SELECT doc_id, line_no FROM t WHERE a < 9 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY a, digest, line_no) <= q),
+y AS (SELECT doc_id, block_type, arg_min(line_no, (digest, line_no)) AS line_no, min(k) AS seen FROM t WHERE (doc_id, block_type) NOT IN (SELECT doc_id, block_type FROM t SEMI JOIN e USING (doc_id, line_no)) GROUP BY 1, 2),
+u AS (SELECT t.*, CASE WHEN a < 9 THEN a WHEN y.seen IS NOT NULL THEN 5 ELSE 6 END AS tier, CASE WHEN a = 3 THEN k WHEN a = 4 AND long_ > 1 THEN 1 WHEN a = 9 AND y.seen IS NOT NULL THEN y.seen ELSE 0 END AS listed FROM t LEFT JOIN y USING (doc_id, line_no)),
+c AS (SELECT doc_id, tier, count(*) AS many FROM u GROUP BY 1, 2), z AS (SELECT doc_id, tier, many, sum(many) OVER (PARTITION BY doc_id ORDER BY tier) - many AS used FROM c),
+o AS (SELECT u.doc_id, line_no, digest, CASE WHEN n <= q THEN 6 ELSE u.tier END AS tier, CASE WHEN n <= q THEN k WHEN used + many <= q THEN listed ELSE 0 END AS place, q FROM u JOIN z ON z.doc_id = u.doc_id AND z.tier = u.tier)
+SELECT doc_id, line_no, tier, ['binding_risk', 'normalized_duplicate', 'fragmentation', 'position', 'length', 'block_type_representative', 'digest_fill'][tier + 1] AS reason, row_number() OVER (PARTITION BY doc_id ORDER BY tier, place, digest, line_no) AS ordinal FROM o QUALIFY ordinal <= q""")
 def quality_sample(spark, d):
-    rows = Q.strata(lines(spark, d), "doc_id", "line_no", "text")
-    out = Q.stratified_sample(rows, "doc_id", "line_no", [Q.fragment(F.col("text")), F.col("at_place"), F.col("at_length")], F.sha2(F.col("text").cast("binary"), 256), 12)
-    return out.select("doc_id", "line_no", "tier", "digest", "position")
+    """Twelve lines of each document; a line stands for a claim, whose text names one block unless it is repeated."""
+    claims = _claims(spark, d)
+    out = Q.tiered_sample(claims, Q.sampling_policy(claims, "doc_id", 12), "doc_id")
+    return out.withColumnRenamed("claim", "line_no")
+
+
+def _claims(spark, d):
+    text, same = F.col("text"), lambda *by: F.count("*").over(Window.partitionBy("doc_id", *by)) > 1
+    normal = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    kind = F.when(text.startswith("#"), "heading").when(text.contains("|"), "table").when(text.rlike("^[-*0-9]"), "list").otherwise("paragraph")
+    digest = F.sha2(text.cast("binary"), 256)
+    slim = lines(spark, d).select("doc_id", F.col("line_no").alias("claim"), F.col("line_no").alias("ordinal_no"), F.length("text").alias("size"), kind.alias("block_type"), digest.alias("digest"), F.sha2(normal.cast("binary"), 256).alias("normal"), Q.fragment(text).alias("fragment"))
+    return slim.withColumn("binding_risk", same("digest")).withColumn("duplicate", same("normal"))
+
+
+@contract(f"""WITH {_CLAIMS} SELECT doc_id, n AS claims, least(12, n) AS quota, 'sha256:' || sha256(CAST(to_json([CAST(doc_id AS VARCHAR), CAST(n AS VARCHAR), CAST(least(12, n) AS VARCHAR)]) AS VARCHAR)) AS policy_digest FROM s GROUP BY doc_id, n""")
+def sampling_policy(spark, d):
+    return Q.sampling_policy(_claims(spark, d), "doc_id", 12)
 
 
 @contract(f"""WITH d AS (SELECT doc_id, {_sql_words("text")} AS held FROM documents), q AS (SELECT item_id, {_sql_words("text")} AS asked FROM benchmark),
@@ -623,7 +646,12 @@ def ocr_columns(spark, d):
     return L.columns(_boxes(spark, d), "page")
 
 
-@contract()
+@contract(f"""WITH RECURSIVE {_BOXES}, f AS (SELECT *, CASE WHEN max(r) OVER (PARTITION BY page ORDER BY l, r, box ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > l THEN 0 ELSE 1 END AS fresh FROM boxes),
+c AS (SELECT page, box, l, r, t, b, CAST(sum(fresh) OVER (PARTITION BY page ORDER BY l, r, box) AS BIGINT) AS col FROM f), s AS (SELECT *, row_number() OVER (PARTITION BY page, col ORDER BY t, l, box) AS k FROM c),
+w AS (SELECT page, box, l, r, t, b, col, k, t AS top, b AS bottom, CAST(1 AS BIGINT) AS line FROM s WHERE k = 1
+UNION ALL SELECT page, box, l, r, t, b, col, k, CASE WHEN joins THEN top ELSE t END, CASE WHEN joins THEN bottom ELSE b END, CASE WHEN joins THEN line ELSE line + 1 END FROM (
+  SELECT s.*, w.top, w.bottom, w.line, least(s.b, w.bottom) > greatest(s.t, w.top) AND 2 * (least(s.b, w.bottom) - greatest(s.t, w.top)) >= least(s.b - s.t, w.bottom - w.top) AS joins FROM w JOIN s ON s.page = w.page AND s.col = w.col AND s.k = w.k + 1))
+SELECT page, box, l, r, t, b, col, line FROM w""")
 def ocr_lines(spark, d):
     return L.lines(L.columns(_boxes(spark, d), "page"), "page")
 

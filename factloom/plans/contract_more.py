@@ -127,11 +127,46 @@ def box_overlaps(spark, d):
     return one.join(two, ["page", "box"]).select("page", F.col("box").alias("one"), (F.col("box") + 1).alias("two"), F.round(share, 6).alias("overlap"))
 
 
-@contract()
+_READ = """e AS (SELECT p_partkey // 8 AS page, p_partkey AS place, p_name AS text, CAST(p_size AS DOUBLE) AS l, CAST(p_partkey % 8 * 20 AS DOUBLE) AS t FROM part),
+a AS (SELECT page, 1000000 - place AS place, translate(text, 'aeou', 'oeaa') || CASE WHEN place % 3 = 0 THEN ' x' ELSE '' END AS text, l + place % 4 AS l, t + place % 3 AS t FROM e WHERE place % 7 <> 0
+  UNION ALL SELECT p_partkey // 8, p_partkey, p_type, CAST(p_size + 5 AS DOUBLE), CAST(p_partkey % 8 * 20 AS DOUBLE) FROM part WHERE p_partkey % 11 = 0)"""
+_MATCHED = f"""{_READ}, k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY place) AS n FROM e), h AS (SELECT page, list({{'p': place, 'x': text, 'l': l, 't': t}}) AS held FROM a GROUP BY 1),
+w AS (SELECT page, CAST(0 AS BIGINT) AS n, []::BIGINT[] AS taken, CAST(NULL AS BIGINT) AS expected, CAST(NULL AS BIGINT) AS actual, CAST(NULL AS BIGINT) AS distance, CAST(NULL AS DOUBLE) AS overlap FROM h
+UNION ALL SELECT page, n, CASE WHEN b IS NULL THEN taken ELSE list_append(taken, b.p) END, CASE WHEN b IS NULL THEN NULL ELSE place END, b.p, b.d, round(-b.o, 6) FROM (
+  SELECT k.page, k.n, taken, k.place, list_sort(list_transform(list_filter(held, lambda x: NOT list_contains(taken, x.p)), lambda x: {{'d': levenshtein(k.text, x.x), 'o': -round(greatest(0.0, 30 - abs(k.l - x.l)) * greatest(0.0, 10 - abs(k.t - x.t)) / (600 - greatest(0.0, 30 - abs(k.l - x.l)) * greatest(0.0, 10 - abs(k.t - x.t))), 9), 'p': x.p}}))[1] AS b
+  FROM w JOIN k ON k.page = w.page AND k.n = w.n + 1 JOIN h ON h.page = w.page)),
+m AS (SELECT page, expected, actual, distance, overlap FROM w WHERE expected IS NOT NULL)"""
+
+
+def _read(spark, d):
+    """Parts are lines, eight to a page; they are read back to front with other vowels, one in seven lost, and some lines are invented."""
+    box = lambda l, t: F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((l, t), (l + 30, t), (l + 30, t + 10), (l, t + 10))])
+    part = table(spark, d, "part").withColumn("page", F.floor(F.col("p_partkey") / 8))
+    place, l, t = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") % 8 * 20
+    expected = part.select("page", place.alias("place"), F.col("p_name").alias("text"), box(l, t).alias("polygon"))
+    heard = F.concat(F.translate("p_name", "aeou", "oeaa"), F.when(place % 3 == 0, " x").otherwise(""))
+    actual = part.filter("p_partkey % 7 <> 0").select("page", (1_000_000 - place).alias("place"), heard.alias("text"), box(l + place % 4, t + place % 3).alias("polygon"))
+    invented = part.filter("p_partkey % 11 = 0").select("page", place.alias("place"), F.col("p_type").alias("text"), box(l + 5, t).alias("polygon"))
+    return expected, actual.unionByName(invented)
+
+
+@contract(f"WITH RECURSIVE {_MATCHED} SELECT * FROM m")
 def line_matches(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_partkey"), "p_name", (F.col("p_partkey") % 500).alias("page"), (F.col("p_size") * 3).cast("long").alias("l"))
-    shape = lambda name, shift: rows.select("page", F.col("p_partkey").alias("place"), name.alias("text"), (F.col("l") + shift).alias("l"), F.lit(0).cast("long").alias("t"), (F.col("l") + 30).alias("r"), F.lit(10).cast("long").alias("b"))
-    return L.match_lines(shape(F.col("p_name"), 0), shape(F.reverse(F.reverse("p_name")), 2), "page")
+    return L.match_lines(*_read(spark, d), "page")
+
+
+@contract(f"""WITH RECURSIVE {_MATCHED}, f AS (SELECT *, page // 5 AS attempt FROM m), te AS (SELECT page // 5 AS attempt, string_agg(text, chr(10) ORDER BY page, place) AS x, count(*) AS n, count(DISTINCT page) AS pages FROM e GROUP BY 1), ta AS (SELECT page // 5 AS attempt, string_agg(text, chr(10) ORDER BY page, place) AS x, count(*) AS n FROM a GROUP BY 1),
+o AS (SELECT x.attempt, count(*) AS pairs, count(*) FILTER ((x.page, x.actual) < (y.page, y.actual)) AS good FROM (SELECT *, row_number() OVER (PARTITION BY attempt ORDER BY page, expected) AS i FROM f) x JOIN (SELECT *, row_number() OVER (PARTITION BY attempt ORDER BY page, expected) AS i FROM f) y ON x.attempt = y.attempt AND x.i < y.i GROUP BY 1),
+g AS (SELECT attempt, count(*) AS n, avg(overlap) AS overlap, count(DISTINCT page) AS pages FROM f GROUP BY 1)
+SELECT attempt, greatest(length(te.x), length(ta.x), 1) AS whole, CAST((greatest(length(te.x), length(coalesce(ta.x, '')), 1) - levenshtein(te.x, coalesce(ta.x, ''))) * 1000000 // greatest(length(te.x), length(coalesce(ta.x, '')), 1) AS BIGINT) AS char_accuracy,
+coalesce(g.n, 0) * 1000000 // greatest(1, coalesce(ta.n, 0)) AS precision, coalesce(g.n, 0) * 1000000 // greatest(1, te.n) AS recall, coalesce(good * 1000000 // pairs, 1000000) AS order_accuracy, CAST(floor(round(coalesce(overlap, 0) * 1000000, 3)) AS BIGINT) AS overlap, coalesce(g.pages, 0) * 1000000 // te.pages AS pages, coalesce(ta.n, 0) - coalesce(g.n, 0) AS invented
+FROM te LEFT JOIN ta USING (attempt) LEFT JOIN g USING (attempt) LEFT JOIN o USING (attempt)""")
+def attempt_scores(spark, d):
+    """Five pages are an attempt."""
+    expected, actual = (side.withColumn("attempt", F.floor(F.col("page") / 5)) for side in _read(spark, d))
+    texts = lambda side: side.groupBy("attempt").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "place", "text"))), lambda x: x["text"]), "\n").alias("x"))
+    sizes = texts(expected).join(texts(actual).withColumnRenamed("x", "y"), "attempt", "left").select("attempt", F.greatest(F.length("x"), F.length("y"), F.lit(1)).alias("whole"))
+    return L.attempt_scores(expected, actual, "attempt").drop("word_accuracy").join(sizes, "attempt")
 
 
 @contract("""SELECT l_suppkey, CAST(min(l_quantity) AS DOUBLE) AS low, CAST(max(l_quantity) AS DOUBLE) AS high, round(avg(l_quantity), 6) AS mean, arg_min(l_partkey, (-l_quantity, l_discount, l_partkey)) AS leading FROM lineitem GROUP BY 1""")

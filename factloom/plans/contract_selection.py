@@ -3,6 +3,9 @@ for subjects; every other prompt of ``benchmark`` names the heading of a page.""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
@@ -110,12 +113,10 @@ def outcome_ladder(spark, d):
     return S.outcome(gates.drop("n", "limited"), cut.select("item_id", "n"))
 
 
-@contract(f"""WITH p AS (SELECT o_orderkey, o_comment_ AS text FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'a plain question' WHEN 2 THEN repeat('x', 1025) WHEN 3 THEN 'bell' || chr(7) ELSE repeat('y', 1024) END AS o_comment_ FROM orders))
-SELECT o_orderkey, length(text) BETWEEN 1 AND 1024 AND NOT regexp_matches(text, '\\p{{C}}') AND trim(text, ' ') <> '' AS valid FROM p""")
+@contract("""WITH p AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'c' || conv_id || '/' || turn, text FROM conversations UNION ALL SELECT 'q' || item_id, text FROM benchmark UNION ALL SELECT 's' || stamp_id, raw FROM stamps)
+SELECT id, coalesce(length(text) BETWEEN 1 AND 1024 AND NOT regexp_matches(text, '[\\p{Cc}\\p{Cf}\\p{Co}\\p{Cs}]') AND trim(text, ' ') <> '', false) AS valid FROM p""")
 def prompt_validation(spark, d):
-    k = F.col("o_orderkey") % 5
-    text = F.when(k == 0, "").when(k == 1, "a plain question").when(k == 2, F.repeat(F.lit("x"), F.lit(1025))).when(k == 3, F.concat(F.lit("bell"), F.char(F.lit(7)))).otherwise(F.repeat(F.lit("y"), F.lit(1024)))
-    return table(spark, d, "orders").select("o_orderkey", S.valid_prompt(text).alias("valid"))
-
-
-
+    """Documents, turns, benchmark passages and stamps as prompts: long ones and those with line ends are none."""
+    rows = [(F.concat(F.lit("d"), "doc_id"), "text", "documents"), (F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn"), "text", "conversations"), (F.concat(F.lit("q"), "item_id"), "text", "benchmark"), (F.concat(F.lit("s"), "stamp_id"), "raw", "stamps")]
+    each = [table(spark, d, name).select(key.alias("id"), F.coalesce(S.valid_prompt(F.col(text)), F.lit(False)).alias("valid")) for key, text, name in rows]
+    return reduce(DataFrame.unionByName, each)
