@@ -113,7 +113,7 @@ def mandatory_first(rows: DataFrame, group: str, mandatory: Column, order: list,
 
 
 def keyset_page(rows: DataFrame, order: list[str], after: tuple, limit: int, wanted: Column) -> DataFrame:
-    """One page after an exclusive cursor in ``order``; the next cursor is the last row *scanned*, wanted or not."""
+    """One page of wanted rows after an exclusive cursor in ``order``; its last row is the next cursor."""
     beyond = F.struct(*order) > F.struct(*[F.lit(v).cast(rows.schema[c].dataType) for v, c in zip(after, order, strict=True)])
     page = rows.filter(beyond & wanted).orderBy(*order).limit(limit)
     return page

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What a requirement's state is worth, by falling precedence of states.
@@ -49,3 +49,91 @@ def efficiency(trace: DataFrame) -> DataFrame:
     """Nodes visited, last coverage, and coverage for each node of every query."""
     last = F.max_by("coverage", "step")
     return trace.groupBy("query_id").agg(F.count("*").alias("nodes"), last.alias("coverage"), F.round(last / F.count("*"), 6).alias("yield_per_node"))
+
+
+EVENT = "struct<requirement:string,status:string,provenance:boolean,citation:boolean,fresh:boolean,trusted:boolean,contradicts:boolean>"
+BUDGETS = ("depth", "nodes", "tokens", "seconds", "replans")
+
+
+def requirement_plan(requirements: DataFrame) -> DataFrame:
+    """query_id, ids, weights, mandatory, citation, provenance (arrays in order of the ids), problem: the initial plan of each query.
+
+    requirements: query_id, requirement, weight, mandatory, citation_required, provenance_required. A repeated id, a weight that is
+    not positive and finite, or a null flag are problems.
+    """
+    row = F.struct("requirement", "weight", "mandatory", "citation_required", "provenance_required")
+    sound = (F.col("weight") > 0) & ~F.isnan("weight") & (F.col("weight") < float("inf")) & F.col("mandatory").isNotNull() & F.col("citation_required").isNotNull() & F.col("provenance_required").isNotNull() & (F.length("requirement") > 0)
+    plan = requirements.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.bool_and(F.coalesce(sound, F.lit(False))).alias("sound"), (F.count_distinct("requirement") == F.count("*")).alias("distinct"))
+    field = lambda name: F.transform("rows", lambda r: r[name])
+    problem = F.when(~F.col("distinct"), "requirement_repeated").when(~F.col("sound"), "requirement")
+    return plan.select("query_id", field("requirement").alias("ids"), field("weight").cast("array<double>").alias("weights"), field("mandatory").alias("mandatory"), field("citation_required").alias("citation"), field("provenance_required").alias("provenance"), problem.alias("problem"))
+
+
+def run_plans(actions: DataFrame, plans: DataFrame, target: float, budgets: dict[str, int]) -> DataFrame:
+    """(query_id, step, action, node, result, coverage, gain, version, decision): every query's actions in order, against its plan.
+
+    actions: query_id, step, action (visit, reject, replan), node, tokens, seconds, events (array of EVENT), targets (array of requirements; of a replan).
+    A visit spends depth, a node, tokens and seconds and folds its events into the states of requirements; a rejected branch cannot be
+    visited, a visited one not rejected; a replan spends a replan, must name requirements that are not satisfied, and adds a version of the
+    plan, without forgetting anything. An action that its budgets or rules forbid changes nothing; ``result`` says why. The run ends
+    with the decision ``answer``: enough coverage, every mandatory requirement satisfied, and all gates open for the evidence of satisfied
+    and partial requirements (of all, if there are none); ``exhausted`` says that a budget is.
+
+    The order matters, so each query is a fold over its own actions, in expressions; its state are arrays by requirement.
+    """
+    missing = len(PRECEDENCE) - 1
+    rank = F.create_map(*[F.lit(x) for k, s in enumerate(PRECEDENCE) for x in (s, k)])
+    worth = F.array(*[F.lit(WORTH[s]) for s in PRECEDENCE])
+    shape = "struct<step:int,action:string,node:string,result:string,coverage:double,gain:double,version:int,decision:string>"
+    listed = actions.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("step", "action", "node", "tokens", "seconds", "events", "targets"))).alias("actions"))
+    rows = listed.join(plans.filter("problem is null"), "query_id")
+    every = lambda value: F.transform("ids", lambda _: F.lit(value))
+    none = F.array().cast("array<string>")
+    state = F.struct(none.alias("visited"), none.alias("rejected"), *[F.lit(budgets[b]).cast("long").alias(b) for b in BUDGETS], every(missing).alias("ranks"), every(False).alias("seen"), *[every(True).alias(g) for g in ("g_provenance", "g_citation", "g_fresh", "g_trusted")], F.lit(1).alias("version"), F.lit(0.0).alias("coverage"), F.lit(False).alias("stopped"), F.array().cast(f"array<{shape}>").alias("out"))
+
+    def let(value: Column, body) -> Column:
+        return F.transform(F.array(value), body)[0]
+
+    def of(now: Column, **change: Column) -> Column:
+        names = ["visited", "rejected", *BUDGETS, "ranks", "seen", "g_provenance", "g_citation", "g_fresh", "g_trusted", "version", "coverage", "stopped", "out"]
+        return F.struct(*[(change[n] if n in change else now[n]).alias(n) for n in names])
+
+    def said(now: Column, x: Column, result: Column | str, gain: Column, decision: Column) -> Column:
+        result = F.lit(result) if isinstance(result, str) else result
+        line = F.struct(x["step"].cast("int").alias("step"), x["action"].alias("action"), x["node"].alias("node"), result.alias("result"), now["coverage"].alias("coverage"), gain.alias("gain"), now["version"].alias("version"), decision.alias("decision"))
+        return of(now, out=F.array_append(now["out"], line))
+
+    def decision(now: Column) -> Column:
+        spent = F.exists(F.array(*[now[b] for b in BUDGETS[:4]]), lambda left: left <= 0)
+        return F.when(now["stopped"], "answer").when(spent, "exhausted").otherwise("continue")
+
+    def visit(now: Column, x: Column) -> Column:
+        mine = lambda i: F.filter(x["events"], lambda e: e["requirement"] == F.col("ids")[i])
+        best = lambda events: F.array_min(F.transform(events, lambda e: F.when(e["contradicts"], 0).otherwise(rank[e["status"]])))
+        both = lambda gate, field: F.transform(now[gate], lambda ok, i: ok & F.forall(mine(i), lambda e: e[field]))
+        after = of(now, visited=F.array_append(now["visited"], x["node"]), depth=now["depth"] - 1, nodes=now["nodes"] - 1, tokens=now["tokens"] - x["tokens"], seconds=now["seconds"] - x["seconds"], ranks=F.transform(now["ranks"], lambda r, i: F.least(r, F.coalesce(best(mine(i)), r))), seen=F.transform(now["seen"], lambda s, i: s | (F.size(mine(i)) > 0)), g_provenance=both("g_provenance", "provenance"), g_citation=both("g_citation", "citation"), g_fresh=both("g_fresh", "fresh"), g_trusted=both("g_trusted", "trusted"))
+
+        def judged(s: Column) -> Column:
+            total = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)
+            found = F.aggregate(F.zip_with("weights", s["ranks"], lambda w, r: w * worth[r]), F.lit(0.0), lambda a, w: a + w)
+            relevant = F.transform(s["ranks"], lambda r: r.isin(1, 2))
+            counted = F.when(F.exists(relevant, lambda r: r), relevant).otherwise(s["seen"])
+            gate = lambda name, needed=None: F.forall(F.transform(s[name], lambda ok, i: ok | ~counted[i] | (~F.col(needed)[i] if needed else F.lit(False))), lambda ok: ok)
+            open_ = gate("g_provenance", "provenance") & gate("g_citation", "citation") & gate("g_fresh") & gate("g_trusted") & ~F.exists(s["ranks"], lambda r: r == 0)
+            met = F.forall(F.zip_with("mandatory", s["ranks"], lambda m, r: ~m | (r == 1)), lambda ok: ok)
+            return let(F.round(found / total, 12), lambda share: of(s, coverage=share, stopped=(share >= target) & met & open_))
+
+        return let(let(after, judged), lambda s: said(s, x, "visited", F.round(s["coverage"] - now["coverage"], 12), decision(s)))
+
+    def step(now: Column, x: Column) -> Column:
+        known = F.forall(x["events"], lambda e: F.array_contains("ids", e["requirement"]) & rank[e["status"]].isNotNull())
+        visiting = F.when(F.array_contains(now["visited"], x["node"]), "visited_before").when(F.array_contains(now["rejected"], x["node"]), "rejected_before").when((now["depth"] <= 0) | (now["nodes"] <= 0) | (x["tokens"] > now["tokens"]) | (x["seconds"] > now["seconds"]), "budget").when(~known, "evidence_unknown")
+        settled = F.transform(F.filter(F.zip_with("ids", now["ranks"], lambda k, r: F.struct(k.alias("k"), r.alias("r"))), lambda p: p["r"] == 1), lambda p: p["k"])
+        planning = F.when(now["replans"] <= 0, "budget").when((F.size(x["targets"]) == 0) | (F.size(F.array_except(x["targets"], F.array_except("ids", settled))) > 0), "targets")
+        why = F.when(now["stopped"], "stopped").when(x["action"] == "visit", visiting).when(x["action"] == "replan", planning).when((x["action"] == "reject") & F.array_contains(now["visited"], x["node"]), "visited_before").when(~x["action"].isin("visit", "replan", "reject"), "action")
+        still = F.lit(0.0)
+        plain = F.when(x["action"] == "replan", let(of(now, replans=now["replans"] - 1, version=now["version"] + 1), lambda s: said(s, x, "replanned", still, decision(s)))).otherwise(let(of(now, rejected=F.array_union(now["rejected"], F.array(x["node"]))), lambda s: said(s, x, "rejected", still, decision(s))))
+        return let(why, lambda w: F.when(w.isNotNull(), said(now, x, w, still, decision(now))).when(x["action"] == "visit", visit(now, x)).otherwise(plain))
+
+    done = rows.select("query_id", F.explode(F.aggregate("actions", state, step, lambda s: s["out"])).alias("x"))
+    return done.select("query_id", "x.*")

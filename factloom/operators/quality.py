@@ -84,6 +84,37 @@ def question_match(questions: DataFrame, claims: DataFrame) -> DataFrame:
     return met.withColumn("kind", F.when(phrase, "phrase").when(enough, "multiset")).filter("kind is not null").select("item_id", "claim", "kind")
 
 
+def question_coverage(questions: DataFrame, candidates: DataFrame, categories: DataFrame) -> DataFrame:
+    """(candidate, category, have, problem): cells of candidates by categories that do not have exactly one question, and questions outside all cells.
+
+    A cell without a question is found by taking the asked ones from its candidate's categories, not by listing all cells:
+    each candidate carries the categories (a few) and keeps those it lacks.
+    """
+    have = questions.groupBy("candidate", "category").agg(F.count("*").alias("have"))
+    kinds = categories.select("category").distinct()
+    asked = have.join(kinds, "category", "left_semi").groupBy("candidate").agg(F.collect_set("category").alias("asked"))
+    all_ = kinds.agg(F.array_sort(F.collect_list("category")).alias("all"))
+    lacking = candidates.select("candidate").distinct().join(asked, "candidate", "left").crossJoin(F.broadcast(all_))  # one row on the other side
+    none = F.array().cast("array<string>")
+    missing = lacking.select("candidate", F.explode(F.array_except("all", F.coalesce("asked", none))).alias("category")).withColumn("have", F.lit(0).cast("long")).withColumn("problem", F.lit("missing"))
+    known = candidates.select("candidate").distinct().withColumn("is_candidate", F.lit(True))
+    odd = have.join(known, "candidate", "left").join(kinds.withColumn("is_category", F.lit(True)), "category", "left")
+    problem = F.when(F.col("is_candidate").isNull(), "candidate_unknown").when(F.col("is_category").isNull(), "category_unknown").when(F.col("have") > 1, "repeated")
+    return missing.unionByName(odd.select("candidate", "category", "have", problem.alias("problem")).filter("problem is not null"))
+
+
+def question_results(questions: DataFrame, matches: DataFrame, most: int = 4) -> DataFrame:
+    """(item_id, outcome, supporting, claims, similarity, problem) of questions (item_id, expected array of claims): claims that hold the phrase count, or where none does those
+    with all words; over ``most`` of them are no evidence (``too_many``). Similarity is that of expected and found claims, in millionths, 0 for a refusal."""
+    best = matches.groupBy("item_id").agg(F.array_sort(F.collect_set(F.when(F.col("kind") == "phrase", F.col("claim")))).alias("phrase"), F.array_sort(F.collect_set(F.when(F.col("kind") == "multiset", F.col("claim")))).alias("words"))
+    rows = questions.join(best, "item_id", "left")
+    found = F.when(F.coalesce(F.size("phrase"), F.lit(0)) > 0, F.col("phrase")).otherwise(F.coalesce("words", F.array().cast(matches.select(F.collect_set("claim")).schema[0].dataType)))
+    rows = rows.withColumn("found", found).withColumn("problem", F.when(F.size("found") > most, "too_many"))
+    rows = rows.withColumn("supporting", F.when(F.col("problem").isNull(), F.col("found")).otherwise(F.slice("found", 1, 0)))
+    similar = F.when(F.size("supporting") == 0, F.lit(0)).otherwise(jaccard_millionths(F.col("expected"), F.col("supporting"))).cast("long")
+    return rows.select("item_id", F.when(F.size("supporting") > 0, "supported").otherwise("refusal").alias("outcome"), "supporting", F.size("supporting").cast("long").alias("claims"), similar.alias("similarity"), "problem")
+
+
 def jaccard_millionths(left: Column, right: Column) -> Column:
     """Integer similarity of two id sets in millionths; two empty sets are equal."""
     union = F.size(F.array_union(left, right))

@@ -252,8 +252,8 @@ def _admit(rows: Column, state: Column, kind: str, k: int, most_chars: int, most
     return F.aggregate(rows, state, step)
 
 
-def packed_blocks(scored: DataFrame, k: int, most_chars: int = MOST_CHARS, most_bytes: int = MOST_BYTES, rest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Skip-greedy selection under character and byte budgets: one block a document first, then the rest.
+def packed_blocks(scored: DataFrame, k: int, most_chars: int = MOST_CHARS, most_bytes: int = MOST_BYTES, rest: Callable[[DataFrame], DataFrame] | None = None, *, spread_first: bool = True) -> DataFrame:
+    """Skip-greedy selection under character and byte budgets: one block a document first (unless not ``spread_first``), then the rest.
 
     (item_id, doc_id, line_no, score, position, short: a block was passed over for want of room). The choice is sequential, so it
     is a fold over each prompt's ``LOOK`` best blocks. Prompts that these do not serve go on with their ``LOOK`` best of the blocks that
@@ -276,13 +276,13 @@ def packed_blocks(scored: DataFrame, k: int, most_chars: int = MOST_CHARS, most_
         return checkpointed(lists.withColumn("state", _admit(F.col("rows"), state, kind, k, most_chars, most_bytes, spread)))  # a row a prompt
 
     empty = F.struct(F.array().cast(f"array<{inner}>").alias("chosen"), F.lit(0).alias("chars"), F.lit(0).alias("bytes"), F.lit(False).alias("short")).cast(kind)
-    first = after(listed(held), empty, True)
+    first = after(listed(held), empty, spread_first)
     full = F.size("state.chosen") >= k
     done = [first.filter(full).select("item_id", "state"), after(first.filter(~full & (F.col("n") < LOOK)), F.col("state"), False).select("item_id", "state")]
     left = first.filter(~full & (F.col("n") >= LOOK)).select("item_id", "state")
     if left.limit(1).count():
         every = checkpointed((rest(left.select("item_id")) if rest else held.join(left.select("item_id"), "item_id", "left_semi")).select("item_id", *BLOCK, "score", "chars", "bytes"))
-        for spread in (True, False):
+        for spread in (True, False) if spread_first else (False,):
             now = left
             while now.limit(1).count():
                 s = F.col("state")

@@ -117,22 +117,76 @@ def select_blocks(blocks: DataFrame, prompts: DataFrame, documents: DataFrame, l
     """(chosen, gates) of every prompt.
 
     chosen: item_id, doc_id, line_no, score, position. gates: item_id, restricted, stale (a candidate is not current), incomplete (as many
-    candidates as the cap, or a block passed over for want of room). Restricted prompts and those without terms choose nothing.
+    candidates as the cap, or a block passed over for want of room), cohort. Restricted prompts and those without terms choose nothing.
+    Prompts that ask for what shares a named subject's provider get that cohort instead of a ranking: its assignments, then facts of
+    its members, under the same limit and budgets; ``cohort`` says whether the provider was resolved (null: no such prompt), unresolved
+    ones are incomplete, and stale are those that a document shown makes stale. A cohort's blocks have no score.
     """
     named = checkpointed(subjects(blocks))
     focused = checkpointed(focus(prompts, named))
     shut = checkpointed(restricted_items(blocks, prompts, documents, named, focused))
     asking = prompts.join(R.prompt_terms(prompts).select("item_id").distinct(), "item_id", "left_semi").join(shut, "item_id", "left_anti")
+    held = checkpointed(cohort_blocks(blocks, asking, documents, named, focused))
+    cohorts = held.groupBy("item_id").agg(F.bool_or("resolved").alias("resolved"))
+    asking = asking.join(cohorts, "item_id", "left_anti")
     scored = R.bonuses(candidate_scores(blocks, asking, documents, cap, named, focused), blocks, asking)
-    chosen = checkpointed(R.packed_blocks(scored, limit))
+    ranked = checkpointed(R.packed_blocks(scored, limit))
+    members = checkpointed(packed_cohorts(held, blocks, limit))
     own, other = candidates(documents, named, focused, cap)
     facts = candidate_facts(asking, documents, own, other)
-    short = chosen.groupBy("item_id").agg(F.bool_or("short").alias("short"))
-    gates = prompts.select("item_id").join(shut.withColumn("restricted", F.lit(True)), "item_id", "left").join(facts, "item_id", "left").join(short, "item_id", "left")
+    short = ranked.groupBy("item_id").agg(F.bool_or("short").alias("short"))
+    old = members.join(documents.filter("not current").select("doc_id"), "doc_id", "left_semi").select("item_id").distinct().withColumn("old", F.lit(True))
+    gates = prompts.select("item_id").join(shut.withColumn("restricted", F.lit(True)), "item_id", "left").join(facts, "item_id", "left").join(short, "item_id", "left").join(cohorts, "item_id", "left").join(old, "item_id", "left")
     no = F.lit(False)
     full = (F.col("documents") == cap) if cap else no
-    incomplete = F.coalesce("restricted", no) | F.coalesce(full | F.coalesce("short", no), no)
-    return chosen.drop("short"), gates.select("item_id", F.coalesce("restricted", no).alias("restricted"), (F.coalesce("stale", no) & ~F.coalesce("restricted", no)).alias("stale"), incomplete.alias("incomplete"))
+    incomplete = F.coalesce("restricted", no) | F.when(F.col("resolved").isNotNull(), ~F.col("resolved")).otherwise(F.coalesce(full | F.coalesce("short", no), no))
+    stale = F.when(F.col("resolved").isNotNull(), F.coalesce("old", no)).otherwise(F.coalesce("stale", no)) & ~F.coalesce("restricted", no)
+    chosen = ranked.drop("short").unionByName(members)
+    return chosen, gates.select("item_id", F.coalesce("restricted", no).alias("restricted"), stale.alias("stale"), incomplete.alias("incomplete"), F.when(F.col("resolved").isNotNull(), F.when(F.col("resolved"), "resolved").otherwise("unresolved")).alias("cohort"))
+
+
+def packed_cohorts(held: DataFrame, blocks: DataFrame, limit: int) -> DataFrame:
+    """Blocks of cohorts (as ``cohort_blocks`` gives them) in their order, as many as limit and budgets admit."""
+    text = F.col("text")
+    sizes = blocks.select(*R.BLOCK, F.length(text).cast("long").alias("chars"), F.octet_length(text).cast("long").alias("bytes"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("part", *R.BLOCK))
+    rows = held.filter("line_no is not null").join(sizes, R.BLOCK).withColumn("score", -place.cast("double"))
+    return R.packed_blocks(rows.select("item_id", *R.BLOCK, "score", "chars", "bytes"), limit, spread_first=False).select("item_id", *R.BLOCK, F.lit(None).cast("double").alias("score"), "position")
+
+
+# What an answer says beside its evidence.
+SAYS = {
+    "restricted": "Restricted evidence cannot be rendered.",
+    "stale": "Document freshness requires review.",
+    "limited": "Context expansion was limited; evidence may be incomplete.",
+    "incomplete": "Evidence-set selection reached a bounded retrieval budget; evidence may be incomplete.",
+    "unresolved": "The requested provider assignment was not resolved in eligible source text; do not infer cohort membership.",
+}
+
+
+def query_documents(blocks: DataFrame, prompts: DataFrame, documents: DataFrame, limit: int = 20, radius: int = 0, context_limit: int = 128, most_chars: int = 65_536, generation: str = "") -> tuple[DataFrame, DataFrame]:
+    """(outcomes, evidence) of every prompt over one generation of documents.
+
+    outcomes: item_id, query_id, evidence (number), outcome, reason, qualifications. evidence: item_id, position, doc_id, line_no, source_id, current,
+    render_text, block_digest, evidence_id, in the order shown: chosen blocks first, then their neighbours while there is room. A prompt that
+    is none (``valid_prompt``) is refused as invalid. Identities bind generation, document, block and its text.
+    """
+    asked = prompts.filter(valid_prompt(F.col("text")))
+    chosen, gates = select_blocks(blocks, asked, documents, limit)
+    shown = checkpointed(admit_context(chosen, blocks, radius, context_limit, most_chars) if radius or context_limit < limit or most_chars < 65_536 else chosen.select("item_id", *R.BLOCK, "position", F.lit(False).alias("limited")))
+    cut = shown.groupBy("item_id").agg(F.bool_or("limited").alias("limited"), F.count("doc_id").alias("n"))
+    gates = gates.join(cut.select("item_id", "limited"), "item_id", "left").withColumn("limited", F.coalesce("limited", F.lit(False)))
+    decided = outcome(gates.withColumn("incomplete", F.col("incomplete") | F.col("limited")).select("item_id", "restricted", "stale", "incomplete"), cut.select("item_id", "n"))
+    said = lambda name, when: F.when(when, F.lit(SAYS[name]))
+    incomplete = F.col("incomplete") & ~F.col("restricted")
+    told = F.array_compact(F.array(said("limited", F.col("limited") & ~F.col("restricted")), said("unresolved", incomplete & (F.col("cohort") == "unresolved")), said("incomplete", incomplete & F.col("cohort").isNull()), said("restricted", F.col("restricted")), said("stale", F.col("stale"))))
+    query = F.concat(F.lit("query-"), F.substring(T.digest(F.col("text"), F.lit(generation), F.lit(limit), F.lit(radius), F.lit(context_limit), F.lit(most_chars)), 8, 24))
+    rows = prompts.select("item_id", query.alias("query_id")).join(decided, "item_id", "left").join(gates.select("item_id", told.alias("qualifications")), "item_id", "left")
+    outcomes = rows.select("item_id", "query_id", F.coalesce("evidence", F.lit(0)).cast("long").alias("evidence"), F.coalesce("outcome", F.lit("refuse")).alias("outcome"), F.coalesce("reason", F.lit("query_invalid")).alias("reason"), F.coalesce("qualifications", F.array().cast("array<string>")).alias("qualifications"))
+    kept = shown.filter("line_no is not null").join(gates.filter("not restricted").select("item_id"), "item_id", "left_semi")
+    digest = T.digest(F.col("doc_id"), F.col("line_no"), F.col("text"))
+    records = kept.join(blocks.select(*R.BLOCK, "text"), R.BLOCK).join(documents.select("doc_id", "source_id", "current"), "doc_id").withColumn("block_digest", digest)
+    return outcomes, records.select("item_id", "position", *R.BLOCK, "source_id", "current", F.col("text").alias("render_text"), "block_digest", T.digest(F.lit(generation), F.col("doc_id"), F.col("line_no"), F.col("block_digest")).alias("evidence_id"))
 
 
 def assignments(blocks: DataFrame, named: DataFrame) -> DataFrame:

@@ -77,3 +77,16 @@ def linked_pairs(pairs: DataFrame, selected: DataFrame, left: str, right: str) -
     """Pairs both of whose ends are selected (column id)."""
     ids = selected.select("id").distinct()
     return pairs.join(ids.withColumnRenamed("id", left), left, "left_semi").join(ids.withColumnRenamed("id", right), right, "left_semi")
+
+
+def drifted_fields(proposed: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """(key, field, proposed, current) of every field in which a proposal differs from the records it was made of; a record that is gone is the field ``*``.
+
+    Both sides are told field by field, so that one join finds all differences; fields that the current side lacks are differences.
+    """
+    fields = [c for c in proposed.columns if c != key]
+    told = lambda df: F.explode(F.array(*[F.struct(F.lit(c).alias("field"), (F.col(f"`{c}`").cast("string") if c in df.columns else F.lit(None).cast("string")).alias("value")) for c in fields]))
+    side = lambda df, name: df.select(key, told(df).alias("x")).select(key, "x.field", F.col("x.value").alias(name))
+    gone = proposed.join(current, key, "left_anti").select(key, F.lit("*").alias("field"), F.lit(None).cast("string").alias("proposed"), F.lit(None).cast("string").alias("current"))
+    both = side(proposed, "proposed").join(side(current, "current"), [key, "field"]).filter(~F.col("proposed").eqNullSafe(F.col("current")))
+    return both.unionByName(gone)

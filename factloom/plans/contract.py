@@ -105,7 +105,8 @@ def blocks_markdown(spark, d):
     return B.markdown_blocks(table(spark, d, "documents"))
 
 
-@contract(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\s+', ' ', 'g')) AS heading FROM pages")
+@contract(r"""WITH s AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>', '', 'g') AS h FROM pages)
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(h, '(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>', 1), '</?[a-zA-Z][^>]*>', '', 'g'), '\s+', ' ', 'g')) AS heading FROM s""")
 def html_headings(spark, d):
     return B.html_headings(table(spark, d, "pages"))
 

@@ -10,15 +10,21 @@ from factloom.operators import ingest as I
 from factloom.operators import layout as L
 from factloom.operators import navigation as N
 from factloom.operators import semantics as X
-from factloom.plans.contract import _LINES, _boxes, _sql_words, contract, lines, table
+from factloom.plans.contract import _LINES, ORACLE, _boxes, _sql_words, contract, lines, table
 
 
-@contract(rf"""WITH {_LINES} SELECT doc_id, line_no, regexp_matches(trim(text, ' '), '^(?i)(page *)?[0-9]+( *(of|/) *[0-9]+)?$') OR contains(text, chr(65533))
-OR (contains(text, '|') AND true) AS artifact FROM blocks""")
+@contract(rf"""WITH {_LINES}, b AS (SELECT doc_id, line_no, text, contains(text, '|') AS bar FROM blocks),
+g AS (SELECT *, CASE WHEN bar THEN row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - row_number() OVER (PARTITION BY doc_id, bar ORDER BY line_no) ELSE -1 - line_no END AS run FROM b),
+t AS (SELECT doc_id, min(line_no) AS line_no, bar, string_agg(text, chr(10) ORDER BY line_no) AS text, count(*) AS n, count(DISTINCT len(string_split(text, '|'))) AS widths FROM g GROUP BY doc_id, bar, run)
+SELECT doc_id, line_no, n AS lines, regexp_matches(trim(text, ' '), '^(?i)(page *)?[0-9]+( *(of|/) *[0-9]+)?$') OR contains(text, chr(65533)) OR (bar AND (n < 2 OR widths > 1)) AS artifact FROM t""")
 def layout_artifacts(spark, d):
-    """Lines with bars count as one-row tables, which are ragged."""
-    kind = F.when(F.col("text").contains("|"), "table").otherwise("paragraph")
-    return lines(spark, d).select("doc_id", "line_no", X.layout_artifact(kind, F.col("text")).alias("artifact"))
+    """Lines with bars that follow one another are a table, all others paragraphs."""
+    place, bar = Window.partitionBy("doc_id").orderBy("line_no"), F.col("text").contains("|")
+    run = F.when(bar, F.row_number().over(place) - F.row_number().over(Window.partitionBy("doc_id", bar).orderBy("line_no"))).otherwise(-1 - F.col("line_no"))
+    rows = lines(spark, d).select("doc_id", "line_no", "text", bar.alias("bar")).withColumn("run", run)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
+    blocks = rows.groupBy("doc_id", "bar", "run").agg(F.min("line_no").alias("line_no"), text.alias("text"), F.count("*").alias("lines"))
+    return blocks.select("doc_id", "line_no", "lines", X.layout_artifact(F.when(F.col("bar"), "table").otherwise("paragraph"), F.col("text")).alias("artifact"))
 
 
 @contract(f"""WITH {_LINES}, w AS (SELECT doc_id, line_no, text, list_filter({_sql_words("text")}, lambda x: length(x) >= 3) AS t FROM blocks),
@@ -97,11 +103,10 @@ def batch_items(spark, d):
     return manifest.select("doc_id", "source").join(done, "doc_id").select("source", "item", "doc_id", "state", "reason")
 
 
-@contract()
+@contract("WITH RECURSIVE i AS (" + ORACLE["batch_items"] + """), c AS (SELECT source, item, sha256('|' || item || '|' || state) AS checkpoint FROM i WHERE item = 1 UNION ALL SELECT i.source, i.item, sha256(checkpoint || '|' || i.item || '|' || state) FROM c JOIN i ON i.source = c.source AND i.item = c.item + 1) SELECT * FROM c""")
 def batch_checkpoints(spark, d):
-    docs = table(spark, d, "documents")
-    manifest = I.numbered(docs.select("doc_id", "source"), "source", ["doc_id"])
-    return I.checkpoint_chain(manifest.withColumn("state", F.lit("created")), "source")
+    """The states of batch items, chained source by source."""
+    return I.checkpoint_chain(batch_items(spark, d), "source")
 
 
 @contract(f"""WITH {_LINES} SELECT doc_id, line_no, coalesce(last_value(CASE WHEN starts_with(ltrim(text), '#') THEN trim(regexp_replace(text, '^[# ]+', ''), ' ') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS concept,

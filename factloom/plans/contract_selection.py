@@ -102,15 +102,24 @@ def select_document_blocks(spark, d):
     return S.select_blocks(page_blocks(spark, d), page_prompts(spark, d), page_documents(spark, d), LIMIT)[0]
 
 
+def _asked(spark, d):
+    """Every seventh prompt asks for what shares a provider with a page's subject."""
+    prompts = page_prompts(spark, d)
+    return prompts.withColumn("text", F.when(F.col("item_id") % 7 == 0, F.concat(F.lit("all of the same provider: "), "text")).otherwise(F.col("text")))
+
+
 @contract()
 def outcome_ladder(spark, d):
     """The document query: chosen blocks with their neighbours, then the gates."""
-    blocks = page_blocks(spark, d)
-    chosen, gates = S.select_blocks(blocks, page_prompts(spark, d), page_documents(spark, d), LIMIT)
-    shown = S.admit_context(chosen, blocks, 1, 2 * LIMIT, 20_000)
-    cut = shown.groupBy("item_id").agg(F.bool_or("limited").alias("limited"), F.count("doc_id").alias("n"))
-    gates = gates.join(cut, "item_id", "left").withColumn("incomplete", F.col("incomplete") | F.coalesce("limited", F.lit(False)))
-    return S.outcome(gates.drop("n", "limited"), cut.select("item_id", "n"))
+    outcomes, _ = S.query_documents(page_blocks(spark, d), _asked(spark, d), page_documents(spark, d), LIMIT, 1, 2 * LIMIT, 20_000)
+    return outcomes.select("item_id", "evidence", "outcome", "reason")
+
+
+@contract()
+def document_query(spark, d):
+    """What the document query shows, with what identifies it."""
+    _, evidence = S.query_documents(page_blocks(spark, d), _asked(spark, d), page_documents(spark, d), LIMIT)
+    return evidence.select("item_id", "position", "doc_id", "line_no", "evidence_id", F.length("render_text").alias("chars"))
 
 
 @contract("""WITH p AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'c' || conv_id || '/' || turn, text FROM conversations UNION ALL SELECT 'q' || item_id, text FROM benchmark UNION ALL SELECT 's' || stamp_id, raw FROM stamps)

@@ -151,7 +151,7 @@ def ingest_errors(spark, d):
 
 @contract("""WITH r AS (SELECT click_id, props AS b FROM clicks UNION ALL SELECT -1 - event_id, props FROM events UNION ALL SELECT 1000000000000 + click_id, '{"k": 1, ' || substr(props, 2) FROM clicks WHERE starts_with(props, '{"k"') UNION ALL SELECT 2000000000000 + click_id, '[' || props || ']' FROM clicks WHERE props IS NOT NULL UNION ALL SELECT 3000000000000 + click_id, regexp_replace(props, ': 1[0-9.]*', ': NaN', 'g') FROM clicks WHERE contains(props, ': 1') AND length(replace(props, '{', '')) = length(replace(props, '}', ''))),
 v AS (SELECT click_id, b, CASE WHEN b IS NULL OR NOT json_valid(replace(b, ': NaN', ': null')) THEN 'malformed' WHEN starts_with(b, '[') THEN 'not_an_object' WHEN len(json_keys(replace(b, ': NaN', ': null'))) > len(list_distinct(json_keys(replace(b, ': NaN', ': null')))) THEN 'repeated_key' WHEN contains(b, 'NaN') THEN 'non_finite' ELSE '' END AS problem FROM r)
-SELECT click_id, problem, CASE WHEN problem = '' THEN '{' || array_to_string(list_transform(list_sort(json_keys(b)), lambda k: '"' || k || '":' || CAST(json_extract(b, '$."' || k || '"') AS VARCHAR)), ',') || '}' END AS canonical FROM v""")
+SELECT click_id, problem, CASE WHEN problem = '' THEN '{' || array_to_string(list_transform(list_sort(json_keys(b)), lambda k: '"' || k || '":' || regexp_replace(CAST(json_extract(b, '$."' || k || '"') AS VARCHAR), '\\{"sku":([^,}]*),"qty":([^}]*)\\}', '{"qty":\\2,"sku":\\1}', 'g')), ',') || '}' END AS canonical FROM v""")
 def strict_json(spark, d):
     """The properties of clicks and events as they are, with a key repeated, within an array, and, where they are whole, with numbers that are none."""
     clicks, events = table(spark, d, "clicks").select("click_id", "props"), table(spark, d, "events").select((-1 - F.col("event_id")).alias("click_id"), "props")

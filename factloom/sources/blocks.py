@@ -164,8 +164,9 @@ def pdf_literal_blocks(files: DataFrame, key: str = "path", content: str = "cont
 
 
 def html_headings(pages: DataFrame, key: str = "page_id", source: str = "html") -> DataFrame:
-    """First-level headings by pattern alone, without leaving generated code."""
-    return pages.select(key, F.trim(F.regexp_replace(F.regexp_extract(source, r"<h1>([^<]*)</h1>", 1), r"\s+", " ")).alias("heading"))
+    """The first first-level heading of each page, whatever its attributes, without the tags inside, by patterns alone."""
+    inner = F.regexp_extract(F.regexp_replace(source, _UNSEEN, ""), rf"(?is)<h1{_REST}(.*?)</h1(?=[\s/>])", 1)
+    return pages.select(key, F.trim(F.regexp_replace(F.regexp_replace(inner, rf"</?[a-zA-Z][^\s/>]*+{_REST}", ""), r"\s+", " ")).alias("heading"))
 
 
 #: Start or end tags that end a heading or a paragraph.

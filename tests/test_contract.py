@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from factloom.plans import contract, contract_docx, contract_more, contract_records, contract_selection, contract_transactions  # noqa: F401
+from factloom.plans import contract, contract_benchmarks, contract_docx, contract_more, contract_records, contract_selection, contract_store, contract_transactions  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

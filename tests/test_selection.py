@@ -154,6 +154,37 @@ def test_cohorts_of_a_provider(spark):
     assert got[3] == {(None, None, None, False)} and set(got) == {1, 2, 3}
 
 
+def test_cohort_prompts_in_the_selector(spark):
+    sites = "ABDEFGH"
+    blocks, docs = [], []
+    for k, x in enumerate(sites):
+        provider = "Acme Ltd" if x != "H" else "Other Co"
+        blocks += [(k, 0, f"# Site {x}"), (k, 1, f"Site {x} purchases service from {provider}"), (k, 2, f"The owner is P{k}." + "x" * (40 * k)), (k, 3, "Something else of site.")]
+        docs.append((k, x == "G", x != "F", f"{x.lower()}-1"))
+    blocks += [(9, 0, "# Site Z"), (9, 1, "no assignment")]
+    docs.append((9, False, True, "z-1"))
+    prompts = [(1, "owner of all sites with the same provider as site a"), (2, "owner of other sites with the provider of site a"), (3, "all with the same provider as site z"), (4, "all sites with the same provider as site g"), (5, "who is the owner of site a"), (6, "all sites with the same provider as site b")]
+    b, p, d = frames(spark, docs, blocks, prompts)
+    for limit in (3, 20):
+        chosen, gates = S.select_blocks(b, p, d, limit)
+        got = {}
+        for r in chosen.orderBy("item_id", "position").collect():
+            got.setdefault(r.item_id, []).append((r.doc_id, r.line_no))
+        gate = {r.item_id: (r.restricted, r.stale, r.incomplete, r.cohort) for r in gates.collect()}
+        members = [0, 1, 2, 3, 4]
+        assert got[1] == ([(k, 1) for k in members] + [(k, 2) for k in members])[:limit]
+        assert got[2] == ([(k, 1) for k in members[1:]] + [(k, 2) for k in members])[:limit] or got[2] == ([(k, 1) for k in members[1:]] + [(k, 2) for k in members[1:]])[:limit]
+        assert got[6] == [(k, 1) for k in members][:limit] and 3 not in got and 4 not in got
+        assert gate[3] == (False, False, True, "unresolved") and gate[4] == (True, False, True, None)
+        assert gate[1] == (False, limit == 20, False, "resolved") and gate[5][3] is None
+    outcomes, evidence = S.query_documents(b, p.unionByName(spark.createDataFrame([(7, "bell" + chr(7))], p.schema)), d, 20)
+    said = {r.item_id: r for r in outcomes.collect()}
+    assert {k: (r.outcome, r.reason) for k, r in said.items() if k != 5} == {1: ("investigate", "freshness_investigation_required"), 2: ("investigate", "freshness_investigation_required"), 3: ("refuse", "no_evidence"), 4: ("refuse", "restricted_evidence"), 6: ("investigate", "freshness_investigation_required"), 7: ("refuse", "query_invalid")}
+    assert said[3].qualifications == [S.SAYS["unresolved"]] and said[4].qualifications == [S.SAYS["restricted"]]
+    shown = evidence.filter("item_id = 6").orderBy("position").collect()
+    assert [r.render_text for r in shown] == [f"Site {x} purchases service from Acme Ltd" for x in "ABDEF"] and len({r.evidence_id for r in shown}) == 5
+
+
 def test_prompts_are_checked(spark):
     texts = ["", " ", "fine", "x" * 1024, "x" * 1025, "tab\there", "zero​width", "é", None]
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").withColumn("ok", S.valid_prompt(F.col("text"))).collect()
