@@ -86,7 +86,7 @@ UNION ALL SELECT doc, i, 0, 'link', NULL, {_sql_strip("w[1]")}, 'external-hyperl
 UNION ALL SELECT doc, i, 2, 'footnote', NULL, 'Note ' || i || chr(10) || 'of ' || doc, 'footnote/' || i FROM l WHERE i % 6 = 3
 UNION ALL SELECT doc, i, 2, 'image', NULL, '', 'embedded-image/image/png/sha256:{hashlib.sha256(PIXEL).hexdigest()}/40/30' FROM l WHERE i % 6 = 5
 UNION ALL SELECT doc, i, 1, 'table', NULL, concat_ws(chr(10), nullif(concat_ws(chr(9), nullif(w0, ''), nullif(w1, '')), ''), nullif(concat_ws(chr(9), nullif(w2, ''), nullif(inside, '')), ''), nullif(concat_ws(chr(9), nullif(w6, ''), nullif(w7, ''), nullif(w8, '')), '')), '3' FROM h),
-o AS (SELECT *, row_number() OVER p - 1 AS ordinal, sum(length(text) + 1) OVER p - length(text) - 1 AS start FROM b WHERE type <> 'paragraph' OR text <> '' WINDOW p AS (PARTITION BY doc ORDER BY i, half))
+o AS (SELECT *, row_number() OVER p - 1 AS ordinal, CAST(sum(length(text) + 1) OVER p - length(text) - 1 AS BIGINT) AS start FROM b WHERE type <> 'paragraph' OR text <> '' WINDOW p AS (PARTITION BY doc ORDER BY i, half))
 SELECT doc, ordinal, type, level, text, start, start + length(text) AS "end", said FROM o""")
 def docx_blocks(spark, d):
     fields = ("list_level", "list_id", "list_format", "relationship", "target", "note_kind", "note_id", "content_type", "digest", "width", "height", "columns")
