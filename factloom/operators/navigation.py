@@ -1,9 +1,8 @@
-"""Planning: the sequential navigator as a fold over each query's own visits."""
+"""Planning: the sequential navigator over each query's own visits, and runs of plans as folds over their actions."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What a requirement's state is worth, by falling precedence of states.
@@ -14,35 +13,30 @@ WORTH = {"satisfied": 1.0, "partial": 0.5, "contradictory": 0.0, "stale": 0.0, "
 def navigate(visits: DataFrame, requirements: DataFrame, target: float, nodes: int, tokens: int) -> DataFrame:
     """(query_id, step, node, coverage, gain, stopped): visits in order until coverage reaches the target or a budget ends.
 
-    visits: query_id, step, node, requirement, status, tokens; requirements: query_id, requirement, weight. The order
-    of visits matters, so each query is a fold of its own, bounded by its node budget.
+    visits: query_id, step, node, requirement, status, tokens; requirements: query_id, requirement, weight. A step's node and
+    tokens are those of its first requirement. A requirement's state is the leading one so far, so what a step adds to the
+    coverage is what its requirements rise or fall by, and the walk is running sums in windows that all lie by query_id.
     """
-    first = visits.filter(F.col("step") <= nodes)  # a budget of nodes is a bound on the fold
+    first = visits.filter(F.col("step") <= nodes)  # a budget of nodes is a bound on the walk
     listed = requirements.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("requirement", "weight"))).alias("weights"))
-    rows = first.join(listed, "query_id")
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["step", "requirement"])
-        weights = dict(frame["weights"].iloc[0])
-        whole, states, spent, before, out = sum(weights.values()), {}, 0, 0.0, []
-        for step, part in frame.groupby("step", sort=True):
-            cost = int(part["tokens"].iloc[0])
-            if spent + cost > tokens:
-                break
-            spent += cost
-            for requirement, status in zip(part["requirement"], part["status"], strict=True):
-                old = states.get(requirement)
-                if old is None or PRECEDENCE.index(status) < PRECEDENCE.index(old):
-                    states[requirement] = status
-            now = round(sum(weights.get(k, 0.0) * WORTH[s] for k, s in states.items()) / whole, 12) if whole else 0.0
-            out.append((frame["query_id"].iloc[0], int(step), part["node"].iloc[0], now, round(now - before, 12), now >= target))
-            before = now
-            if now >= target:
-                break
-        return pd.DataFrame(out, columns=["query_id", "step", "node", "coverage", "gain", "stopped"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in visits.schema.fields}
-    return rows.groupBy("query_id").applyInPandas(fold, f"query_id {kinds['query_id']}, step int, node {kinds['node']}, coverage double, gain double, stopped boolean")
+    rank = F.create_map(*[F.lit(x) for k, s in enumerate(PRECEDENCE) for x in (s, k)])
+    worth = lambda k: F.element_at(F.array(*[F.lit(WORTH[s]) for s in PRECEDENCE]), k + 1)
+    head = F.struct(F.col("requirement").isNull().alias("last"), "requirement", "tokens", "node")
+    each = first.groupBy("query_id", "step", "requirement").agg(F.min(rank[F.col("status")]).alias("rank"), F.min(head).alias("head"))
+    own = Window.partitionBy("query_id", "requirement").orderBy("step")
+    each = each.withColumn("rank", F.min("rank").over(own)).withColumn("before", F.lag("rank").over(own))
+    rise = F.coalesce(worth(F.col("rank")), F.lit(0.0)) - F.coalesce(worth(F.col("before")), F.lit(0.0))
+    whole = F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, w: a + w)
+    each = each.join(listed, "query_id").withColumn("whole", whole).withColumn("rise", rise * F.coalesce(F.try_element_at("weights", F.col("requirement")), F.lit(0.0)))
+    steps = each.groupBy("query_id", "step").agg(F.sum("rise").alias("rise"), F.first("whole").alias("whole"), F.min("head").alias("head"))
+    place = Window.partitionBy("query_id").orderBy("step")
+    steps = steps.withColumns({"spent": F.sum("head.tokens").over(place), "covered": F.sum("rise").over(place)})
+    now = F.when(F.col("whole") != 0, F.round(F.col("covered") / F.col("whole"), 12)).otherwise(0.0)
+    steps = steps.withColumns({"most": F.max("spent").over(place), "coverage": now}).withColumn("stopped", F.col("coverage") >= target)
+    over = F.max("stopped").over(place.rowsBetween(Window.unboundedPreceding, -1))
+    steps = steps.withColumns({"gain": F.round(F.col("coverage") - F.lag("coverage", 1, 0.0).over(place), 12), "over": F.coalesce(over, F.lit(False))})
+    kept = steps.filter((F.col("most") <= tokens) & ~F.col("over"))
+    return kept.select("query_id", F.col("step").cast("int").alias("step"), F.col("head.node").alias("node"), "coverage", "gain", "stopped")
 
 
 def efficiency(trace: DataFrame) -> DataFrame:
