@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators.graph import checkpointed, small
 
 # Block types that hold no statement, and what a page number looks like.
 FURNITURE = ["header", "footer", "page_number", "page-number"]
@@ -24,22 +25,24 @@ def review(claims: DataFrame, reviews: DataFrame, blocks: DataFrame) -> DataFram
     """(claim_id, reasons): why a review does not bind its claim; an empty text where it does.
 
     claims: claim_id, excerpt, anchor, terms array; reviews: claim_id, block_id, rationale; blocks: block_id, type, text.
+    The checks of a claim are written once, with digests of its rationale and topic in place of texts: only these are counted and joined.
     """
     both = claims.join(reviews, "claim_id", "left").join(blocks, "block_id", "left")
-    said, why = T.t4_terms(F.col("excerpt")), T.t4_terms(F.col("rationale"))
+    both = both.withColumns({"said": T.t4_terms(F.col("excerpt")), "why": T.t4_terms(F.col("rationale"))})
     terms = F.transform("terms", lambda t: T.t4_terms(t))
-    in_excerpt = F.forall(terms, lambda t: T.contains_phrase(said, t))
-    in_reason = F.exists(terms, lambda t: T.contains_phrase(why, t))
-    keyed = both.withColumn("rationale_key", F.array_join(why, " ")).withColumn("topic", F.array_join(F.array_sort("terms"), "|"))
-    topics = keyed.groupBy("rationale_key").agg(F.count_distinct("topic").alias("topics"))
+    in_excerpt = F.forall(terms, lambda t: T.contains_phrase(F.col("said"), t))
+    in_reason = F.exists(terms, lambda t: T.contains_phrase(F.col("why"), t))
     checks = {
         "excerpt_binding": (F.col("text") == F.col("excerpt")) & (F.col("block_id") == F.col("anchor")),
         "layout_artifact": ~layout_artifact(F.col("type"), F.col("text")),
         "topic_mismatch": in_excerpt & in_reason,
-        "copied_rationale": F.col("topics") == 1,
     }
-    why_not = F.array_join(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in checks.items()])), ",")
-    return keyed.join(topics, "rationale_key", "left").select("claim_id", why_not.alias("reasons"))
+    key = lambda text: F.unhex(F.sha2(text, 256))
+    keyed = checkpointed(both.select("claim_id", *[F.coalesce(ok, F.lit(False)).alias(n) for n, ok in checks.items()], key(F.array_join("why", " ")).alias("rationale_key"), key(F.array_join(F.array_sort("terms"), "|")).alias("topic")))
+    copied = keyed.groupBy("rationale_key").agg(F.count_distinct("topic").alias("topics")).filter("topics <> 1").select("rationale_key", F.lit(True).alias("copied"))
+    fails = {n: ~F.col(n) for n in checks} | {"copied_rationale": F.col("rationale_key").isNull() | F.coalesce("copied", F.lit(False))}
+    why_not = F.array_join(F.array_compact(F.array(*[F.when(bad, F.lit(n)) for n, bad in fails.items()])), ",")
+    return keyed.join(small(copied), "rationale_key", "left").select("claim_id", why_not.alias("reasons"))
 
 
 def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from factloom.operators import ingest as I
 from factloom.operators import layout as L
 from factloom.operators import navigation as N
 from factloom.operators import semantics as X
+from factloom.operators.graph import checkpointed
 from factloom.plans.contract import _LINES, ORACLE, _boxes, _sql_words, contract, lines, table
 
 
@@ -35,7 +36,9 @@ SELECT claim_id, array_to_string(list_filter([CASE WHEN cut THEN 'excerpt_bindin
 def semantic_review(spark, d):
     """Claims are lines; every third review has a copied rationale, every seventh excerpt is not its block's text."""
     terms = T.t4_terms(F.col("text"))
-    rows = lines(spark, d).withColumn("terms", terms).filter(F.size("terms") > 0).withColumn("claim_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("line_no").cast("string")))
+    claim = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("line_no").cast("string"))
+    rows = lines(spark, d).select(claim.alias("claim_id"), "line_no", "text", terms.alias("terms")).filter(F.size("terms") > 0)
+    rows = checkpointed(rows)  # three tables are made of it
     claims = rows.select("claim_id", F.col("text").alias("excerpt"), F.col("claim_id").alias("anchor"), F.slice("terms", 1, 1).alias("terms"))
     reviews = rows.select("claim_id", F.col("claim_id").alias("block_id"), F.when(F.col("line_no") % 3 == 0, "the same words").otherwise(F.array_join("terms", " ")).alias("rationale"))
     blocks = rows.select(F.col("claim_id").alias("block_id"), F.lit("paragraph").alias("type"), F.when(F.col("line_no") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"))

@@ -1,14 +1,29 @@
 """Steps that grew faster than their input, or cost far too much of it: the same results by lighter plans."""
 
 import random
+import re
 
 from factloom.operators import navigation as N
+from factloom.sources import blocks as B
 
 
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_lines_are_cut_without_matching_them(spark):
+    texts = ["", "a", "a\n", "\r\n\r\nb\r\n", "a\rb\n\rc d\x85e\x1cf \n \ng", "\n\n", "x\r\n", "퟿ \r\r\n\U0001f600\x0b\x0cy", " \r\n z \n"] + ["".join(random.Random(k).choices("ab \n\r\x1d\x85 \U0001f600", k=40)) for k in range(200)]
+    got = B.line_blocks(spark.createDataFrame([*enumerate(texts), (len(texts), None)], "doc_id long, text string"))
+    want = []
+    for k, text in enumerate(texts):
+        for n, m in enumerate(re.finditer("[^\n\r\x0b\x0c\x1c-\x1e\x85  ]*(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])|[^\n\r\x0b\x0c\x1c-\x1e\x85  ]+", text)):
+            line = re.sub("(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])$", "", m[0]) if m[0][-1] in B.END_SIGNS else m[0]
+            if line.strip(" "):
+                want.append((k, n, m.start(), m.start() + len(line), line))
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert "regexp_extract_all" not in plan(got)
+
+
 def walk(visits, weights, target, nodes, tokens):
     whole, states, spent, before, out = sum(weights.values()), {}, 0, 0.0, []
     for step in sorted({v[0] for v in visits if v[0] <= nodes}):
