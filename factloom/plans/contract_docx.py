@@ -99,11 +99,11 @@ SELECT doc, table_no, depth, row_no, col, col_span, row_span, nested, text FROM
   SELECT doc, table_no, 0 AS depth, unnest([0, 0, 1, 1, 2, 2, 2]) AS row_no, unnest([0, 2, 0, 1, 0, 1, 2]) AS col, unnest([2, 1, 1, 1, 1, 1, 1]) AS col_span, unnest([1, 2, 1, 1, 1, 1, 1]) AS row_span, unnest([0, 0, 0, 1, 0, 0, 0]) AS nested, unnest([w0, w1, w2, inside, w6, w7, w8]) AS text FROM n
   UNION ALL SELECT doc, table_no, 1, 0, unnest([0, 1]), 1, 1, 0, unnest([w3, w4]) FROM n)""")
 def docx_cells(spark, d):
-    cells = D.table_cells(checkpointed(D.shred(packages(spark, d))))
+    cells = D.table_cells(checkpointed(D.shred(packages(spark, d), tags=D.CELL_TAGS)))
     number = F.dense_rank().over(Window.partitionBy("doc", "depth").orderBy("tbl")) - 1
     return cells.select("doc", number.alias("table_no"), "depth", "row_no", "col", "col_span", "row_span", "nested", "text")
 
 
 @contract(f"""WITH {_PACKED} SELECT doc, count(*) FILTER (i % 6 = 4) * 2 AS tables, count(*) FILTER (i % 6 = 4) * 4 AS rows, count(*) FILTER (i % 6 = 4) * 9 AS cells, count(*) FILTER (i % 6 = 4) AS nested FROM l GROUP BY 1 HAVING nested > 0""")
 def docx_table_sizes(spark, d):
-    return D.table_sizes(checkpointed(D.shred(packages(spark, d))))
+    return D.table_sizes(checkpointed(D.shred(packages(spark, d), tags=D.GRID_TAGS)))

@@ -12,12 +12,13 @@ unpacked, ids that occur twice, links, notes and images that lead nowhere are fa
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import io
 import zipfile
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,39 +48,49 @@ SKIPPED = {"w:rPr", "w:sectPr", "w:tblPr", "w:trPr"}
 
 #: Of an element: its number in its part, its parent's, and those of the nearest paragraph, the outermost paragraph of its cell or body, link, drawing, cell, row and table around it.
 NODES = "doc string, part string, node int, parent int, tag string, attributes map<string,string>, text string, p int, top int, link int, drawing int, cell int, row int, tbl int"
-_AROUND = {"w:p": ("p",), "w:hyperlink": ("link",), "w:drawing": ("drawing",), "w:tc": ("cell",), "w:tr": ("row",), "w:tbl": ("tbl",)}
 _COLUMNS = [c.split()[0] for c in NODES.split(", ")]
+_AROUND = {"w:p", "w:hyperlink", "w:drawing", "w:tc", "w:tr", "w:tbl"}
+_NOWHERE: tuple = (None,) * 7
+_NONE: dict[str, str] = {}
 
 
+@functools.lru_cache(1 << 14)
 def _short(name: str) -> str:
     space, _, local = name.rpartition("}")
     return SPACES.get(space[1:], space[1:] + " " if space else "") + local
 
 
 def _elements(root: ElementTree.Element):
-    """(node, parent, tag, attributes, text, around) of all elements, in document order."""
-    todo, number = [(root, None, dict.fromkeys(("p", "top", "link", "drawing", "cell", "row", "tbl")))], 0
+    """(node, parent, tag, attributes, text, p, top, link, drawing, cell, row, tbl) of all elements, in document order."""
+    todo, number = [(root, None, _NOWHERE)], 0
     while todo:
         element, parent, around = todo.pop()
         tag = _short(element.tag)
         if tag in SKIPPED:
             continue
-        around = dict(around)
-        for name in _AROUND.get(tag, ()):
-            around[name] = number
-        if tag == "w:p" and around["top"] is None:
-            around["top"] = number
-        if tag in ("w:tc", "w:tbl"):
-            around |= {"p": None, "top": None}
-        yield number, parent, tag, {_short(k): v for k, v in element.attrib.items()}, element.text, around
-        todo.extend((child, number, around) for child in reversed(element))
+        if tag in _AROUND:
+            p, top, link, drawing, cell, row, tbl = around
+            if tag == "w:p":
+                p, top = number, number if top is None else top
+            elif tag == "w:hyperlink":
+                link = number
+            elif tag == "w:drawing":
+                drawing = number
+            elif tag == "w:tr":
+                row = number
+            elif tag == "w:tc":
+                p, top, cell = None, None, number
+            else:
+                p, top, tbl = None, None, number
+            around = (p, top, link, drawing, cell, row, tbl)
+        yield number, parent, tag, {_short(k): v for k, v in element.attrib.items()} if element.attrib else _NONE, element.text, *around
+        todo.extend([(child, number, around) for child in reversed(element)])
         number += 1
 
 
-def _package(body: bytes | None) -> list[tuple]:
-    """Rows (part, node, parent, tag, attributes, text, around); a row of tag ``!`` is a fault, ``#`` a part."""
-    none: dict = {}
-    fault = lambda why, part=None: (part, None, None, "!", none, why, none)
+def _package(body: bytes | None, tags: frozenset[str] | None = None) -> list[tuple]:
+    """Rows (part, node, parent, tag, attributes, text, what is around it); a row of tag ``!`` is a fault, ``#`` a part. ``tags``: only these elements."""
+    fault = lambda why, part=None: (part, None, None, "!", _NONE, why, *_NOWHERE)
     out: list[tuple] = []
     try:
         with zipfile.ZipFile(io.BytesIO(body or b"")) as z:
@@ -92,14 +103,14 @@ def _package(body: bytes | None) -> list[tuple]:
             for entry in entries:
                 with z.open(entry) as f:
                     content = f.read(entry.file_size + 1)
-                out.append((entry.filename, None, None, "#", {"digest": "sha256:" + hashlib.sha256(content).hexdigest(), "bytes": str(len(content))}, None, none))
+                out.append((entry.filename, None, None, "#", {"digest": "sha256:" + hashlib.sha256(content).hexdigest(), "bytes": str(len(content))}, None, *_NOWHERE))
                 if entry.filename not in READ:
                     continue
                 if b"<!DOCTYPE" in content:
                     out.append(fault("part_declares_type", entry.filename))
                     continue
                 try:
-                    out.extend((entry.filename, *row) for row in _elements(ElementTree.fromstring(content)))
+                    out.extend([(entry.filename, *row) for row in _elements(ElementTree.fromstring(content)) if tags is None or row[2] in tags])
                 except ElementTree.ParseError:
                     out.append(fault("part_malformed", entry.filename))
             out += [fault("part_missing", part) for part in (DOCUMENT, RELATIONS) if part not in names]
@@ -108,24 +119,31 @@ def _package(body: bytes | None) -> list[tuple]:
     return out
 
 
-def shred(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """Parts, elements and faults of packages (columns of NODES)."""
+def shred(files: DataFrame, key: str = "path", content: str = "content", tags: tuple[str, ...] | None = None) -> DataFrame:
+    """Parts, elements and faults of packages (columns of NODES). ``tags``: elements of other tags need not leave the task, as a reader that asks for
+    these alone does not look at them; numbers stay what they are."""
+    wanted = None if tags is None else frozenset(tags)
 
-    def told(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=_COLUMNS).astype(dict.fromkeys(["node", "parent", *_COLUMNS[7:]], "Int32"))
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = {"doc": pa.string(), "part": pa.string(), "tag": pa.string(), "text": pa.string(), "attributes": pa.map_(pa.string(), pa.string())}
+        columns = dict(zip(_COLUMNS, zip(*rows, strict=True), strict=True))
+        columns["attributes"] = [list(m.items()) for m in columns["attributes"]]
+        return pa.record_batch([pa.array(columns[n], kinds.get(n, pa.int32())) for n in _COLUMNS], names=_COLUMNS)
 
-    def run(frames):
+    def run(batches):
         rows: list[tuple] = []
-        for frame in frames:
-            for doc, body in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
-                for part, node, parent, tag, attributes, text, around in _package(body):
-                    rows.append((doc, part, node, parent, tag, attributes, text, *[around.get(c) for c in _COLUMNS[7:]]))
+        for batch in batches:
+            for doc, body in zip(*batch.columns, strict=True):
+                doc = doc.as_py()
+                for row in _package(body.as_py(), wanted):
+                    rows.append((doc, *row))
                     if len(rows) >= BATCH:
                         yield told(rows)
                         rows = []
-        yield told(rows)
+        if rows:
+            yield told(rows)
 
-    return files.select(F.col(key).cast("string").alias("doc"), F.col(content)).mapInPandas(run, NODES)
+    return files.select(F.col(key).cast("string").alias("doc"), F.col(content)).mapInArrow(run, NODES)
 
 
 def _value(name: str = "w:val") -> Column:
@@ -349,6 +367,11 @@ def table_texts(cells: DataFrame) -> DataFrame:
     return rows.groupBy("doc", "tbl").agg(_lines("row_no").alias("text"))
 
 
+#: The elements that ``table_grid`` and ``table_sizes`` look at, and those of ``table_cells``.
+GRID_TAGS = ("w:body", "w:tbl", "w:tr", "w:tc", "w:gridSpan", "w:vMerge")
+CELL_TAGS = (*GRID_TAGS, "w:p", "w:t")
+
+
 def table_sizes(nodes: DataFrame) -> DataFrame:
     """doc, tables, rows, cells, nested of all tables of a document, nested ones included."""
     own = nodes.filter(F.col("part") == DOCUMENT)
