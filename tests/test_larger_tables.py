@@ -3,8 +3,13 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from factloom.operators import graph as G
+from factloom.operators import knowledge as K
 from factloom.operators import navigation as N
 from factloom.sources import blocks as B
+from factloom.sources import docx as D
 
 
 def plan(df):
@@ -53,3 +58,24 @@ def test_navigator_needs_no_python_for_each_query(spark):
     want = [(q, *line) for q in weights for line in walk([v[1:] for v in visits if v[0] == q], weights[q], 0.8, 10, 120)]
     assert sorted(tuple(r) for r in trace.collect()) == want
     assert "Pandas" not in plan(trace)
+
+
+def test_elements_that_are_not_asked_for_stay_in_the_task(spark):
+    body = D.write_package("<w:p><w:r><w:t>a</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p><w:tbl><w:tr><w:tc/></w:tr></w:tbl></w:tc></w:tr></w:tbl>")
+    files = spark.createDataFrame([("x", body), ("y", None)], "path string, content binary")
+    whole, few, cells = (D.shred(files, **more) for more in ({}, {"tags": D.GRID_TAGS}, {"tags": D.CELL_TAGS}))
+    assert "MapInPandas" not in plan(few) and 0 < few.count() < cells.count() < whole.count()
+    assert few.filter("tag = '!'").collect()[0]["text"] == "no_package"
+    assert sorted(D.table_sizes(few).collect()) == sorted(D.table_sizes(whole).collect()) == [("x", 2, 2, 2, 1)]
+    assert sorted(D.table_cells(cells).collect()) == sorted(D.table_cells(whole).collect())
+
+
+def test_pairs_are_counted_by_all_tasks_and_logs_are_not_broadcast(spark):
+    claims = spark.createDataFrame([(k, f"red bolt word{k}") for k in range(50)], "claim_id int, text string").coalesce(1)
+    found = G.claim_query(claims, spark.createDataFrame([(1, "red bolt word7"), (2, "none")], "item_id int, text string"), 3)
+    assert sorted((r.item_id, r.claim_id, r.score, r["rank"]) for r in found.collect()) == [(1, 0, 2, 2), (1, 1, 2, 3), (1, 7, 3, 1)]
+    assert "RepartitionByExpression [claim_id" in plan(found)
+    log = spark.createDataFrame([(g, s) for g in range(3) for s in range(1, 9)], "g int, s int")
+    kept = K.replay(log, "g", "s", F.nullif(F.floor(F.col("s") / 2).cast("int"), F.lit(0)))
+    assert sorted(tuple(r) for r in kept.collect()) == [(g, s) for g in range(3) for s in (1, 2, 4, 8)]
+    assert "strategy=merge" in plan(kept)
