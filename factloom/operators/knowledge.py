@@ -15,19 +15,19 @@ def replay(log: DataFrame, group: str, sequence: str, parent: Column, rounds: in
 
     An added row's parent is the row before it, a rollback's is the row it restores. The chain is followed by
     pointer doubling: 2**r ancestors after r joins, whatever the length of the log. ``parent`` gives the parent's
-    sequence, null at the start.
+    sequence, null at the start. Every join is a merge: a broadcast in each round would pass the log through the driver.
     """
     rows = log.select(group, F.col(sequence).alias("s"), parent.alias("p"))
     last = rows.groupBy(group).agg(F.max("s").alias("s"))
     jump, active = checkpointed(rows.filter("p is not null").select(group, "s", "p")), last
     for _ in range(rounds):
-        more = active.join(jump, [group, "s"]).select(group, F.col("p").alias("s"))
+        more = active.join(jump.hint("merge"), [group, "s"]).select(group, F.col("p").alias("s"))
         grown = checkpointed(active.unionByName(more).distinct())
-        step = jump.alias("a").join(jump.select(F.col(group).alias("g"), F.col("s").alias("t"), F.col("p").alias("q")).alias("b"), (F.col(f"a.{group}") == F.col("b.g")) & (F.col("a.p") == F.col("b.t"))).select(F.col(f"a.{group}").alias(group), F.col("a.s").alias("s"), F.col("b.q").alias("p"))
+        step = jump.alias("a").join(jump.select(F.col(group).alias("g"), F.col("s").alias("t"), F.col("p").alias("q")).hint("merge").alias("b"), (F.col(f"a.{group}") == F.col("b.g")) & (F.col("a.p") == F.col("b.t"))).select(F.col(f"a.{group}").alias(group), F.col("a.s").alias("s"), F.col("b.q").alias("p"))
         jump, active = checkpointed(step), grown
         if not jump.limit(1).count():
             break
-    return log.join(active.withColumnRenamed("s", sequence), [group, sequence], "left_semi")
+    return log.join(active.withColumnRenamed("s", sequence).hint("merge"), [group, sequence], "left_semi")
 
 
 def status(entries: DataFrame, group: str, version: str) -> DataFrame:
