@@ -59,9 +59,10 @@ def search(claims: DataFrame, prompts: DataFrame, limit: int, citations: DataFra
             found = found.join(cited, ["item_id", *R.BLOCK], "full_outer").fillna(0, ["overlap", "cited"])
         found = found.join(small(need), "item_id").withColumn("may", F.col("overlap") >= F.col("need")).drop("need")
     found = checkpointed(found.withColumn("cited", F.lit(0).cast("long")) if citations is None else found)
-    texts = blocks.select(*R.BLOCK, T.t3_text(F.col("text")).alias("normal"))
+    near = small(found.filter("may").select("item_id", *R.BLOCK))
     said = small(prompts.select("item_id", T.t3_text(F.col("text")).alias("prompt")))
-    close = found.filter("may").join(said, "item_id").join(texts, R.BLOCK).filter(F.col("normal").contains(F.col("prompt")))
+    texts = near.join(blocks, R.BLOCK).select("item_id", *R.BLOCK, T.t3_text(F.col("text")).alias("normal"))
+    close = small(checkpointed(texts.join(said, "item_id").filter(F.col("normal").contains(F.col("prompt")))))
     close = close.select("item_id", *R.BLOCK, (F.col("normal") == F.col("prompt")).cast("int").alias("exact"), F.lit(1).alias("within"))
     rows = found.join(close, ["item_id", *R.BLOCK], "left").fillna(0, ["exact", "within"])
     w = Window.partitionBy("item_id").orderBy(F.desc("exact"), F.desc("within"), F.desc("overlap"), F.desc("cited"), *R.BLOCK)
