@@ -94,24 +94,29 @@ def asked_arrays(prompts: DataFrame, terms=T.t1_terms, most: int = 1_000_000) ->
 
 
 def block_index(blocks: DataFrame, asked: Asked, flags: bool) -> DataFrame:
-    """(doc_id, line_no, flags, terms): the asked terms of each block that has any, as their numbers; written once, for all that count or score them."""
+    """(doc_id, line_no, flags, terms): the asked terms of each block that has any, as their numbers; written once, for all that count or score them.
+
+    A block's words leave the JVM as one text and are cut and numbered by Arrow, so no word of the corpus becomes an object.
+    """
     shown = ["digit", "effective", "heading", "chars", "bytes"] if flags else []
-    rows = (block_flags(blocks) if flags else blocks).select(*BLOCK, *shown, F.array_distinct(T.words(F.col("text"))).alias("terms"))
+    rows = (block_flags(blocks) if flags else blocks).select(*BLOCK, *shown, T.spaced(F.col("text")).alias("words"))
     wanted = blocks.sparkSession.sparkContext.broadcast(asked.terms)
 
     def number(batches):
         known = pa.array(wanted.value, pa.string())
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
+            lists = pc.split_pattern(batch.column(batch.num_columns - 1), " ")
             ends = lists.offsets.to_numpy()
             place = pc.index_in(lists.values[ends[0] : ends[-1]], value_set=known)
-            hit = place.is_valid().to_numpy(zero_copy_only=False)
-            at = np.concatenate([[0], np.cumsum(hit)])[ends - ends[0]]
-            own = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), place.drop_null().cast(pa.int32()))
-            some = pa.array(np.diff(at) > 0)
-            yield pa.record_batch([*batch.columns[:-1], own], names=batch.schema.names).filter(some)
+            hit = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+            block = np.searchsorted(ends - ends[0], hit, side="right") - 1
+            term = place.drop_null().to_numpy()
+            first = np.sort(np.unique(block * len(known) + term, return_index=True)[1])  # a term once a block, where it came first
+            many = np.bincount(block[first], minlength=batch.num_rows)
+            own = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), pa.array(term[first].astype(np.int32)))
+            yield pa.record_batch([*batch.columns[:-1], own], names=[*batch.schema.names[:-1], "terms"]).filter(pa.array(many > 0))
 
-    return checkpointed(rows.mapInArrow(number, with_fields(rows.drop("terms"), "terms array<int>")))
+    return checkpointed(rows.mapInArrow(number, with_fields(rows.drop("words"), "terms array<int>")))
 
 
 def weighted(index: DataFrame, asked: Asked, documents: int) -> Asked:
@@ -122,11 +127,12 @@ def weighted(index: DataFrame, asked: Asked, documents: int) -> Asked:
     return replace(asked, weights=np.maximum(0.5, np.log1p((documents - frequency + 0.5) / (frequency + 0.5))))
 
 
-def score_index(index: DataFrame, asked: Asked, best: int | None = None, spread: bool = False, bonus: bool = True) -> DataFrame:
+def score_index(index: DataFrame, asked: Asked, best: int | None = None, spread: bool = False, bonus: bool = True, bonused: bool = False) -> DataFrame:
     """(item_id, doc_id, line_no, overlap, score, ...) of every block and prompt that share a term, without a shuffle.
 
     ``bonus`` adds all but the phrase's. ``best``: only what can be among a prompt's ``best`` blocks leaves a batch: its ``best`` of
     the batch (with ``spread``, as many first blocks of documents and as many others) and blocks that may hold the phrase.
+    ``bonused``: only what has a bonus or may hold the phrase leaves a batch.
     """
     held = index.sparkSession.sparkContext.broadcast(asked)
     extra = "numeric_bonus double, effective_bonus double, factor double, chars int, bytes int" if bonus else ""
@@ -143,9 +149,15 @@ def score_index(index: DataFrame, asked: Asked, best: int | None = None, spread:
             block = np.repeat(np.repeat(np.arange(batch.num_rows), np.diff(ends)), count)
             total = int(count.sum())
             place = np.repeat(own.starts[term] - (np.cumsum(count) - count), count) + np.arange(total)
-            pair, at = np.unique(block * many + own.prompts[place], return_inverse=True)
-            overlap = np.bincount(at, minlength=len(pair))
-            value = np.bincount(at, weights=np.repeat(own.weights[term], count), minlength=len(pair))
+            at, weight = block * many + own.prompts[place], np.repeat(own.weights[term], count)
+            dense = batch.num_rows * many <= 1_000_000 + 8 * total
+            if dense:  # a place for each block and prompt, so that nothing is sorted
+                overlap = np.bincount(at, minlength=batch.num_rows * many)
+                pair = np.flatnonzero(overlap)
+                overlap, value = overlap[pair], np.bincount(at, weights=weight, minlength=batch.num_rows * many)[pair]
+            else:
+                pair, at = np.unique(at, return_inverse=True)
+                overlap, value = np.bincount(at, minlength=len(pair)), np.bincount(at, weights=weight, minlength=len(pair))
             block, item = pair // many, pair % many
             may = overlap >= own.need[item]
             more = []
@@ -155,13 +167,19 @@ def score_index(index: DataFrame, asked: Asked, best: int | None = None, spread:
                 value = (value + more[0] + more[1]) * more[2]
             value = np.floor(value * 1e6 + 0.5) / 1e6
             keep = np.arange(len(pair))
-            if best is not None and not batch.column(0).null_count:
+            if bonused:
+                keep = np.flatnonzero(may | (more[0] + more[1] > 0))
+            elif best is not None and not batch.column(0).null_count:
                 doc, line = (np.unique(batch.column(k).to_numpy(zero_copy_only=False), return_inverse=True)[1][block] for k in (0, 1))
-                later = np.zeros(len(pair), bool)
+                later, own_rank = np.zeros(len(pair), bool), keep
+                if dense and not spread and batch.num_rows > best:  # what is below a prompt's best of the batch is not put in order
+                    table = np.full(batch.num_rows * many, -np.inf)
+                    table[pair] = value
+                    own_rank = np.flatnonzero(value >= np.partition(table.reshape(batch.num_rows, many), -best, axis=0)[-best][item])
                 if spread:
                     order = np.lexsort((line, -value, doc, item))
                     later[order[1:]] = (item[order][1:] == item[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-                order = np.lexsort((line, doc, -value, later, item))
+                order = own_rank[np.lexsort(tuple(x[own_rank] for x in (line, doc, -value, later, item)))]
                 group = item[order] * 2 + later[order]
                 head = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else group
                 rank = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
@@ -200,24 +218,23 @@ def bonuses(scored: DataFrame, blocks: DataFrame, prompts: DataFrame) -> DataFra
 
 
 def with_phrase(scored: DataFrame, blocks: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Adds the phrase's bonus; only pairs that may hold it meet their texts."""
-    near = scored.filter("may").select("item_id", *BLOCK)
+    """Adds the phrase's bonus; only pairs that may hold it meet their texts, and where these are counted to be few, they go to the texts."""
+    near = small(scored.filter("may").select("item_id", *BLOCK))
     phrase = prompts.select("item_id", T.t3_text(F.col("text")).alias("phrase"))
-    held = near.join(small(phrase), "item_id").join(blocks.select(*BLOCK, "text"), BLOCK).filter(T.t3_text(F.col("text")).contains(F.col("phrase"))).select("item_id", *BLOCK, F.lit(10.0).alias("phrase_bonus"))
-    out = scored.join(held, ["item_id", *BLOCK], "left").withColumn("phrase_bonus", F.coalesce("phrase_bonus", F.lit(0.0)))
+    held = near.join(blocks.select(*BLOCK, "text"), BLOCK).join(small(phrase), "item_id").filter(T.t3_text(F.col("text")).contains(F.col("phrase"))).select("item_id", *BLOCK, F.lit(10.0).alias("phrase_bonus"))
+    out = scored.join(small(checkpointed(held)), ["item_id", *BLOCK], "left").withColumn("phrase_bonus", F.coalesce("phrase_bonus", F.lit(0.0)))
     return out.withColumn("score", F.round(F.col("score") + F.col("phrase_bonus") * F.col("factor"), 6)).drop("may", "factor")
 
 
-def ranked(blocks: DataFrame, prompts: DataFrame, documents: int, best: int | None = None, spread: bool = False) -> DataFrame:
-    """Scores with bonuses over the whole corpus: N is its documents, f its blocks with a term. ``best``: at least each prompt's ``best``."""
+def ranked(blocks: DataFrame, prompts: DataFrame, documents: int, best: int | None = None, spread: bool = False, bonused: bool = False) -> DataFrame:
+    """Scores with bonuses over the whole corpus: N is its documents, f its blocks with a term. ``best``: at least each prompt's ``best``. ``bonused``: at least the pairs with a bonus."""
     few = asked_arrays(prompts)
     if few is None:
         asked = prompt_terms(prompts)
         shown = ["digit", "effective", "heading", "chars", "bytes"]
         return bonuses(_scored(asked_terms(blocks, asked, True), asked, documents, shown), blocks, prompts)
     index = block_index(blocks, few, True)
-    scored = score_index(index, weighted(index, few, documents), best, spread)
-    return with_phrase(checkpointed(scored) if best is not None else scored, blocks, prompts)
+    return with_phrase(checkpointed(score_index(index, weighted(index, few, documents), best, spread, bonused=bonused)), blocks, prompts)
 
 
 def top_blocks(scored: DataFrame, k: int) -> DataFrame:
@@ -308,7 +325,7 @@ def packed(blocks: DataFrame, prompts: DataFrame, documents: int, k: int) -> Dat
         return packed_blocks(ranked(blocks, prompts, documents), k)
     index = block_index(blocks, few, True)
     few = weighted(index, few, documents)
-    rest = lambda left: with_phrase(score_index(index, few).join(small(left), "item_id", "left_semi"), blocks, prompts)
+    rest = lambda left: with_phrase(checkpointed(score_index(index, few).join(small(left), "item_id", "left_semi")), blocks, prompts)
     return packed_blocks(with_phrase(checkpointed(score_index(index, few, LOOK)), blocks, prompts), k, rest=rest)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.operators import graph as G
 from factloom.operators import knowledge as K
 from factloom.operators import navigation as N
+from factloom.operators import retrieval as R
 from factloom.sources import blocks as B
 from factloom.sources import docx as D
 
@@ -79,3 +80,28 @@ def test_pairs_are_counted_by_all_tasks_and_logs_are_not_broadcast(spark):
     kept = K.replay(log, "g", "s", F.nullif(F.floor(F.col("s") / 2).cast("int"), F.lit(0)))
     assert sorted(tuple(r) for r in kept.collect()) == [(g, s) for g in range(3) for s in (1, 2, 4, 8)]
     assert "strategy=merge" in plan(kept)
+
+
+def test_scores_meet_few_texts_and_no_word_is_an_object(spark, monkeypatch):
+    rng, words = random.Random(5), ["fee", "Water", "effective", "7", "the", "pump", "Bau", "x_y", "ǅungla"]
+    rows = [(k, n, " ".join(rng.choices(words, k=rng.randint(1, 7)))) for k in range(60) for n in range(4)]
+    blocks = spark.createDataFrame(rows, "doc_id long, line_no int, text string").coalesce(2)
+    prompts = spark.createDataFrame([(1, "water pump bau fee"), (2, "fee 7 pump bau"), (3, "bau pump the water 7"), (4, "none")], "item_id int, text string")
+    written, whole = [], R.checkpointed
+    monkeypatch.setattr(R, "checkpointed", lambda df: written.append(plan(df)) or whole(df))
+    every = R.ranked(blocks, prompts, 60)
+    assert "regexp_extract_all" not in written[0] and "strategy=broadcast" in plan(every)
+    some = R.ranked(blocks, prompts, 60, bonused=True)
+    bonus = "phrase_bonus + numeric_bonus + effective_bonus > 0"
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+    assert got(some.filter(bonus)) == got(every.filter(bonus)) and 0 < some.count() < every.count()
+    assert got(R.top_blocks(R.ranked(blocks, prompts, 60, 3), 3)) == got(R.top_blocks(every, 3))
+    monkeypatch.setattr(R, "asked_arrays", lambda *_: None)  # joins, with the same results
+    assert got(R.ranked(blocks, prompts, 60).select(every.columns)) == got(every)
+
+
+def test_found_claims_meet_their_texts_where_these_lie(spark):
+    claims = spark.createDataFrame([(k, 0, f"red bolt word{k}") for k in range(50)], "entry_id long, claim_id int, text string")
+    found = K.search(claims, spark.createDataFrame([(1, "bolt word7"), (2, "red bolt word9")], "item_id int, text string"), 2)
+    assert sorted((r.item_id, r.entry_id, r.exact, r.within, r.hits, r["rank"]) for r in found.collect()) == [(1, 0, 0, 0, 1, 2), (1, 7, 0, 1, 2, 1), (2, 0, 0, 0, 2, 2), (2, 9, 1, 1, 3, 1)]
+    assert "strategy=broadcast" in plan(found)
