@@ -1,10 +1,12 @@
-"""Planning: the sequential navigator over each query's own visits, and runs of plans as folds over their actions."""
+"""Planning: the sequential navigator over each query's own visits, and runs of plans as folds over the visits that may be made."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.graph import checkpointed, spread
+
 # What a requirement's state is worth, by falling precedence of states.
 PRECEDENCE = ["contradictory", "satisfied", "partial", "stale", "disqualified", "missing"]
 WORTH = {"satisfied": 1.0, "partial": 0.5, "contradictory": 0.0, "stale": 0.0, "disqualified": 0.0, "missing": 0.0}
@@ -73,34 +75,48 @@ def run_plans(actions: DataFrame, plans: DataFrame, target: float, budgets: dict
     with the decision ``answer``: enough coverage, every mandatory requirement satisfied, and all gates open for the evidence of satisfied
     and partial requirements (of all, if there are none); ``exhausted`` says that a budget is.
 
-    The order matters, so each query is a fold over its own actions, in expressions; its state are arrays by requirement.
+    Only a visit that is made changes what others meet, so the fold of a query, in expressions, takes the visits that may still be made:
+    not behind a rejection of their branch, nor behind a visit of it that needs no more. It keeps what each visit leaves behind, no more
+    entries than the budgets allow; every action then looks up the state that it met, and replans are counted. So no state grows with the actions.
     """
     missing = len(PRECEDENCE) - 1
     rank = F.create_map(*[F.lit(x) for k, s in enumerate(PRECEDENCE) for x in (s, k)])
     worth = F.array(*[F.lit(WORTH[s]) for s in PRECEDENCE])
-    shape = "struct<step:int,action:string,node:string,result:string,coverage:double,gain:double,version:int,decision:string>"
-    listed = actions.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("step", "action", "node", "tokens", "seconds", "events", "targets"))).alias("actions"))
-    rows = listed.join(plans.filter("problem is null"), "query_id")
+    sound = plans.filter("problem is null")
+    asks = ["step", "action", "node", "tokens", "seconds", "events", "targets"]
+    run, branch = Window.partitionBy("query_id"), Window.partitionBy("query_id", "node")
+    own = actions.select("query_id", *asks).withColumn("at", F.row_number().over(run.orderBy(*asks))).join(sound.select("query_id", "ids"), "query_id")
+    known = F.forall("events", lambda e: F.array_contains("ids", e["requirement"]) & rank[e["status"]].isNotNull())
+    odd = (F.col("action") == "visit") & F.coalesce((F.col("tokens") < 0) | (F.col("seconds") < 0), F.lit(True))
+    own = own.withColumns({"known": F.coalesce(known, F.lit(True)), "odd": F.max(odd).over(run)}).withColumn("tries", (F.col("action") == "visit") & F.col("known"))
+    own = own.withColumn("refused", F.min(F.when(F.coalesce(F.col("action") == "reject", F.lit(True)) & F.col("node").isNotNull(), F.col("at"))).over(branch))
+    before = Window.partitionBy("query_id", "node", "seconds").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    least = F.min(F.when(F.col("tries"), F.col("tokens"))).over(before)
+    new = F.coalesce(F.col("at") < F.col("refused"), F.lit(True)) & (F.col("odd") | F.col("node").isNull() | least.isNull() | (F.col("tokens") < least))
+    own = checkpointed(own.withColumn("least", least).withColumn("tries", F.coalesce(F.col("tries") & new, F.lit(False))).drop("odd", "least"))
     every = lambda value: F.transform("ids", lambda _: F.lit(value))
-    none = F.array().cast("array<string>")
-    state = F.struct(none.alias("visited"), none.alias("rejected"), *[F.lit(budgets[b]).cast("long").alias(b) for b in BUDGETS], every(missing).alias("ranks"), every(False).alias("seen"), *[every(True).alias(g) for g in ("g_provenance", "g_citation", "g_fresh", "g_trusted")], F.lit(1).alias("version"), F.lit(0.0).alias("coverage"), F.lit(False).alias("stopped"), F.array().cast(f"array<{shape}>").alias("out"))
+    listed = own.filter("tries").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "node", "tokens", "seconds", "events"))).alias("visits"))
+    listed = spread(listed, "query_id").join(sound, "query_id")
+    gates = ("g_provenance", "g_citation", "g_fresh", "g_trusted")
+    left = [F.lit(budgets[b]).cast("long").alias(b) for b in BUDGETS[:4]]
+    shape = "struct<at:int,node:string,depth:bigint,nodes:bigint,tokens:bigint,seconds:bigint,ranks:array<int>,coverage:double,gain:double,stopped:boolean,decision:string>"
+    state = F.struct(F.array().cast("array<string>").alias("visited"), *left, every(missing).alias("ranks"), every(False).alias("seen"), *[every(True).alias(g) for g in gates], F.lit(0.0).alias("coverage"), F.lit(False).alias("stopped"), F.array().cast(f"array<{shape}>").alias("out"))
 
     def let(value: Column, body) -> Column:
         return F.transform(F.array(value), body)[0]
 
     def of(now: Column, **change: Column) -> Column:
-        names = ["visited", "rejected", *BUDGETS, "ranks", "seen", "g_provenance", "g_citation", "g_fresh", "g_trusted", "version", "coverage", "stopped", "out"]
+        names = ["visited", *BUDGETS[:4], "ranks", "seen", *gates, "coverage", "stopped", "out"]
         return F.struct(*[(change[n] if n in change else now[n]).alias(n) for n in names])
 
-    def said(now: Column, x: Column, result: Column | str, gain: Column, decision: Column) -> Column:
-        result = F.lit(result) if isinstance(result, str) else result
-        line = F.struct(x["step"].cast("int").alias("step"), x["action"].alias("action"), x["node"].alias("node"), result.alias("result"), now["coverage"].alias("coverage"), gain.alias("gain"), now["version"].alias("version"), decision.alias("decision"))
-        return of(now, out=F.array_append(now["out"], line))
-
     def decision(now: Column) -> Column:
         spent = F.exists(F.array(*[now[b] for b in BUDGETS[:4]]), lambda left: left <= 0)
         return F.when(now["stopped"], "answer").when(spent, "exhausted").otherwise("continue")
 
+    def noted(now: Column, x: Column, gain: Column) -> Column:
+        entry = F.struct(x["at"].alias("at"), x["node"].alias("node"), *[now[n].alias(n) for n in (*BUDGETS[:4], "ranks", "coverage")], gain.alias("gain"), now["stopped"].alias("stopped"), decision(now).alias("decision"))
+        return of(now, out=F.array_append(now["out"], entry.cast(shape)))
+
     def visit(now: Column, x: Column) -> Column:
         mine = lambda i: F.filter(x["events"], lambda e: e["requirement"] == F.col("ids")[i])
         best = lambda events: F.array_min(F.transform(events, lambda e: F.when(e["contradicts"], 0).otherwise(rank[e["status"]])))
@@ -117,17 +133,27 @@ def run_plans(actions: DataFrame, plans: DataFrame, target: float, budgets: dict
             met = F.forall(F.zip_with("mandatory", s["ranks"], lambda m, r: ~m | (r == 1)), lambda ok: ok)
             return let(F.round(found / total, 12), lambda share: of(s, coverage=share, stopped=(share >= target) & met & open_))
 
-        return let(let(after, judged), lambda s: said(s, x, "visited", F.round(s["coverage"] - now["coverage"], 12), decision(s)))
+        return let(let(after, judged), lambda s: noted(s, x, F.round(s["coverage"] - now["coverage"], 12)))
+
+    def spent(now: Column, x) -> Column:
+        return F.coalesce((now["depth"] <= 0) | (now["nodes"] <= 0) | (x["tokens"] > now["tokens"]) | (x["seconds"] > now["seconds"]), F.lit(False))
 
     def step(now: Column, x: Column) -> Column:
-        known = F.forall(x["events"], lambda e: F.array_contains("ids", e["requirement"]) & rank[e["status"]].isNotNull())
-        visiting = F.when(F.array_contains(now["visited"], x["node"]), "visited_before").when(F.array_contains(now["rejected"], x["node"]), "rejected_before").when((now["depth"] <= 0) | (now["nodes"] <= 0) | (x["tokens"] > now["tokens"]) | (x["seconds"] > now["seconds"]), "budget").when(~known, "evidence_unknown")
-        settled = F.transform(F.filter(F.zip_with("ids", now["ranks"], lambda k, r: F.struct(k.alias("k"), r.alias("r"))), lambda p: p["r"] == 1), lambda p: p["k"])
-        planning = F.when(now["replans"] <= 0, "budget").when((F.size(x["targets"]) == 0) | (F.size(F.array_except(x["targets"], F.array_except("ids", settled))) > 0), "targets")
-        why = F.when(now["stopped"], "stopped").when(x["action"] == "visit", visiting).when(x["action"] == "replan", planning).when((x["action"] == "reject") & F.array_contains(now["visited"], x["node"]), "visited_before").when(~x["action"].isin("visit", "replan", "reject"), "action")
-        still = F.lit(0.0)
-        plain = F.when(x["action"] == "replan", let(of(now, replans=now["replans"] - 1, version=now["version"] + 1), lambda s: said(s, x, "replanned", still, decision(s)))).otherwise(let(of(now, rejected=F.array_union(now["rejected"], F.array(x["node"]))), lambda s: said(s, x, "rejected", still, decision(s))))
-        return let(why, lambda w: F.when(w.isNotNull(), said(now, x, w, still, decision(now))).when(x["action"] == "visit", visit(now, x)).otherwise(plain))
-
-    done = rows.select("query_id", F.explode(F.aggregate("actions", state, step, lambda s: s["out"])).alias("x"))
-    return done.select("query_id", "x.*")
+        return F.when(now["stopped"] | F.coalesce(F.array_contains(now["visited"], x["node"]), F.lit(False)) | spent(now, x), now).otherwise(visit(now, x))
+
+    made = checkpointed(listed.select("query_id", F.aggregate("visits", state, step, lambda s: s["out"]).alias("made")))
+    fresh = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("node"), *left, every(missing).alias("ranks"), F.lit(0.0).alias("coverage"), F.lit(0.0).alias("gain"), F.lit(False).alias("stopped"), F.lit("exhausted" if min(budgets[b] for b in BUDGETS[:4]) <= 0 else "continue").alias("decision")).cast(shape)
+    met = own.drop("events").join(made, "query_id", "left").withColumn("made", F.coalesce("made", F.array().cast(f"array<{shape}>")))
+    met = met.withColumn("past", F.filter("made", lambda e: e["at"] < F.col("at"))).withColumn("now", F.coalesce(F.try_element_at("past", F.lit(-1)), fresh))
+    met = met.withColumn("done", F.try_element_at(F.filter("made", lambda e: e["at"] == F.col("at")), F.lit(1))).withColumn("again", F.exists("past", lambda e: F.coalesce(e["node"] == F.col("node"), F.lit(False))))
+    now, action = F.col("now"), F.col("action")
+    settled = F.transform(F.filter(F.zip_with("ids", now["ranks"], lambda k, r: F.struct(k.alias("k"), r.alias("r"))), lambda p: p["r"] == 1), lambda p: p["k"])
+    aimless = F.coalesce((F.size("targets") == 0) | (F.size(F.array_except("targets", F.array_except("ids", settled))) > 0), F.lit(False))
+    met = met.withColumn("plans", F.coalesce((action == "replan") & ~now["stopped"] & ~aimless, F.lit(False))).drop("made", "past")
+    tried, most = F.sum(F.col("plans").cast("int")).over(run.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)), max(budgets["replans"], 0)
+    met = met.withColumn("tried", tried)
+    visiting = F.when(F.col("done").isNotNull(), "visited").when(F.col("again"), "visited_before").when(F.col("refused") < F.col("at"), "rejected_before").when(spent(now, {c: F.col(c) for c in ("tokens", "seconds")}), "budget").otherwise("evidence_unknown")
+    planning = F.when(F.col("tried") - F.col("plans").cast("int") >= most, "budget").when(F.col("plans"), "replanned").otherwise("targets")
+    result = F.when(now["stopped"], "stopped").when(action == "visit", visiting).when(action == "replan", planning).when((action == "reject") & F.col("again"), "visited_before").when(~action.isin("visit", "replan", "reject"), "action").otherwise("rejected")
+    after = F.coalesce("done", "now")
+    return met.select("query_id", F.col("step").cast("int").alias("step"), "action", "node", result.alias("result"), after["coverage"].alias("coverage"), F.coalesce(F.col("done.gain"), F.lit(0.0)).alias("gain"), (F.least(F.col("tried").cast("int"), F.lit(most)) + 1).alias("version"), after["decision"].alias("decision"))

@@ -105,3 +105,25 @@ def test_found_claims_meet_their_texts_where_these_lie(spark):
     found = K.search(claims, spark.createDataFrame([(1, "bolt word7"), (2, "red bolt word9")], "item_id int, text string"), 2)
     assert sorted((r.item_id, r.entry_id, r.exact, r.within, r.hits, r["rank"]) for r in found.collect()) == [(1, 0, 0, 0, 1, 2), (1, 7, 0, 1, 2, 1), (2, 0, 0, 0, 2, 2), (2, 9, 1, 1, 3, 1)]
     assert "strategy=broadcast" in plan(found)
+
+
+def test_the_state_of_a_run_does_not_grow_with_its_actions(spark, monkeypatch):
+    event = "array(named_struct('requirement', 'r0', 'status', 'partial', 'provenance', true, 'citation', true, 'fresh', true, 'trusted', true, 'contradicts', false))"
+    actions = spark.range(1, 401).selectExpr("'q' query_id", "cast(id as int) step", "case when id % 9 = 0 then 'replan' when id = 5 then 'reject' else 'visit' end action", "cast(id % 10 as string) node", "1 tokens", "1 seconds", f"{event} events", "array('r0') targets")
+    need = spark.createDataFrame([("q", "r0", 1.0, True, False, True)], "query_id string, requirement string, weight double, mandatory boolean, citation_required boolean, provenance_required boolean")
+    written, whole = [], N.checkpointed
+    monkeypatch.setattr(N, "checkpointed", lambda df: written.append(whole(df)) or written[-1])
+    runs = N.run_plans(actions, N.requirement_plan(need), 0.8, {"depth": 50, "nodes": 50, "tokens": 5000, "seconds": 60, "replans": 3})
+    results = [r.result for r in runs.orderBy("step").collect()]
+    seen, replans, want = set(), 0, []
+    for k in range(1, 401):
+        if k % 9 == 0:
+            want.append("replanned" if replans < 3 else "budget")
+            replans += 1
+        elif k == 5:
+            want.append("rejected")
+        else:
+            want.append("visited_before" if k % 10 in seen else "rejected_before" if k % 10 == 5 and k > 5 else "visited")
+            seen |= {k % 10} if want[-1] == "visited" else set()
+    assert results == want
+    assert written[0].filter("tries").count() == len(written[1].first()["made"]) == 9
