@@ -28,9 +28,13 @@ def strict_files(spark: SparkSession, path: str, most: int = 4 << 20) -> DataFra
     Spark lists and deals out the files, wherever they are; files over ``most`` bytes are not read (``too_large``), and neither a
     repeated key nor a number that is none is let through.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return strict_contents(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), most)
+
+
+def strict_contents(files: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """The same of files that lie in a table (path, length, content): many small ones cost neither a listing nor an opening each."""
     whole = F.when(F.col("length") <= most, F.col("content"))
-    found = rows.select("path", F.col("length").alias("bytes"), F.concat(F.lit("sha256:"), F.sha2(whole, 256)).alias("digest"), _strict(whole).alias("j"))
+    found = files.select("path", F.col("length").alias("bytes"), F.concat(F.lit("sha256:"), F.sha2(whole, 256)).alias("digest"), _strict(whole).alias("j"))
     return found.select("path", "bytes", "digest", "j.problem", "j.canonical")
 
 

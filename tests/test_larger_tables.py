@@ -11,6 +11,7 @@ from factloom.operators import navigation as N
 from factloom.operators import retrieval as R
 from factloom.sources import blocks as B
 from factloom.sources import docx as D
+from factloom.sources import scans as C
 
 
 def plan(df):
@@ -127,3 +128,13 @@ def test_the_state_of_a_run_does_not_grow_with_its_actions(spark, monkeypatch):
             seen |= {k % 10} if want[-1] == "visited" else set()
     assert results == want
     assert written[0].filter("tries").count() == len(written[1].first()["made"]) == 9
+
+
+def test_small_files_are_scanned_in_a_table(spark, tmp_path):
+    bodies = ['{"b": 1, "a": [2]}\n', '{"a": 1, "a": 2}', '{"a": NaN}', "[1]", "{", '{"long": "' + "x" * 99 + '"}']
+    for k, body in enumerate(bodies):
+        (tmp_path / f"{k}.json").write_text(body)
+    table = spark.createDataFrame([(f"{k}.json", len(body), body.encode()) for k, body in enumerate(bodies)], "path string, length long, content binary")
+    got = lambda df: sorted((r.path.rsplit("/", 1)[-1], *r[1:]) for r in df.collect())
+    assert got(C.strict_contents(table, 100)) == got(C.strict_files(spark, str(tmp_path), 100))
+    assert [r[3] for r in got(C.strict_contents(table, 100))] == [None, "repeated_key", "non_finite", "not_an_object", "malformed", "too_large"]
