@@ -29,8 +29,8 @@ def sampling_policy(claims: DataFrame, group: str, most: int) -> DataFrame:
     return counts.withColumn("policy_digest", T.digest(F.col(group), F.col("claims"), F.col("quota")))
 
 
-def tiered_sample(claims: DataFrame, quotas: DataFrame, group: str) -> DataFrame:
-    """(group, claim, tier, reason, ordinal): ``quota`` claims of each group by cascaded tiers.
+def tiered_sample(claims: DataFrame, quotas: DataFrame | int, group: str) -> DataFrame:
+    """(group, claim, tier, reason, ordinal): ``quota`` claims of each group by cascaded tiers; a number is the quota of every group with as many claims.
 
     claims: group, claim, ordinal_no (place in its group), size, block_type, digest, binding_risk, duplicate, fragment. Each tier takes what the tiers before
     it left of the quota: all its claims in its own order if they fit, else those of the least digests; a claim is taken once.
@@ -38,28 +38,33 @@ def tiered_sample(claims: DataFrame, quotas: DataFrame, group: str) -> DataFrame
     claim for each block type that none of these has (least digest, types in order of appearance); the rest by digest. A
     group that has no more claims than its quota gives them all, in their order, as a fill.
 
-    Only keys, digests and flags are ranked: the texts stay where they are.
+    Only keys, digests and flags are ranked: the texts stay where they are. All windows are dealt by the group, so claims that are dealt so are
+    not shuffled again, and a window that needs no order comes after one whose order will do.
     """
     whole, place = Window.partitionBy(group), Window.partitionBy(group).orderBy("ordinal_no")
-    first = lambda *by: F.row_number().over(Window.partitionBy(group).orderBy(*by, "digest", "claim")) == 1
-    rows = claims.join(quotas.select(group, "quota"), group).withColumn("n", F.count("*").over(whole)).withColumn("k", F.row_number().over(place) - 1)
+    rows = claims.filter(F.col(group).isNotNull()) if isinstance(quotas, int) else claims.join(quotas.select(group, "quota"), group)
+    first = lambda size: F.min(F.struct(size.alias("size"), "digest", "claim")).over(whole)
+    rows = rows.withColumn("k", F.row_number().over(place) - 1).withColumns({"n": F.count("*").over(whole), "long": first(-F.col("size")), "short": first(F.col("size"))})
+    if isinstance(quotas, int):
+        rows = rows.withColumn("quota", F.least(F.col("n"), F.lit(quotas)))
+    own_claim = lambda c: (F.col(f"{c}.digest") == F.col("digest")) & (F.col(f"{c}.claim") == F.col("claim"))
+    rows = rows.withColumns({"longest": own_claim("long"), "shortest": own_claim("short")}).drop("long", "short")
     middle = F.floor((F.col("n") - 1) / 2)
-    rows = rows.withColumn("longest", first(F.desc("size"))).withColumn("shortest", first("size"))
     own = F.when(F.col("binding_risk"), 0).when(F.col("duplicate"), 1).when(F.col("fragment"), 2).when((F.col("k") == 0) | (F.col("k") == middle) | (F.col("k") == F.col("n") - 1), 3).when(F.col("longest") | F.col("shortest"), 4).otherwise(6)
     listed = F.when(own == 3, F.col("k")).when(own == 4, F.when(F.col("longest"), 0).otherwise(1)).otherwise(0)
-    rows = rows.withColumn("tier", own).withColumn("listed", listed.cast("long"))
+    rows = rows.withColumn("tier", own).withColumn("listed", listed.cast("long")).drop("longest", "shortest", "binding_risk", "duplicate", "fragment")
     # Tiers 0 to 4 as far as the quota goes, then the types that they do not have.
     early = F.row_number().over(Window.partitionBy(group).orderBy("tier", "digest", "claim"))
     rows = rows.withColumn("taken", (F.col("tier") < 5) & (early <= F.col("quota")))
     of_type = Window.partitionBy(group, "block_type")
+    rows = rows.withColumn("stands", F.row_number().over(of_type.orderBy(F.col("taken"), "digest", "claim")) == 1)
     rows = rows.withColumn("covered", F.max(F.col("taken").cast("int")).over(of_type) == 1).withColumn("seen", F.min("k").over(of_type))
-    stands = F.row_number().over(of_type.orderBy(F.col("taken"), "digest", "claim")) == 1
-    rows = rows.withColumn("represents", ~F.col("covered") & stands)
-    rows = rows.withColumns({"tier": F.when(F.col("represents") & (F.col("tier") == 6), 5).otherwise(F.col("tier")), "listed": F.when(F.col("represents") & (F.col("tier") == 6), F.col("seen")).otherwise(F.col("listed"))})
+    represents = ~F.col("covered") & F.col("stands") & (F.col("tier") == 6)
+    rows = rows.withColumns({"tier": F.when(represents, 5).otherwise(F.col("tier")), "listed": F.when(represents, F.col("seen")).otherwise(F.col("listed"))})
     # What is left for a tier: the quota without the tiers before it.
-    tier = Window.partitionBy(group, "tier")
-    before = Window.partitionBy(group).orderBy("tier").rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("left", F.col("quota") - F.coalesce(F.count("*").over(before), F.lit(0))).withColumn("many", F.count("*").over(tier))
+    rows = rows.withColumn("counts", F.array(*[F.count_if(F.col("tier") == k).over(whole) for k in range(len(TIERS))]))
+    before = F.aggregate(F.slice("counts", 1, F.col("tier")), F.lit(0).cast("long"), lambda total, x: total + x)
+    rows = rows.withColumn("left", F.col("quota") - before).withColumn("many", F.element_at("counts", F.col("tier") + 1)).drop("counts")
     order = F.when(F.col("n") <= F.col("quota"), F.col("k")).when(F.col("many") <= F.col("left"), F.col("listed")).otherwise(0)
     lead = F.when(F.col("n") <= F.col("quota"), F.lit(6)).otherwise(F.col("tier"))
     rows = rows.withColumns({"tier": lead, "by": order})

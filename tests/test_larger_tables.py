@@ -3,12 +3,15 @@
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
+from factloom.functions import text as T
 from factloom.operators import graph as G
 from factloom.operators import knowledge as K
 from factloom.operators import navigation as N
 from factloom.operators import retrieval as R
+from factloom.plans import contract
 from factloom.sources import blocks as B
 from factloom.sources import docx as D
 from factloom.sources import scans as C
@@ -138,3 +141,22 @@ def test_small_files_are_scanned_in_a_table(spark, tmp_path):
     got = lambda df: sorted((r.path.rsplit("/", 1)[-1], *r[1:]) for r in df.collect())
     assert got(C.strict_contents(table, 100)) == got(C.strict_files(spark, str(tmp_path), 100))
     assert [r[3] for r in got(C.strict_contents(table, 100))] == [None, "repeated_key", "non_finite", "not_an_object", "malformed", "too_large"]
+
+
+def test_sample_reads_its_lines_once_and_shuffles_them_once(spark, tmp_path):
+    rng = random.Random(5)
+    said = lambda n: "\n".join(rng.choice(["Ab, c", "ab C", "Ab, c", "x.", "# y", "1 | 2", "Käİz", f"Z{rng.randrange(99)}."]) for _ in range(n))
+    spark.createDataFrame([(k, said(k % 30)) for k in range(90)] + [(None, "a\nb"), (91, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = contract.QUERIES["quality_sample"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(duck.sql(contract.ORACLE["quality_sample"]).fetchall())
+    physical = contract.QUERIES["quality_sample"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange ") == 1 and physical.count("FileScan") == 1
+
+
+def test_duplicate_keys_list_words_and_replace_nothing(spark):
+    texts = [None, "", " -", "Ab, c", "  1äBİKßΣσ \n\t2 ", "--x--"]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select(T.t5_text(F.col("text")).alias("key"), F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", " ")).alias("want"))
+    assert all(r.key == r.want for r in rows.collect())
+    assert "regexp_replace" not in plan(rows.select("key"))
