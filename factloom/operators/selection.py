@@ -63,8 +63,10 @@ def restricted_items(blocks: DataFrame, prompts: DataFrame, documents: DataFrame
     closed = documents.filter("restricted").select("doc_id")
     asked = R.prompt_terms(prompts)
     by_name = focused.join(named.join(closed, "doc_id", "left_semi").select("subject").distinct(), "subject", "left_semi").select("item_id")
-    held = blocks.join(closed, "doc_id", "left_semi").select(F.explode(F.array_distinct(T.words(F.col("text")))).alias("term")).distinct()
-    by_term = asked.join(focused.select("item_id").distinct(), "item_id", "left_anti").join(held, "term", "left_semi").select("item_id")
+    unnamed = asked.join(focused.select("item_id").distinct(), "item_id", "left_anti")
+    held = blocks.join(closed, "doc_id", "left_semi").select(F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
+    held = held.join(small(unnamed.select("term").distinct()), "term", "left_semi").distinct()  # few of all words are asked for
+    by_term = unnamed.join(held, "term", "left_semi").select("item_id")
     return by_name.join(asked.select("item_id"), "item_id", "left_semi").unionAll(by_term).distinct()
 
 
@@ -150,7 +152,7 @@ def packed_cohorts(held: DataFrame, blocks: DataFrame, limit: int) -> DataFrame:
     text = F.col("text")
     sizes = blocks.select(*R.BLOCK, F.length(text).cast("long").alias("chars"), F.octet_length(text).cast("long").alias("bytes"))
     place = F.row_number().over(Window.partitionBy("item_id").orderBy("part", *R.BLOCK))
-    rows = held.filter("line_no is not null").join(sizes, R.BLOCK).withColumn("score", -place.cast("double"))
+    rows = small(held.filter("line_no is not null")).join(sizes, R.BLOCK).withColumn("score", -place.cast("double"))
     return R.packed_blocks(rows.select("item_id", *R.BLOCK, "score", "chars", "bytes"), limit, spread_first=False).select("item_id", *R.BLOCK, F.lit(None).cast("double").alias("score"), "position")
 
 
@@ -190,9 +192,12 @@ def query_documents(blocks: DataFrame, prompts: DataFrame, documents: DataFrame,
 
 
 def assignments(blocks: DataFrame, named: DataFrame) -> DataFrame:
-    """(doc_id, line_no, subject, provider): blocks with a sentence that assigns a document's own subject to a provider; the block's first such sentence."""
+    """(doc_id, line_no, subject, provider): blocks with a sentence that assigns a document's own subject to a provider; the block's first such sentence.
+
+    Only blocks with the words of an assignment meet the subjects and are cut.
+    """
     sentences = F.split(F.trim("text"), r"\n+|(?<=[.!?])\s+")
-    stated = blocks.join(named, "doc_id").select("doc_id", "line_no", "subject", F.posexplode(sentences).alias("n", "sentence"))
+    stated = blocks.filter(F.col("text").rlike(T.ASSIGNS)).join(named, "doc_id").select("doc_id", "line_no", "subject", F.posexplode(sentences).alias("n", "sentence"))
     part = lambda k: F.regexp_extract(F.trim("sentence"), T.ASSIGNMENT, k)
     found = stated.filter((part(1) != "") & (F.translate(F.lower(part(1)), "_", " ") == F.col("subject")))
     return found.groupBy("doc_id", "line_no", "subject").agg(F.min_by(F.translate(F.lower(part(2)), "_", " "), "n").alias("provider"))
@@ -217,7 +222,7 @@ def cohort_blocks(blocks: DataFrame, prompts: DataFrame, documents: DataFrame, n
     related = members.join(open_, "doc_id")
     facts = readable.join(named, "doc_id", "left").withColumn("owns", text.rlike(OWNER)).withColumn("bills", text.rlike("[0-9]") & text.rlike(INVOICE_TOLD)).filter("owns or bills")
     by = lambda c: related.select("item_id", c, "owner", "invoice").distinct()
-    told = by("subject").join(facts, "subject").unionByName(by("family").join(facts, "family"), allowMissingColumns=True)
+    told = small(by("subject")).join(facts, "subject").unionByName(small(by("family")).join(facts, "family"), allowMissingColumns=True)
     told = told.filter("(owner and owns) or (invoice and bills)").select("item_id", *R.BLOCK, F.lit(1).alias("part"))
     rows = stated.unionByName(told).groupBy("item_id", *R.BLOCK).agg(F.min("part").alias("part"))
     return asking.select("item_id").join(rows, "item_id", "left").join(providers.select("item_id").distinct().withColumn("resolved", F.lit(True)), "item_id", "left").select("item_id", *R.BLOCK, "part", F.coalesce("resolved", F.lit(False)).alias("resolved"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators import selection as S
+from factloom.operators.graph import checkpointed
 from factloom.plans.contract import PARAGRAPHS, _sql_t1, contract, table
 from factloom.sources import blocks as B
 
@@ -29,12 +30,18 @@ def page_documents(spark, d):
     return rows.select("doc_id", (F.coalesce("toxic", F.lit(0)) == 1).alias("restricted"), (F.coalesce("quality", F.lit(1)) == 1).alias("current"), family.alias("source_id"))
 
 
-def page_prompts(spark, d):
-    heads = page_blocks(spark, d).filter("line_no = 0").select((F.col("doc_id") / 3).alias("item"), F.substring("text", 3, 1000).alias("head")).filter("item = floor(item) and item % 2 = 0")
+def page_prompts(spark, d, blocks: DataFrame):
+    heads = blocks.filter("line_no = 0").select((F.col("doc_id") / 3).alias("item"), F.substring("text", 3, 1000).alias("head")).filter("item = floor(item) and item % 2 = 0")
     rows = table(spark, d, "benchmark").join(heads, F.col("item_id") == F.col("item"), "left")
     return rows.select("item_id", F.when(F.col("head").isNotNull(), F.concat(F.lit("What value does "), "head", F.lit(" give? "), F.substring("text", 1, 40))).otherwise(F.col("text")).alias("text"))
 
 
+def page_tables(spark, d):
+    """(blocks, prompts, documents), written: the selector reads them up to a dozen times, and pages are cut by patterns that cost far more than a read."""
+    blocks = checkpointed(page_blocks(spark, d))
+    return blocks, checkpointed(page_prompts(spark, d, blocks)), checkpointed(page_documents(spark, d))
+
+
 def _flat(x: str) -> str:
     return rf"trim(regexp_replace(replace(lower(coalesce({x}, '')), '_', ' '), '\s+', ' ', 'g'))"
 
@@ -66,13 +73,14 @@ def document_subjects(spark, d):
 
 @contract(f"WITH {_TABLES} SELECT item_id, subject FROM focused")
 def subject_focus(spark, d):
-    return S.focus(page_prompts(spark, d), S.subjects(page_blocks(spark, d)))
+    blocks, prompts, _ = page_tables(spark, d)
+    return S.focus(prompts, S.subjects(blocks))
 
 
 def _focus(spark, d):
-    blocks, prompts = page_blocks(spark, d), page_prompts(spark, d)
-    named = S.subjects(blocks)
-    return blocks, prompts, page_documents(spark, d), named, S.focus(prompts, named)
+    blocks, prompts, documents = page_tables(spark, d)
+    named = checkpointed(S.subjects(blocks))
+    return blocks, prompts, documents, named, S.focus(prompts, named)
 
 
 @contract(f"WITH {_TABLES} SELECT item_id, item_id IN (SELECT item_id FROM shut) AS restricted FROM prompts")
@@ -93,32 +101,33 @@ f AS (SELECT item_id, term, count(*) AS f FROM met GROUP BY ALL), w AS (SELECT i
 c AS (SELECT met.*, w, NOT list_contains(coalesce({_sql_t1("subject")}, []), term) AND term NOT IN ({', '.join(f"'{w}'" for w in T.DIRECTIVES)}) AS content FROM met JOIN w USING (item_id, term) LEFT JOIN named USING (doc_id))
 SELECT item_id, doc_id, line_no, count(*) AS overlap, round(coalesce(sum(w) FILTER (content), sum(w)), 6) AS score FROM c GROUP BY 1, 2, 3""")
 def candidate_scores(spark, d):
-    out = S.candidate_scores(page_blocks(spark, d), page_prompts(spark, d), page_documents(spark, d))
+    out = S.candidate_scores(*page_tables(spark, d))
     return out.select("item_id", "doc_id", "line_no", "overlap", F.round("score", 6).alias("score"))
 
 
 @contract()
 def select_document_blocks(spark, d):
-    return S.select_blocks(page_blocks(spark, d), page_prompts(spark, d), page_documents(spark, d), LIMIT)[0]
+    return S.select_blocks(*page_tables(spark, d), LIMIT)[0]
 
 
 def _asked(spark, d):
-    """Every seventh prompt asks for what shares a provider with a page's subject."""
-    prompts = page_prompts(spark, d)
-    return prompts.withColumn("text", F.when(F.col("item_id") % 7 == 0, F.concat(F.lit("all of the same provider: "), "text")).otherwise(F.col("text")))
+    """The tables of pages; every seventh prompt asks for what shares a provider with a page's subject."""
+    blocks, prompts, documents = page_tables(spark, d)
+    asked = prompts.withColumn("text", F.when(F.col("item_id") % 7 == 0, F.concat(F.lit("all of the same provider: "), "text")).otherwise(F.col("text")))
+    return blocks, asked, documents
 
 
 @contract()
 def outcome_ladder(spark, d):
     """The document query: chosen blocks with their neighbours, then the gates."""
-    outcomes, _ = S.query_documents(page_blocks(spark, d), _asked(spark, d), page_documents(spark, d), LIMIT, 1, 2 * LIMIT, 20_000)
+    outcomes, _ = S.query_documents(*_asked(spark, d), LIMIT, 1, 2 * LIMIT, 20_000)
     return outcomes.select("item_id", "evidence", "outcome", "reason")
 
 
 @contract()
 def document_query(spark, d):
     """What the document query shows, with what identifies it."""
-    _, evidence = S.query_documents(page_blocks(spark, d), _asked(spark, d), page_documents(spark, d), LIMIT)
+    _, evidence = S.query_documents(*_asked(spark, d), LIMIT)
     return evidence.select("item_id", "position", "doc_id", "line_no", "evidence_id", F.length("render_text").alias("chars"))
 
 

@@ -11,7 +11,8 @@ from factloom.operators import graph as G
 from factloom.operators import knowledge as K
 from factloom.operators import navigation as N
 from factloom.operators import retrieval as R
-from factloom.plans import contract
+from factloom.operators import selection as S
+from factloom.plans import contract, contract_selection
 from factloom.sources import blocks as B
 from factloom.sources import docx as D
 from factloom.sources import scans as C
@@ -160,3 +161,17 @@ def test_duplicate_keys_list_words_and_replace_nothing(spark):
     rows = spark.createDataFrame([(x,) for x in texts], "text string").select(T.t5_text(F.col("text")).alias("key"), F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", " ")).alias("want"))
     assert all(r.key == r.want for r in rows.collect())
     assert "regexp_replace" not in plan(rows.select("key"))
+
+
+def test_selector_gets_tables_that_are_written(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(contract_selection.S, "select_blocks", lambda *tables: (given.extend(tables[:3]), tables[0])[1:])
+    contract.QUERIES["select_document_blocks"](spark, "/root/testdata/sf0.001")
+    assert len(given) == 3 and all(plan(x).startswith("Relation") for x in given)
+
+
+def test_only_blocks_with_an_assignment_meet_subjects(spark):
+    blocks = spark.createDataFrame([(1, 0, "Intro. Acme_co PuRcHaSeS\tService  FROM Big Co."), (1, 1, "Acme co buys. acme co purchases service from X"), (1, 2, "Other purchases service from X"), (2, 0, "purchases service"), (2, 1, None)], "doc_id int, line_no int, text string")
+    got = S.assignments(blocks, spark.createDataFrame([(1, "acme co"), (2, "b")], "doc_id int, subject string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, "acme co", "big co."), (1, 1, "acme co", "x")]
+    assert T.ASSIGNS in plan(got)
