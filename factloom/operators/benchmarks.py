@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.graph import small
+
 # What a document reader must reach, and an optical one in millionths.
 FLOORS = {"text_fidelity": 0.5, "structural_fidelity": 0.5, "location_fidelity": 0.5, "outcome_accuracy": 1.0}
 GATES = {"char_accuracy": 980_000, "word_accuracy": 950_000, "precision": 980_000, "recall": 950_000, "order_accuracy": 1_000_000, "overlap": 800_000, "pages": 1_000_000, "outcome": 1_000_000}
@@ -37,12 +39,11 @@ def corpus_metrics(results: DataFrame, corpus: str, latency: str = "latency_ms")
 def applicable_scores(manifests: DataFrame, weights: DataFrame, attempt: str) -> DataFrame:
     """(attempt, score, metrics): the weighted mean of the metrics that have a score and a weight and are not excluded; null without any.
 
-    manifests: attempt, metric, score, excluded; weights: metric, weight.
+    manifests: attempt, metric, score, excluded; weights: metric, weight. One aggregate: what does not count is null in it, so no attempt is looked for again.
     """
-    kept = manifests.join(weights.filter("weight > 0"), "metric").filter("score is not null and not excluded")
-    score = F.round(F.sum(F.col("score") * F.col("weight")) / F.sum("weight"), 12)
-    found = kept.groupBy(attempt).agg(score.alias("score"), F.array_join(F.array_sort(F.collect_set("metric")), ",").alias("metrics"))
-    return manifests.select(attempt).distinct().join(found, attempt, "left").select(attempt, "score", F.coalesce("metrics", F.lit("")).alias("metrics"))
+    kept = F.col("weight").isNotNull() & F.col("score").isNotNull() & ~F.col("excluded")
+    rows = manifests.join(small(weights.filter("weight > 0")), "metric", "left").select(attempt, *[F.when(kept, c).alias(n) for n, c in (("metric", F.col("metric")), ("part", F.col("score") * F.col("weight")), ("weight", F.col("weight")))])
+    return rows.groupBy(attempt).agg(F.round(F.sum("part") / F.sum("weight"), 12).alias("score"), F.array_join(F.array_sort(F.collect_set("metric")), ",").alias("metrics"))
 
 
 def winner(left: Column, right: Column, left_name: Column, right_name: Column) -> Column:

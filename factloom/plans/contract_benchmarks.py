@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import benchmarks as B
+from factloom.operators.graph import checkpointed
 from factloom.plans.contract import contract, table
 
 _DUE = "WITH r AS (SELECT l_suppkey AS corpus, l_orderkey AS fixture, l_linenumber AS n, CASE WHEN l_returnflag = 'R' AND l_quantity > 40 THEN 'conversion_failed' END AS failure, l_quantity AS latency, l_discount, l_tax FROM lineitem)"
@@ -31,11 +32,11 @@ def applicable_scores(spark, d):
     """A sale's manifest has a score for each flag of its lines; each is compared with the next one."""
     lines = table(spark, d, "sale_lines").filter("sale_id is not null")
     manifests = lines.groupBy("sale_id", F.col("flag").alias("metric")).agg(F.avg("discount").alias("score"), F.bool_or(F.col("quantity").isNull()).alias("excluded"))
-    scores = B.applicable_scores(manifests, spark.createDataFrame([("kept", 3.0), ("swapped", 1.0), ("returned", 0.0)], "metric string, weight double"), "sale_id")
+    scores = checkpointed(B.applicable_scores(manifests, spark.createDataFrame([("kept", 3.0), ("swapped", 1.0), ("returned", 0.0)], "metric string, weight double"), "sale_id"))  # both sides of the comparison read it
     name = lambda c: F.col(c).cast("string")
     other = scores.select((F.col("sale_id") - 1).alias("sale_id"), F.round("score", 6).alias("after"), F.col("sale_id").alias("next"))
     own = scores.withColumn("score", F.round("score", 6))
-    return own.join(other, "sale_id").select("sale_id", "score", "metrics", B.winner(F.col("score"), F.col("after"), name("sale_id"), name("next")).alias("winner"))
+    return own.join(other.hint("merge"), "sale_id").select("sale_id", "score", "metrics", B.winner(F.col("score"), F.col("after"), name("sale_id"), name("next")).alias("winner"))
 
 
 @contract("""WITH b AS (SELECT l_orderkey AS fixture, string_agg(coalesce(p_name, ''), chr(10) ORDER BY l_linenumber, p_name) AS said, list(DISTINCT l_returnflag) AS types, count(*) FILTER (l_quantity > 20) AS placed, count(*) AS n FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1)

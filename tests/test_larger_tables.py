@@ -7,6 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators import benchmarks as M
 from factloom.operators import graph as G
 from factloom.operators import knowledge as K
 from factloom.operators import navigation as N
@@ -175,3 +176,16 @@ def test_only_blocks_with_an_assignment_meet_subjects(spark):
     got = S.assignments(blocks, spark.createDataFrame([(1, "acme co"), (2, "b")], "doc_id int, subject string"))
     assert sorted(tuple(r) for r in got.collect()) == [(1, 0, "acme co", "big co."), (1, 1, "acme co", "x")]
     assert T.ASSIGNS in plan(got)
+
+
+def test_scores_of_attempts_are_one_aggregate(spark):
+    rows = [(1, "a", 2.0, False), (1, "b", 5.0, False), (1, "z", 9.0, False), (2, "a", None, False), (2, "b", 1.0, True), (3, None, 1.0, False), (4, "zero", 1.0, False), (4, "b", 0.5, None)]
+    manifests = spark.createDataFrame(rows, "id int, metric string, score double, excluded boolean")
+    got = M.applicable_scores(manifests, spark.createDataFrame([("a", 3.0), ("b", 1.0), ("zero", 0.0)], "metric string, weight double"), "id")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2.75, "a,b"), (2, None, ""), (3, None, ""), (4, None, "")]
+    assert plan(got).count("Aggregate") == 1
+
+
+def test_next_attempts_are_compared_without_a_broadcast(spark):
+    out = contract.QUERIES["applicable_scores"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString() and "Aggregate" not in plan(out)
